@@ -1,6 +1,6 @@
 """Queries of the text operators over the test tables, and the SQL of those that SQL can express."""
 from ..session import table as _t
-from . import chats, mixing, pairs, tokens
+from . import chats, mixing, mojibake, pairs, provenance, secrets, tokens
 
 QUERIES = {}
 ORACLES = {}
@@ -61,3 +61,33 @@ def p8_uses(spark, d):
 @query("p8_shares")
 def p8_shares(spark, d):
     return mixing.plan(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))[1]
+
+
+@query("p1_found")
+def p1_found(spark, d):
+    return secrets.found(_t(spark, d, "files"), _t(spark, d, "sources"))
+
+
+@query("p1_redacted")
+def p1_redacted(spark, d):
+    return secrets.redacted(_t(spark, d, "files"), _t(spark, d, "sources"))
+
+
+@query("p5_found")
+def p5_found(spark, d):
+    return provenance.found(_t(spark, d, "files"), _t(spark, d, "sources"))
+
+
+@query("p5_reasons")
+def p5_reasons(spark, d):
+    return provenance.flagged(_t(spark, d, "files"), _t(spark, d, "sources"))
+
+
+@query("p9_found")
+def p9_found(spark, d):
+    return mojibake.found(_t(spark, d, "documents"))
+
+
+@query("p9_restored")
+def p9_restored(spark, d):
+    return mojibake.restored(_t(spark, d, "documents"))
