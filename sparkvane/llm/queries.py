@@ -1,6 +1,6 @@
 """Queries of the text operators over the test tables, and the SQL of those that SQL can express."""
 from ..session import table as _t
-from . import chats, mixing, mojibake, pairs, provenance, secrets, tokens
+from . import chats, markup, mixing, mojibake, pairs, provenance, secrets, tokens
 
 QUERIES = {}
 ORACLES = {}
@@ -91,3 +91,13 @@ def p9_found(spark, d):
 @query("p9_restored")
 def p9_restored(spark, d):
     return mojibake.restored(_t(spark, d, "documents"))
+
+
+@query("p4_found")
+def p4_found(spark, d):
+    return markup.found(_t(spark, d, "files"), _t(spark, d, "sources"))
+
+
+@query("p4_clean")
+def p4_clean(spark, d):
+    return markup.cleaned(_t(spark, d, "files"), _t(spark, d, "sources"))
