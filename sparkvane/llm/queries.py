@@ -1,6 +1,6 @@
 """Queries of the text operators over the test tables, and the SQL of those that SQL can express."""
 from ..session import table as _t
-from . import chats, markup, mixing, mojibake, pairs, provenance, secrets, tokens
+from . import chats, markup, mixing, mojibake, pairs, provenance, secrets, tokens, validity
 
 QUERIES = {}
 ORACLES = {}
@@ -101,3 +101,13 @@ def p4_found(spark, d):
 @query("p4_clean")
 def p4_clean(spark, d):
     return markup.cleaned(_t(spark, d, "files"), _t(spark, d, "sources"))
+
+
+@query("p3_found")
+def p3_found(spark, d):
+    return validity.found(_t(spark, d, "files"), _t(spark, d, "sources"))
+
+
+@query("p3_rates")
+def p3_rates(spark, d):
+    return validity.rates(_t(spark, d, "files"), _t(spark, d, "sources"))

@@ -1,0 +1,299 @@
+"""Readers of line-structured formats: YAML, INI and JSON; each raises SyntaxIssue at the first line that cannot be read."""
+import json
+import re
+
+from .chart import SyntaxIssue
+
+_KEYED = re.compile(r"(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^']|'')*'|[^\s\[\]{}#&*!|>'\"%@`,?:-][^#\n]*?|[?:-](?=[^\s,\[\]{}])[^#\n]*?|[&*!]\S+(?:\s+\S[^#\n]*?)?)\s*:(?=\s|$)")
+
+
+class _Yaml:
+    """Indentation-driven reader of YAML block structure, with flow collections and scalars read by character."""
+
+    def __init__(self, text):
+        self.lines = text.split("\n")
+        self.k = 0
+
+    def fail(self, what, k=None):
+        raise SyntaxIssue(what, (self.k if k is None else k) + 1)
+
+    def skip(self):
+        while self.k < len(self.lines) and re.match(r"\s*(?:#.*)?$", self.lines[self.k]):
+            self.k += 1
+
+    def document(self):
+        while True:
+            self.skip()
+            while self.k < len(self.lines) and self.lines[self.k].startswith("%"):
+                self.k += 1
+                self.skip()
+            if self.k >= len(self.lines):
+                return
+            if re.match(r"(?:---|\.\.\.)(?:\s|$)", self.lines[self.k]):
+                rest = self.lines[self.k][3:].strip()
+                if rest and not rest.startswith("#") and self.lines[self.k].startswith("---"):
+                    self.lines[self.k] = "   " + self.lines[self.k][3:]
+                    self.node(0)
+                else:
+                    self.k += 1
+                continue
+            self.node(0)
+            self.skip()
+            if self.k < len(self.lines) and not re.match(r"(?:---|\.\.\.)(?:\s|$)", self.lines[self.k]):
+                self.fail("unexpected content")
+
+    def indent(self):
+        s = self.lines[self.k]
+        n = len(s) - len(s.lstrip(" "))
+        if s[n : n + 1] == "\t":
+            self.fail("tab in indentation")
+        return n
+
+    def node(self, least):
+        """One block node at the indentation of the current line."""
+        self.skip()
+        if self.k >= len(self.lines):
+            return
+        n = self.indent()
+        s = self.lines[self.k][n:]
+        if re.match(r"-(?:\s|$)", s):
+            self.sequence(n)
+        elif s[0] not in "[{" and (_KEYED.match(s) or re.match(r"\?(?:\s|$)", s)) or s[0] in "[{" and self.flow_key(s):
+            self.mapping(n)
+        else:
+            self.value(s, n, n - 1)
+
+    def flow_key(self, s):
+        return bool(re.match(r"(?:\[[^\[\]]*\]|\{[^{}]*\})\s*:(?:\s|$)", s))
+
+    def sequence(self, n):
+        while True:
+            self.skip()
+            if self.k >= len(self.lines) or re.match(r"(?:---|\.\.\.)(?:\s|$)", self.lines[self.k]):
+                return
+            m = self.indent()
+            s = self.lines[self.k][m:]
+            if m < n:
+                return
+            if m > n or not re.match(r"-(?:\s|$)", s):
+                if m == n:
+                    return
+                self.fail("bad indentation of a sequence entry")
+            self.entry(s[1:], m + 1, n)
+
+    def entry(self, rest, at, n):
+        inner = rest.lstrip(" \t")
+        pad = at + len(rest) - len(inner)
+        if not inner or inner.startswith("#"):
+            self.k += 1
+            self.skip()
+            if self.k < len(self.lines) and self.indent() > n and not re.match(r"(?:---|\.\.\.)(?:\s|$)", self.lines[self.k]):
+                self.node(n + 1)
+            return
+        props = re.match(r"(?:[&!]\S*\s+)+", inner)
+        if props and not _KEYED.match(inner):
+            return self.entry(inner[props.end() :], pad + props.end(), n)
+        if re.match(r"-(?:\s|$)", inner):
+            self.lines[self.k] = " " * pad + inner
+            self.sequence(pad)
+        elif inner[0] not in "[{\"'" and _KEYED.match(inner) or inner[0] in "\"'" and _KEYED.match(inner):
+            self.lines[self.k] = " " * pad + inner
+            self.mapping(pad)
+        else:
+            self.value(inner, pad, n)
+
+    def mapping(self, n):
+        seen = False
+        while True:
+            self.skip()
+            if self.k >= len(self.lines) or re.match(r"(?:---|\.\.\.)(?:\s|$)", self.lines[self.k]):
+                return
+            m = self.indent()
+            s = self.lines[self.k][m:]
+            if m < n:
+                return
+            if m > n:
+                self.fail("bad indentation of a mapping entry")
+            if re.match(r"\?(?:\s|$)", s) or re.match(r":(?:\s|$)", s) and seen:
+                self.entry(s[1:], m + 1, n)
+                seen = True
+                continue
+            key = _KEYED.match(s) if s[0] not in "[{" else re.match(r"(?:\[[^\[\]]*\]|\{[^{}]*\})\s*:(?=\s|$)", s)
+            if not key:
+                if re.match(r"-(?:\s|$)", s):
+                    self.fail("sequence entry in a mapping")
+                self.fail("expected a key")
+            if s[0] not in "\"'" and re.search(r":\s", key[0][:-1]):
+                self.fail("mapping values are not allowed here")
+            seen = True
+            rest = s[key.end() :]
+            inner = rest.lstrip(" \t")
+            while props := re.match(r"[&!]\S*(?:\s+|$)", inner):
+                inner = inner[props.end() :]
+            if not inner or inner.startswith("#") and rest[:1] in (" ", "\t", ""):
+                self.k += 1
+                self.skip()
+                if self.k < len(self.lines) and not re.match(r"(?:---|\.\.\.)(?:\s|$)", self.lines[self.k]):
+                    d = self.indent()
+                    if d > n:
+                        self.node(n + 1)
+                    elif d == n and re.match(r"-(?:\s|$)", self.lines[self.k][d:]):
+                        self.sequence(n)
+                continue
+            self.value(inner, m + key.end() + len(rest) - len(inner), n)
+
+    def value(self, s, at, n):
+        """A scalar or flow collection that begins on the current line; `n` is the parent's indentation."""
+        c = s[0]
+        if c in "|>":
+            if not re.match(r"[|>](?:[+-]?[1-9]?|[1-9][+-])\s*(?:\s#.*)?$", s):
+                self.fail("bad block scalar header")
+            self.k += 1
+            while self.k < len(self.lines):
+                line = self.lines[self.k]
+                if line.strip() and len(line) - len(line.lstrip(" ")) <= n:
+                    return
+                self.k += 1
+            return
+        if c in "[{\"'":
+            end = self.flow(s, n) if c in "[{" else self.quoted(s, n)
+            rest = end.strip()
+            if rest and not (rest.startswith("#") and end[:1] in " \t"):
+                self.fail("unexpected content after a value")
+            self.k += 1
+            return
+        if c in "%@`" or c in ",]}" or re.match(r"[*&!]\s", s) or c == "-" and re.match(r"-\s", s):
+            self.fail(f"unexpected {c!r}")
+        if re.match(r"[*]\S+", s):
+            if not re.match(r"\*[^\s,\[\]{}]+\s*(?:\s#.*)?$", s):
+                self.fail("bad alias")
+            self.k += 1
+            return
+        plain = re.sub(r"\s#.*$", "", s)
+        if re.search(r":(?:\s|$)", plain):
+            self.fail("mapping values are not allowed here")
+        commented = plain != s
+        self.k += 1
+        while self.k < len(self.lines):  # a plain scalar may go on, deeper than its parent
+            line = self.lines[self.k]
+            if not line.strip():
+                self.k += 1
+                continue
+            d = len(line) - len(line.lstrip(" "))
+            if d <= n or line.lstrip().startswith("#") or re.match(r"(?:---|\.\.\.)(?:\s|$)", line):
+                return
+            if commented or re.search(r":(?:\s|$)", re.sub(r"\s#.*$", "", line)):
+                self.fail("unexpected content after a value")
+            commented = bool(re.search(r"\s#", line))
+            self.k += 1
+
+    def more(self, what, n):
+        self.k += 1
+        if self.k >= len(self.lines):
+            self.fail(f"unterminated {what}", len(self.lines) - 1)
+        s = self.lines[self.k]
+        if re.match(r"(?:---|\.\.\.)(?:\s|$)", s):
+            self.fail(f"unterminated {what}")
+        return s
+
+    def quoted(self, s, n):
+        q, i = s[0], 1
+        while True:
+            while i < len(s):
+                if q == '"' and s[i] == "\\":
+                    if i + 1 < len(s) and s[i + 1] not in '0abtnvfre "/\\N_LPxuU\t':
+                        self.fail("bad escape")
+                    i += 2
+                elif s[i] == q:
+                    if q == "'" and s[i + 1 : i + 2] == "'":
+                        i += 2
+                        continue
+                    return s[i + 1 :]
+                else:
+                    i += 1
+            s, i = self.more("quoted scalar", n), 0
+            if s.strip() and len(s) - len(s.lstrip()) <= n:
+                self.fail("unterminated quoted scalar")
+
+    def flow(self, s, n):
+        stack, i, need = [], 0, False  # need: a separator must come before the next entry
+        while True:
+            while i < len(s):
+                c = s[i]
+                if c in " \t":
+                    i += 1
+                elif c == "#" and (i == 0 or s[i - 1] in " \t"):
+                    break
+                elif c in "[{":
+                    if need:
+                        self.fail("expected , or a closing bracket")
+                    stack.append(c)
+                    i += 1
+                elif c in "]}":
+                    if not stack or stack.pop() != {"]": "[", "}": "{"}[c]:
+                        self.fail("brackets do not match")
+                    i, need = i + 1, True
+                    if not stack:
+                        return s[i:]
+                elif c == ",":
+                    if re.search(r"[\[{,]\s*$", s[:i]):
+                        self.fail("empty flow entry")
+                    i, need = i + 1, False
+                elif c == ":" and (i + 1 >= len(s) or s[i + 1] in " \t,[]{}" or need):
+                    i, need = i + 1, False
+                elif c in "\"'":
+                    if need:
+                        self.fail("expected , or a closing bracket")
+                    s, i, need = self.quoted(s[i:], n), 0, True
+                else:
+                    if need:
+                        self.fail("expected , or a closing bracket")
+                    m = re.compile(r"(?:[^,\[\]{}:#\s]|:(?=[^\s,\[\]{}])|(?<=\S)#|[ \t]+(?=[^\s,\[\]{}:#]))+").match(s, i)
+                    if not m or c in "%@`":
+                        self.fail(f"unexpected {c!r}")
+                    i, need = m.end(), True
+            s, i = self.more("flow collection", n), 0
+
+
+def yaml(text):
+    """Raise SyntaxIssue unless the text is a stream of YAML documents."""
+    if "\x00" in text:
+        raise SyntaxIssue("control character", text.count("\n", 0, text.index("\x00")) + 1)
+    _Yaml(text.replace("\r\n", "\n").lstrip("﻿")).document()
+
+
+def ini(text):
+    """Raise SyntaxIssue unless every line is a section, an option with = or :, a continuation, a comment or blank, after a first section."""
+    section = option = None
+    for k, line in enumerate(text.lstrip("﻿").split("\n"), 1):
+        s = line.strip()
+        if not s or s[0] in "#;":
+            continue
+        if re.match(r"(?:<{7}|={7}|>{7}|\|{7})(?:\s|$)", line):
+            raise SyntaxIssue("conflict marker", k)
+        if line[0] in " \t" and option:
+            continue
+        m = re.match(r"\[([^\]]+)\]\s*(?:[#;].*)?$", s)
+        if m:
+            section, option = m[1], None
+            continue
+        if section is None:
+            raise SyntaxIssue("no section header", k)
+        m = re.match(r"([^=:\s\[][^=:]*?)\s*[=:]", s)
+        if not m:
+            raise SyntaxIssue("no option", k)
+        option = m[1]
+
+
+def _no_constant(name):
+    raise ValueError(f"{name} is no JSON value")
+
+
+def json_text(text):
+    """Raise SyntaxIssue unless the text is one JSON value."""
+    try:
+        json.loads(text, parse_constant=_no_constant)
+    except json.JSONDecodeError as x:
+        raise SyntaxIssue(x.msg, x.lineno) from None
+    except (ValueError, RecursionError) as x:
+        raise SyntaxIssue(str(x), 1) from None
