@@ -13,3 +13,11 @@ def query(name, sql=None):
         return f
 
     return keep
+
+
+def load():
+    """Import the modules that register queries."""
+    from . import relational  # noqa: F401
+
+
+load()
