@@ -17,7 +17,7 @@ def query(name, sql=None):
 
 def load():
     """Import the modules that register queries."""
-    from . import relational  # noqa: F401
+    from . import profile, relational  # noqa: F401
 
 
 load()

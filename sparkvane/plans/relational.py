@@ -181,7 +181,9 @@ def sort_topk(s, d):
     return t(s, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25)
 
 
-_BY_CUST = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+def _by_cust():
+    return Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+
 _SQL_W = "WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"
 
 
@@ -196,15 +198,15 @@ def rank_average(s, d):
 
 @query("cumcount", f"SELECT o_orderkey, row_number() OVER w - 1 AS k FROM orders {_SQL_W}")
 def cumcount(s, d):
-    return t(s, d, "orders").select("o_orderkey", (F.row_number().over(_BY_CUST) - 1).cast("bigint").alias("k"))
+    return t(s, d, "orders").select("o_orderkey", (F.row_number().over(_by_cust()) - 1).cast("bigint").alias("k"))
 
 
 @query("lag_diff", f"""SELECT o_orderkey, lag(o_totalprice) OVER w AS prev, lead(o_totalprice) OVER w AS next, round(o_totalprice - lag(o_totalprice) OVER w, 4) AS diff,
 round(o_totalprice / lag(o_totalprice) OVER w - 1, 6) AS pct FROM orders {_SQL_W}""")
 def lag_diff(s, d):
-    p = F.lag("o_totalprice").over(_BY_CUST)
+    p = F.lag("o_totalprice").over(_by_cust())
     return t(s, d, "orders").select(
-        "o_orderkey", p.alias("prev"), F.lead("o_totalprice").over(_BY_CUST).alias("next"), F.round(F.col("o_totalprice") - p, 4).alias("diff"), r6(F.try_divide("o_totalprice", p) - 1).alias("pct"))
+        "o_orderkey", p.alias("prev"), F.lead("o_totalprice").over(_by_cust()).alias("next"), F.round(F.col("o_totalprice") - p, 4).alias("diff"), r6(F.try_divide("o_totalprice", p) - 1).alias("pct"))
 
 
 @query("ffill_bfill", """WITH x AS (SELECT o_orderkey, o_custkey, o_orderdate, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_totalprice END AS v FROM orders)
@@ -212,13 +214,13 @@ SELECT o_orderkey, last_value(v IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER
 first_value(v IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS bf FROM x""")
 def ffill_bfill(s, d):
     x = t(s, d, "orders").withColumn("v", F.when(F.col("o_orderstatus") == "F", None).otherwise(F.col("o_totalprice")))
-    return x.select("o_orderkey", F.last("v", ignorenulls=True).over(_BY_CUST.rowsBetween(Window.unboundedPreceding, 0)).alias("ff"), F.first("v", ignorenulls=True).over(_BY_CUST.rowsBetween(0, Window.unboundedFollowing)).alias("bf"))
+    return x.select("o_orderkey", F.last("v", ignorenulls=True).over(_by_cust().rowsBetween(Window.unboundedPreceding, 0)).alias("ff"), F.first("v", ignorenulls=True).over(_by_cust().rowsBetween(0, Window.unboundedFollowing)).alias("bf"))
 
 
 @query("cumulative", f"""SELECT o_orderkey, round(sum(o_totalprice) OVER w, 4) AS cs, max(o_totalprice) OVER w AS cmax, min(o_totalprice) OVER w AS cmin,
 round(sum(ln(o_totalprice)) OVER w, 6) AS log_cumprod FROM orders {_SQL_W[:-1]} ROWS UNBOUNDED PRECEDING)""")
 def cumulative(s, d):
-    w = _BY_CUST.rowsBetween(Window.unboundedPreceding, 0)
+    w = _by_cust().rowsBetween(Window.unboundedPreceding, 0)
     return t(s, d, "orders").select("o_orderkey", F.round(F.sum("o_totalprice").over(w), 4).alias("cs"), F.max("o_totalprice").over(w).alias("cmax"), F.min("o_totalprice").over(w).alias("cmin"), r6(F.sum(F.log("o_totalprice")).over(w)).alias("log_cumprod"))
 
 
@@ -232,7 +234,7 @@ def cumprod_signed(s, d):
 @query("rolling_rows", """SELECT o_orderkey, CASE WHEN count(*) OVER w = 3 THEN round(avg(o_totalprice) OVER w, 4) END AS m3 FROM orders
 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS 2 PRECEDING)""")
 def rolling_rows(s, d):
-    w = _BY_CUST.rowsBetween(-2, 0)
+    w = _by_cust().rowsBetween(-2, 0)
     return t(s, d, "orders").select("o_orderkey", F.when(F.count("*").over(w) == 3, F.round(F.avg("o_totalprice").over(w), 4)).alias("m3"))
 
 
@@ -245,7 +247,7 @@ def rolling_range(s, d):
 
 @query("expanding_mean", f"SELECT o_orderkey, round(avg(o_totalprice) OVER w, 4) AS m FROM orders {_SQL_W[:-1]} ROWS UNBOUNDED PRECEDING)")
 def expanding_mean(s, d):
-    return t(s, d, "orders").select("o_orderkey", F.round(F.avg("o_totalprice").over(_BY_CUST.rowsBetween(Window.unboundedPreceding, 0)), 4).alias("m"))
+    return t(s, d, "orders").select("o_orderkey", F.round(F.avg("o_totalprice").over(_by_cust().rowsBetween(Window.unboundedPreceding, 0)), 4).alias("m"))
 
 
 @query("ewm_mean")
