@@ -381,3 +381,22 @@ def mode_value(s, d):
 def map_values(s, d):
     g = t(s, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n")).groupBy("c_nationkey").agg(F.map_from_entries(F.collect_list(F.struct("c_mktsegment", "n"))).alias("m"))
     return g.select("c_nationkey", F.aggregate(F.map_values("m"), F.lit(0).cast("bigint"), lambda a, b: a + b).alias("total"), F.size("m").cast("bigint").alias("k"))
+
+
+# ---- extensions over the event table ---------------------------------------------------------------------------------------------
+
+@query("stream_tumbling", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_tumbling(s, d):
+    from ..streaming import windows
+
+    e = t(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return windows.tumbling(e).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("stream_sessions", """WITH x AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTES OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+k AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS g FROM x) SELECT user_id, count(*) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start FROM k GROUP BY user_id, g""")
+def stream_sessions(s, d):
+    from ..streaming import windows
+
+    e = t(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return windows.sessions(e).select("user_id", "n", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"))
