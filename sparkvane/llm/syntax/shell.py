@@ -53,7 +53,8 @@ class _Lexer:
                     self.i = j
                     continue
             if c in "<>" and self.t[self.i + 1 : self.i + 2] == "(":
-                self.word()
+                at = self.line
+                self.add("WORD", self.word(), at)
                 continue
             op = next((o for o in _OPS if o != "\n" and self.t.startswith(o, self.i)), None)
             if op:
