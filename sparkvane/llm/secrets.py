@@ -13,7 +13,7 @@ from .common import per_text
 KEYWORDS = (
     "pass", "pwd", "_pw", "secret", "token", "key", "credential", "auth", "bearer", "kennwort", "mot_de", "contras", "clave", "haslo", "hasło", "senha", "парол",
     "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "sk-", "sk_", "rk_", "dapi", "eyj", "aiza", "8q~", "sg.", "npm_", "pypi-",
-    "hf_", "://", "identified by", "login", "logon", "access", "creds", "-u ", "--user", "dsn", "connect")
+    "hf_", "://", "identified by", "sig=", "signature=", "login", "log in", "sign in", "logon", "access", "creds", "-u ", "--user", "dsn", "connect")
 
 #: Issuer formats: each value is secret wherever it stands.
 ISSUERS = {
@@ -28,6 +28,7 @@ ISSUERS = {
     "app client secret": r"(?<![A-Za-z0-9_.~-])[A-Za-z0-9_.~-]{3}8Q~[A-Za-z0-9_.~-]{31,37}(?![A-Za-z0-9_~-])",
     "mail key": r"(?<![A-Za-z0-9])SG\.[A-Za-z0-9_-]{20,24}\.[A-Za-z0-9_-]{39,50}(?![A-Za-z0-9])",
     "package token": r"(?<![A-Za-z0-9])(?:npm_[A-Za-z0-9]{36}|pypi-[A-Za-z0-9_-]{50,}|hf_[A-Za-z0-9]{30,})(?![A-Za-z0-9])",
+    "signed address": r"(?i:[?&](?:sig|signature|x-amz-signature|access_token|api_key|apikey|auth|token)=)([A-Za-z0-9%+/_.~-]{16,}={0,2})",
     "storage key": r"(?i:AccountKey|SharedAccessKey)=([A-Za-z0-9+/]{40,}={0,2})",
     "connection password": r"(?i:(?<![a-z])(?:password|pwd))\s*=\s*([^;'\"\s$<{}%*]{4,})(?=;)",
 }
@@ -41,6 +42,7 @@ _NAME = r"[A-Za-zÀ-ɏЀ-ӿ][\wÀ-ɏЀ-ӿ.-]*"
 _QUOTED = r"(?P<q>[\"'`])(?P<v>(?:\\.|(?!(?P=q)).)*)(?P=q)"
 #: name = "value", name: "value", "name": "value", (name, "value"), name="..." value="...", <name>value</name>
 ASSIGN = re.compile(rf"(?P<n>{_NAME})[\"'`\])]*\s*(?::\s*[A-Za-z\[\]., |]{{1,20}}=|:=|=>|[=:,])\s*\(?\s*(?:[bruf]{{1,2}})?{_QUOTED}")
+JOINED = re.compile(r"\s*[+.]?\s*(?P<p>[\"'`])(?P<w>[^\"'`\s]+)(?P=p)")
 ATTRIBUTE = re.compile(rf"\b(?:name|key|id|k)\s*=\s*[\"'](?P<n>{_NAME})[\"']\s+(?:value|val|v)\s*=\s*{_QUOTED}")
 ELEMENT = re.compile(rf"<(?P<n>{_NAME})(?:\s[^<>]*)?>(?P<v>[^<>]+)</(?P=n)>")
 BARE = re.compile(rf"^[\s#;/*-]*(?:(?:export|set|old|new|const|let|var|ENV)\s+)*[\"']?(?P<n>{_NAME})[\"']?\s*(?::=|[=:])\s*(?P<v>[^\s\"'`#][^\s\"'`]*)\s*(?:[#;].*)?$")
@@ -193,9 +195,10 @@ def _line(line, at, ext, out):
         i = int(m.lastgroup[1:])
         kind = list(ISSUERS)[i]
         g = next((x for x in range(m.re.groups, 0, -1) if m.group(x) is not None), 0)
-        a, b = m.span(g) if kind in ("storage key", "connection password") else m.span()
+        inner = kind in ("signed address", "storage key", "connection password")  # only the group is secret
+        a, b = m.span(g) if inner else m.span()
         v = line[a:b]
-        if not is_placeholder(v) if kind in ("storage key", "connection password") else _token_ok(kind, v):
+        if not is_placeholder(v) if inner else _token_ok(kind, v):
             out.append((at + a, at + b, kind))
     for m in ADDRESS.finditer(line):
         if not is_placeholder(m[2], m[1]) and not re.match(r"[$<{%*]", m[2]):
@@ -205,6 +208,13 @@ def _line(line, at, ext, out):
         if m[v] and is_secret_name(m[n]) and is_literal(m[v], m[n]):
             out.append((at + m.start(v), at + m.end(v), "named value"))
 
+    for m in ASSIGN.finditer(line):  # a value may be put together from several literals
+        parts, end = [m.span("v")], m.end()
+        while more := JOINED.match(line, end):
+            parts.append(more.span("w"))
+            end = more.end()
+        if len(parts) > 1 and is_secret_name(m["n"]) and is_literal("".join(line[a:b] for a, b in parts), m["n"]):
+            out.extend((at + a, at + b, "named value") for a, b in parts)
     for rx in (ASSIGN, ATTRIBUTE):
         pos = 0
         while m := rx.search(line, pos):
@@ -228,7 +238,7 @@ def _line(line, at, ext, out):
         if is_literal(m["v"]) and not m["v"].startswith("//"):
             out.append((at + m.start("v"), at + m.end("v"), "basic login"))
     for m in BEARER.finditer(line):
-        if re.search(r"\d", m["v"]) and is_literal(m["v"]) and re.search(r"(?i)authorization|bearer|auth", line):
+        if is_literal(m["v"]) and re.search(r"(?i)authorization|bearer|auth", line):
             out.append((at + m.start("v"), at + m.end("v"), "bearer value"))
     if re.match(r"\s*(?:#|//|--|/?\*|<!--|;)", line) or ext in ("md", "txt", "rst", ""):
         if (m := PROSE.search(line)) and is_literal(m["v"]) and re.search(r"[\d!?#$%&*]", m["v"]) and not re.search(r"[(){};,]", m["v"]):
