@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.types import nan_to_null, numeric_columns, one_row_to_rows
-from .ordered import cumulative, quantiles
+from .ordered import cumulative, following, quantiles
 from .reshape import safe_corr
 
 
@@ -55,9 +55,8 @@ def roc_curve(df, y, score, drop_collinear=True):
     x = g.crossJoin(F.broadcast(tot)).where("p > 0 and n > 0")  # the totals are one row
     if drop_collinear:
         # a point is on the line where its step and the next have the same direction; the next step is that of the next lower score
-        w = Window.partitionBy(F.lit(1)).orderBy(F.desc("score"))
-        x = x.withColumn("_pn", F.lead("pos").over(w)).withColumn("_nn", F.lead("neg").over(w))
-        x = x.where(F.col("_pn").isNull() | (F.col("pos") * F.col("_nn") != F.col("neg") * F.col("_pn")))
+        x = following(x, "score", ["pos", "neg"])
+        x = x.where(F.col("next_pos").isNull() | (F.col("pos") * F.col("next_neg") != F.col("neg") * F.col("next_pos")))
     pts = x.select((F.col("cum_neg") / F.col("n")).alias("fpr"), (F.col("cum_pos") / F.col("p")).alias("tpr"), F.col("score").alias("threshold"))
     zero = tot.where("p > 0 and n > 0").select(F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), F.lit(None).cast("double").alias("threshold"))
     return pts.unionByName(zero)

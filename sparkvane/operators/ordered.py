@@ -37,6 +37,21 @@ def cumulative(df, key, weights, ascending=True, splits=None):
     return out
 
 
+def following(df, key, columns, ascending=False, splits=None):
+    """`df`, one row per key, with `next_<c>`: each column of the row that comes next in key order; null at the end.
+
+    The last row of a bucket takes the first row of the next bucket that has any: one row per bucket is compared."""
+    splits = split_points(df, key) if splits is None else splits
+    b = df.withColumn("_b", bucket_of(key, splits) * (1 if ascending else -1))
+    order = F.asc(key) if ascending else F.desc(key)
+    row = F.struct(*(F.col(c) for c in columns))
+    pick = F.min_by if ascending else F.max_by
+    heads = b.groupBy("_b").agg(pick(row, key).alias("_h"))
+    after = heads.select("_b", F.lead("_h").over(Window.partitionBy(F.lit(1)).orderBy("_b")).alias("_a"))  # at most BUCKETS rows
+    j = b.join(F.broadcast(after), "_b").withColumn("_n", F.coalesce(F.lead(row).over(Window.partitionBy("_b").orderBy(order)), F.col("_a")))
+    return j.select(*df.columns, *(F.col(f"_n.{c}").alias(f"next_{c}") for c in columns))
+
+
 def quantiles(df, columns, probs):
     """(column, prob, value): exact quantiles with linear interpolation, nulls and NaN left out; null for a column without values.
 

@@ -28,6 +28,9 @@ def test_cumulative_does_not_depend_on_splits(spark):
     a = {r["k"]: r["cum_w"] for r in ordered.cumulative(df, "k", ["w"]).collect()}
     b = {r["k"]: r["cum_w"] for r in ordered.cumulative(df, "k", ["w"], splits=[3.0, 3.1, 40.0]).collect()}
     assert a == b and max(a.values()) == sum(i % 7 for i in range(300))
+    rows = sorted((r["k"], r["next_w"]) for r in ordered.following(df, "k", ["w"], splits=[3.0, 3.1, 40.0]).collect())
+    w = dict(df.collect())
+    assert all(n == w[rows[i - 1][0]] for i, (_, n) in enumerate(rows) if i) and rows[0][1] is None
 
 
 def test_psi_known_answers(spark):
