@@ -36,6 +36,11 @@ _SCAN = {e: re.compile(rf"(?ms)(?P<s>{_STRING})|(?P<c>{c})") for e, c in _COMMEN
 _LITERAL = re.compile(r"(?<![\w.])[-+]?(?:\d[\d_]*\.?\d*(?:[eE][-+]?\d+)?|0x[0-9a-fA-F]+)\b|\b(?:NULL|None|null|true|false|True|False)\b")
 
 
+#: A line of literals and signs only; possessive, so that a long line is read once.
+_DATA_LINE = re.compile(
+    r"(?i)\s*+(?:insert\s+into\s+[\w.\"`]+\s*(?:\([^()]*\))?\s*values\s*)?(?:[\s,;:()\[\]{}=>]|[-+]?[\d.][\w.+/=-]*+|-|\"(?:\\.|[^\"\\])*+\"|'(?:\\.|[^'\\])*+'|(?:null|none|true|false)\b|[A-Za-z0-9+/]{40,}+={0,2})++")
+
+
 def header(text, ext):
     """The comment lines before the first code, with what belongs there: interpreter line, encoding, markers of a conflict, 'use strict'."""
     out, inside = [], False
@@ -82,7 +87,7 @@ def layout(text, ext):
         lits.append(len(m[0]))
     marks = len(re.findall(r"[,;:()\[\]{}]", bare))
     runs = sum(len(m) for m in re.findall(r"[A-Za-z0-9+/]{60,}={0,2}|(?:\\x[0-9a-fA-F]{2}){20,}", code))
-    data = [x for x in lines if re.fullmatch(r"(?i)\s*(?:insert\s+into\s+[\w.\"`]+\s*(?:\([^()]*\))?\s*values\s*)?(?:[\s,;:()\[\]{}=>-]|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|[-+]?[\d.][\w.+-]*|null|none|true|false|[A-Za-z0-9+/]{40,}={0,2})+", x) and re.search(r"[\w\"']", x)]
+    data = [x for x in lines if _DATA_LINE.fullmatch(x) and re.search(r"[\w\"']", x)]
     return {
         "longest": max(map(len, lines), default=0), "mean": sum(map(len, lines)) / max(1, len(lines)), "lines": len(lines), "solid": solid,
         "blank_share": 1 - len(re.sub(r"\s", "", code)) / max(1, len(code)), "literals": len(lits), "literal_share": (sum(lits) + min(marks, len(lits) * 2)) / solid,

@@ -41,7 +41,7 @@ ADDRESS = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,30}://([^\s:/@\"'<>`]*):([^\s/\"
 _NAME = r"[A-Za-zÀ-ɏЀ-ӿ][\wÀ-ɏЀ-ӿ.-]*"
 _QUOTED = r"(?P<q>[\"'`])(?P<v>(?:\\.|(?!(?P=q)).)*)(?P=q)"
 #: name = "value", name: "value", "name": "value", (name, "value"), name="..." value="...", <name>value</name>
-ASSIGN = re.compile(rf"(?P<n>{_NAME})[\"'`\])]*\s*(?::\s*[A-Za-z\[\]., |]{{1,20}}=|:=|=>|[=:,])\s*\(?\s*(?:[bruf]{{1,2}})?{_QUOTED}")
+ASSIGN = re.compile(rf"(?<![\w.-])(?P<n>{_NAME})[\"'`\])]*\s*(?::\s*[A-Za-z\[\]., |]{{1,20}}=|:=|=>|[=:,])\s*\(?\s*(?:[bruf]{{1,2}})?{_QUOTED}")
 JOINED = re.compile(r"\s*[+.]?\s*(?P<p>[\"'`])(?P<w>[^\"'`\s]+)(?P=p)")
 ATTRIBUTE = re.compile(rf"\b(?:name|key|id|k)\s*=\s*[\"'](?P<n>{_NAME})[\"']\s+(?:value|val|v)\s*=\s*{_QUOTED}")
 ELEMENT = re.compile(rf"<(?P<n>{_NAME})(?:\s[^<>]*)?>(?P<v>[^<>]+)</(?P=n)>")
@@ -53,7 +53,7 @@ BASIC = re.compile(r"(?<!\S)(?:-u|--user)[ =]?(?P<q>['\"]?)(?P<u>[^\s:'\"]+):(?P
 BEARER = re.compile(r"(?i)\b(?:bearer|basic|token)\s+(?P<v>[A-Za-z0-9+/_.~=:!?-]{8,})")
 PROSE = re.compile(r"(?i)\b(?:login|logon|access|credentials?|creds|pass(?:word|wort|phrase)?|secret|token|key)\b[^:=\n`\"']{0,40}[:=]\s*`?(?P<v>[^\s`\"'<>]{8,})`?\s*\.?$")
 
-WRITTEN = re.compile(r"(?i)\b(?:log\s?in|sign\s?in|use|user|account|access)\b[^`]*`[^`]+`[^`]{0,20}\b(?:with|and|password|pw|/)\s*`(?P<v>[^\s`]{6,})`")
+WRITTEN = re.compile(r"(?i)\b(?:log\s?in|sign\s?in|use|user|account|access)\b[^`]{0,200}`[^`]{1,200}`[^`]{0,20}\b(?:with|and|password|pw|/)\s*`(?P<v>[^\s`]{6,})`")
 
 _SECRET_WORDS = frozenset(
     "password passwd passwort pwd pass passphrase passcode passe pw secret token apikey credential credentials cred creds auth authtoken accesstoken kennwort contrasena contraseña clave "

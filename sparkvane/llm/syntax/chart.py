@@ -30,8 +30,8 @@ _PIECE = re.compile(r"\s*(?:(?P<lit>'(?:[^'\\]|\\.)+')|(?P<kind>[A-Z][A-Z_]+)|(?
 class Grammar:
     """A compiled grammar; `fold` makes literals match in any case. `kinds` may hold more tests: {NAME: function(tokens, i) -> new i or -1}."""
 
-    def __init__(self, text, start, fold=False, kinds=None):
-        self.fold, self.kinds = fold, kinds or {}
+    def __init__(self, text, start, fold=False, kinds=None, keep=()):
+        self.fold, self.kinds, self.keep = fold, kinds or {}, keep
         self.sources = {}
         for rule in re.split(r"\n(?=[a-z]\w*\s*=)", re.sub(r"(?m)^\s*#.*$", "", text).strip()):
             name, body = rule.split("=", 1)
@@ -89,9 +89,16 @@ class Grammar:
         return node, k
 
     def parse(self, tokens):
-        """Raise SyntaxIssue unless the tokens, which end with an END token, are wholly a `start`. Returns the spans of named rules in `keep`."""
+        """Raise SyntaxIssue unless the tokens, which end with an END token, are wholly a `start`. Returns the run, with the `spans` of the rules in `keep` where the start is a list of items."""
         run = _Run(self, tokens)
-        end = run.rule(self.names[self.start], 0)
+        top = self.rules[self.names[self.start]]
+        if top[0] == "*" and top[1][0] == "rule":  # a list of items: what lies before a finished item is never read again
+            end = 0
+            while tokens[end].kind != "END" and (j := run.rule(top[1][1], end)) > end:
+                end = j
+                run.forget()
+        else:
+            end = run.rule(self.names[self.start], 0)
         if end < 0 or tokens[end].kind != "END":
             at = min(max(run.far, end), len(tokens) - 1)
             t = tokens[at]
@@ -104,6 +111,14 @@ class _Run:
         self.g, self.tokens, self.far = grammar, tokens, 0
         self.keys = [t.text.lower() if grammar.fold else t.text for t in tokens]
         self.chart = [{} for _ in grammar.rules]
+        self.spans = {}
+
+    def forget(self):
+        """Empty the chart, but for the spans of the rules that the grammar keeps."""
+        for name in self.g.keep:
+            self.spans.setdefault(name, []).extend((i, j) for i, j in self.chart[self.g.names[name]].items() if j >= 0)
+        for c in self.chart:
+            c.clear()
 
     def rule(self, r, i):
         c = self.chart[r]

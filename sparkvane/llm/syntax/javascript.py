@@ -202,7 +202,7 @@ array = '[' (',' / arg (',' / &']'))* ']'
 object = '{' (prop (',' prop)* ','?)? '}'
 prop = '...' assign / method / key ':' assign / IDENT ('=' assign)?
 """,
-    "program",
+    "program", keep=("body", "return"),
     kinds={
         "IDENT": _ident, "LINE": _line, "SAME": _same, "ASSIGN": _op("= += -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??="),
         "BINARY": _op("|| && ?? | ^ & == != === !== < > <= >= instanceof in << >> >>> + - * / % **"), "UNARY": _op("delete void typeof await ! ~ + - ++ --")})
@@ -212,8 +212,15 @@ def check(text):
     """Raise SyntaxIssue unless the text is a module. `return` must stand in a function."""
     t = tokens(text)
     run = GRAMMAR.parse(t)
-    inside = sorted((i, j) for i, j in run.chart[GRAMMAR.names["body"]].items() if j > 0)
-    for k, x in enumerate(t):
-        if x.kind == "NAME" and x.text == "return" and not (k and t[k - 1].text in (".", "?.")) and t[k + 1].text not in (":", "(") and k in run.chart[GRAMMAR.names["return"]] and run.chart[GRAMMAR.names["return"]][k] > 0:
-            if not any(i < k < j for i, j in inside):
-                raise SyntaxIssue("return outside of a function", x.line)
+    inside, last = sorted(run.spans.get("body", ())), -1
+    outer = []  # bodies that lie in no other
+    for i, j in inside:
+        if i >= last:
+            outer.append((i, j))
+            last = j
+    k = 0
+    for i, _ in sorted(run.spans.get("return", ())):
+        while k < len(outer) and outer[k][1] <= i:
+            k += 1
+        if k == len(outer) or not outer[k][0] < i:
+            raise SyntaxIssue("return outside of a function", t[i].line)

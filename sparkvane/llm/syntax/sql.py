@@ -62,7 +62,8 @@ def _op(names):
 
 GRAMMAR = Grammar(
     r"""
-script = ';'* (statement (';'+ statement)* ';'*)?
+script = piece*
+piece = ';' / statement &(';' / END)
 statement = with? (query / insert / update / delete) / create / loose
 loose = LOOSE any*
 any = ANY / '(' any* ')' / '[' any* ']' / '{' any* '}'

@@ -171,3 +171,20 @@ def test_markup_of_tables(spark):
     f, s = tables(spark, [("d", "docs", "a.txt", "<p>x</p> **y**"), ("d", "docs", "a.txt", "<p>x</p> **y**"), ("d", None, "b.md", "plain"), ("s", "repo", "c.md", "# x"), ("d", "docs", "n.md", None)])
     assert sorted(tuple(r) for r in markup.found(f, s).collect()) == [("d", "a.txt", "html"), ("d", "a.txt", "markdown")]
     assert {r["rel"] for r in markup.cleaned(f, s).collect()} == {"a.txt", "b.md"}
+
+
+@pytest.mark.parametrize("text", ["a" * 400_000, "0123456789abcdef" * 30_000, "x_y " * 100_000, "1234567890 " * 40_000 + "foo", "$ " + "ab " * 100_000 + "$", "'" * 50_000, "<p" * 50_000, "use it, " * 40_000, "key = " * 50_000, "\n".join(["-" * 50] * 4000), "=" * 200_000])
+def test_very_long_texts_take_no_long_time(text):
+    import time
+
+    began = time.time()
+    secrets.spans(text, "a.js")
+    markup.families(text)
+    provenance.kinds("a.js", text)
+    assert time.time() - began < 20
+
+
+def test_returns_outside_of_functions():
+    assert validity.first_error("function f() { if (x) { return 1 } }\nconst g = () => { return 2 };\n", "javascript") is None
+    assert validity.first_error("function f() {}\nif (x) { return 1 }\n", "javascript") == (2, "return outside of a function")
+    assert validity.first_error("a.return(1); var o = { return: 2 };\n", "javascript") is None
