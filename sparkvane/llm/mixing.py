@@ -67,8 +67,9 @@ def plan(documents, targets, *, margins=(), margin_shares=None, total=None, path
         one = docs[k].eqNullSafe(rates[k])
         on = one if on is None else on & one
     d = docs.join(F.broadcast(rates), on, "left").select(docs["doc_id"], *(docs[k] for k in keys), "n_tokens", "rate", "cap", "buckets")
+    rest = d.where(F.col("rate").isNull() | (F.col("n_tokens") == 0)).withColumn("uses", F.lit(0))  # never sampled, so never sorted
     h = F.xxhash64("doc_id")
-    d = d.withColumn("_b", F.pmod(h, F.coalesce("buckets", F.lit(64)))).withColumn("_h", h)
+    d = d.where(F.col("rate").isNotNull() & (F.col("n_tokens") > 0)).withColumn("_b", F.pmod(h, "buckets")).withColumn("_h", h)
     # whole uses for all, one more for a systematic sample over the sizes: the share of tokens is met to about one document a bucket
     w = Window.partitionBy(*keys, "_b").orderBy("n_tokens", "_h", "doc_id")
     base = F.floor("rate")
@@ -76,8 +77,8 @@ def plan(documents, targets, *, margins=(), margin_shares=None, total=None, path
     start = F.pmod(F.xxhash64(*keys, "_b"), F.lit(1_000_003)) / 1_000_003
     k = F.row_number().over(w)
     extra = F.floor(k * frac + start) - F.floor((k - 1) * frac + start)
-    uses = F.least(base + extra, F.col("cap"))
-    d = d.withColumn("uses", F.when(F.col("rate").isNull() | (F.col("n_tokens") == 0), 0).otherwise(uses).cast("int"))
+    d = d.withColumn("uses", F.least(base + extra, F.col("cap")).cast("int"))
+    d = d.select("doc_id", "source", "n_tokens", "uses").unionByName(rest.select("doc_id", "source", "n_tokens", "uses"))
     out = d.select("doc_id", "source", F.col("n_tokens"), "uses")
     sums = out.groupBy("source").agg(
         F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"), F.sum(F.col("n_tokens") * F.col("uses")).alias("used_tokens"), F.max("uses").alias("most_uses"))
