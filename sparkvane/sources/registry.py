@@ -1,4 +1,5 @@
 """The catalogue of loaded sources: names, lookup, file references, and paths mentioned in a message."""
+import functools
 import os
 import re
 from dataclasses import dataclass, field
@@ -32,6 +33,13 @@ class Source:
         raise KeyError(f"{self.name} has no sheet {sheet!r}; it has {', '.join(self.sheets)}")
 
 
+@functools.lru_cache(maxsize=256)
+def _cached_text(path, mtime, size):
+    """(text, reason) of a file; read again only when its time or size has changed."""
+    with open(path, "rb") as f:
+        return readers.text_of(path, f.read())
+
+
 class SourceRegistry:
     """Sources by unique name; a path that is loaded again replaces its source, and the last one loaded answers where no name is given."""
 
@@ -66,8 +74,8 @@ class SourceRegistry:
             ext = "." + path.rsplit(".", 1)[-1].lower()
             if ext in readers.TABLE_EXT or ext == ".json" and hint == "data":
                 return Source(name, "data", path, sheets=readers.read_table(self.spark, path, **options))
-            with open(path, "rb") as f:
-                text, why = readers.text_of(path, f.read())
+            st = os.stat(path)
+            text, why = _cached_text(path, st.st_mtime_ns, st.st_size)
             if why:
                 raise readers.SourceError(f"{path}: {why}")
             rel = path.rsplit("/", 1)[-1]
