@@ -13,6 +13,8 @@ VISUAL = (
 NEGATED = r"(?i)\b(?:not|cannot|can't|couldn't|n't|if you|want|would)\b"
 FENCE = r"(?s)```.*?```"
 SNIPPET_LINES, CLAIM_CHARS = 12, 200
+# First characters that names are looked up by; characters of a window of a long run and the step between windows, which overlap by more than an identifier's 80.
+SEED, WINDOW, STEP = 6, 1000, 900
 
 
 def extract(answers):
@@ -76,6 +78,24 @@ def report(checked):
     return checked.dropDuplicates(["answer_id", "source", "rel", "start", "end"])
 
 
+def contained(terms, texts):
+    """(term) of the distinct names that occur anywhere in a text, as parts of words too.
+
+    A name lies within a run of name characters. The texts' distinct runs are cut into pieces of SEED characters that join the names on
+    their first SEED; shorter names equal a piece of their own length. No text is paired with all names."""
+    runs = texts.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_.]+"), F.lit(0)))).alias("run"))
+    runs = runs.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("run"), F.lit(STEP)), lambda i: F.substring(F.col("run"), i, F.lit(WINDOW)))).alias("run")).distinct()
+
+    def pieces(n):
+        return F.transform(F.sequence(F.lit(1), F.length("run") - n + 1), lambda i: F.substring(F.col("run"), i, n))
+
+    short = runs.select(F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(SEED - 1), F.length("run"))), pieces))).alias("term")).distinct()
+    seeds = runs.where(F.length("run") >= SEED).select("run", F.explode(F.array_distinct(pieces(F.lit(SEED)))).alias("seed"))
+    long = terms.where(F.length("term") >= SEED).withColumn("seed", F.substring("term", 1, SEED))
+    long = long.join(seeds, "seed").where(F.contains("run", F.col("term"))).select("term").distinct()
+    return terms.where(F.length("term") < SEED).join(short, "term", "left_semi").unionByName(long)
+
+
 def identifiers(answers, checked, files, evidence):
     """(answer_id, identifier): back-ticked names in a paragraph with a resolved citation that no file cited there or read contains."""
     text = F.regexp_replace("text", FENCE, "")
@@ -87,12 +107,14 @@ def identifiers(answers, checked, files, evidence):
     good = checked.where("source is not null").select("answer_id", "raw", "source", "rel").distinct()
     cited = names.join(good, "answer_id").where(F.contains("para", F.col("raw"))).select("answer_id", "p", "identifier", "source", "rel")
     read = names.join(good, "answer_id").where(F.contains("para", F.col("raw"))).select("answer_id", "p", "identifier").distinct()
-    shown = evidence.select("source", "rel").distinct()
-    pool = cited.unionByName(read.join(F.broadcast(shown), how="cross")) if shown.limit(1001).count() <= 1000 else cited  # the files shown in one turn
     bare = F.regexp_replace("identifier", r"\(\)$", "")
     last = F.element_at(F.split(bare, r"\."), -1)
     texts = files.where("text is not null").select("source", "rel", "text").dropDuplicates(["source", "rel"])
-    hit = pool.distinct().join(texts, ["source", "rel"]).where(F.contains("text", bare) | F.contains("text", last)).select("answer_id", "p", "identifier").distinct()
+    hit = cited.distinct().join(texts, ["source", "rel"]).where(F.contains("text", bare) | F.contains("text", last)).select("answer_id", "p", "identifier").distinct()
+    shown = texts.join(evidence.select("source", "rel").distinct(), ["source", "rel"], "left_semi")
+    terms = names.select("identifier").distinct().select("identifier", F.explode(F.array(bare, last)).alias("term"))
+    there = terms.join(contained(terms.select("term").distinct(), shown), "term").select("identifier").distinct()
+    read = read.join(there, "identifier", "left_anti")
     return read.join(hit, ["answer_id", "p", "identifier"], "left_anti").select("answer_id", "identifier").distinct()
 
 

@@ -217,6 +217,19 @@ def test_citations(spark):
     assert [x["identifier"] for x in citations.identifiers(a, citations.check(citations.extract(a), files, ev), files, ev).collect()] == ["nothing_here"]
 
 
+def test_identifiers_are_looked_for_in_all_shown_files(spark):
+    rows = [("repo", f"f{k}.py", f"pass{k}") for k in range(1200)] + [("repo", "last.py", "def open_ledger(): q.ab7 " + "z" * 2500 + "far_away_name" + "y" * 500)]
+    files = frame(spark, rows, "source string, rel string, text string")
+    ev = retrieval.evidence(files.select("source", "rel", F.lit(1).alias("start"), F.lit(1).alias("end")))
+    names = ["open_ledger()", "x.pen_led", "ab7", "far_away_name", "zzzzzzz", "pass0", "open_ledgers", "b77", "nowhere.at_all", "pass1200", "yyyzzzyyy"]
+    a = frame(spark, [(1, " ".join(f"`{x}`" for x in names) + " [f0.py:L1]\n\n`uncited_here`")], "answer_id bigint, text string")
+    got = citations.identifiers(a, citations.check(citations.extract(a), files, ev), files, ev)
+    assert {r["identifier"] for r in got.collect()} == {"open_ledgers", "b77", "nowhere.at_all", "pass1200", "yyyzzzyyy"}
+    few = ev.where("rel != 'last.py'")
+    got = citations.identifiers(a, citations.check(citations.extract(a), files, few), files, few)
+    assert {r["identifier"] for r in got.collect()} == {*names} - {"pass0"}
+
+
 def test_shapley_values_add_up(spark):
     rng = np.random.default_rng(6)
     p = pd.DataFrame(rng.normal(size=(300, 3)), columns=["a", "b", "c"])
