@@ -69,20 +69,24 @@ def cv_score(df, y, features, key, classification, k=5, depth=5, trees=TREES):
 
 
 def learning_curve(df, y, features, key, classification, k=3, depth=5, trees=TREES, rows=CURVE_ROWS):
-    """(train_size, train_score, test_score): means over k folds at five sizes from 10 % to 100 % of the training part of the first rows."""
-    first = df.where(F.col(y).isNotNull()).orderBy(key).limit(rows)
+    """(train_size, train_score, test_score): means over k folds at five sizes from 10 % to 100 % of the training part of the first rows, or of all if `rows` is None."""
+    first = df.where(F.col(y).isNotNull())
+    if rows is not None:
+        first = first.orderBy(key).limit(rows)
     x = folds(prepare(first, y, features, [key]), key, k, "label" if classification else None).cache()
     n = x.count()
     sizes = [max(1, int(f * (n - -(-n // k)))) for f in np.linspace(0.1, 1.0, 5)]
-    out = []
-    for size in sizes:
-        tr, te = [], []
-        for i in range(k):
-            part = x.where(F.col("fold") != i).orderBy(F.xxhash64(key), key).limit(size)
+    tr, te = [[] for _ in sizes], [[] for _ in sizes]
+    for i in range(k):
+        train = positions(x.where(F.col("fold") != i).withColumn("_h", F.xxhash64(key)), "_h").cache()  # in a seeded order, and no single task has it all
+        test = x.where(F.col("fold") == i)
+        for j, size in enumerate(sizes):
+            part = train.where(F.col("_pos") < size)
             m = forest(classification, depth, trees).fit(part)
-            tr.append(score(m, part, classification))
-            te.append(score(m, x.where(F.col("fold") == i), classification))
-        out.append((size, float(np.mean(tr)), float(np.mean(te))))
+            tr[j].append(score(m, part, classification))
+            te[j].append(score(m, test, classification))
+        train.unpersist()
+    out = [(size, float(np.mean(a)), float(np.mean(b))) for size, a, b in zip(sizes, tr, te, strict=True)]
     x.unpersist()
     return df.sparkSession.createDataFrame(out, "train_size int, train_score double, test_score double")
 

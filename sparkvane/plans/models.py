@@ -17,27 +17,27 @@ def parts(s, d):
 
 @query("cv_score")
 def cv_score(s, d):
-    return surrogate.cv_score(parts(s, d), "y", _X, "p_partkey", True, trees=20)
+    return surrogate.cv_score(parts(s, d), "y", _X, "p_partkey", True)
 
 
 @query("learning_curve")
 def learning_curve(s, d):
-    return surrogate.learning_curve(parts(s, d), "target", _X, "p_partkey", False, trees=10)
+    return surrogate.learning_curve(parts(s, d), "target", _X, "p_partkey", False, rows=None)
 
 
 @query("feature_importance")
 def feature_importance(s, d):
-    return surrogate.feature_importance(parts(s, d), "y", _X, "p_partkey", True, trees=20)
+    return surrogate.feature_importance(parts(s, d), "y", _X, "p_partkey", True)
 
 
 @query("shap_importance")
 def shap_importance(s, d):
-    return surrogate.shap_importance(parts(s, d), "y", _X, "p_partkey", True, trees=20)
+    return surrogate.shap_importance(parts(s, d), "y", _X, "p_partkey", True)
 
 
 @query("robustness")
 def robustness(s, d):
-    return surrogate.robustness(parts(s, d), "y", _X, "p_partkey", True, trees=20)
+    return surrogate.robustness(parts(s, d), "y", _X, "p_partkey", True)
 
 
 @query("kmeans_wcss")

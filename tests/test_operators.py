@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkvane.functions import types
 from sparkvane.operators import battery, charts, citations, compare, metrics, ordered, quality, reshape, retrieval, surrogate, temporal, vision
+from sparkvane.plans import models
 
 
 def frame(spark, rows, schema):
@@ -248,6 +249,31 @@ def test_shapley_values_add_up(spark):
     assert rob["degradation"] == pytest.approx(rob["baseline"] - rob["noisy"])
 
 
+def test_model_queries_use_the_whole_forest(spark, sf, monkeypatch):
+    class Stop(Exception):
+        pass
+
+    seen = []
+
+    def stop(classification, depth=5, trees=surrogate.TREES):
+        seen.append(trees)
+        raise Stop
+
+    monkeypatch.setattr(surrogate, "forest", stop)
+    for f in (models.cv_score, models.learning_curve, models.feature_importance, models.shap_importance, models.robustness):
+        with pytest.raises(Stop):
+            f(spark, sf)
+    assert seen == [100] * 5
+
+
+def test_learning_curve_over_all_rows(spark, monkeypatch):
+    df = spark.range(3600).select(F.col("id").alias("k"), (F.col("id") % 10).alias("a"), (F.col("id") % 10 * 2).alias("y"))
+    monkeypatch.setattr(models, "parts", lambda s, d: df.select(F.col("k").alias("p_partkey"), F.col("y").alias("target"), *(F.col("a").alias(c) for c in models._X)))
+    monkeypatch.setattr(surrogate, "forest", lambda classification, depth=5, trees=100, f=surrogate.forest: f(classification, depth, 1))
+    got = models.learning_curve(spark, None).collect()
+    assert [r["train_size"] for r in got] == [240, 780, 1320, 1860, 2400] and got[-1]["test_score"] > 0.8
+
+
 def test_battery_isolates_failures(spark):
     df = frame(spark, [(i % 2, i / 50, "a" if i < 30 else "b", float(i)) for i in range(50)], "y int, p double, s string, f double")
     r = battery.run(df, "classification", "y", "p", "s", ["performance", "gini", "multicollinearity"])
