@@ -94,6 +94,13 @@ def test_clean_and_quoted_texts_stay(model, text):
     assert not found and new == text
 
 
+def test_copies_take_one_place_in_the_sample(spark):
+    d = spark.createDataFrame([(t,) for t in CLEAN], "text string")
+    copies = d.join(spark.range(20)).select("text")
+    assert mojibake.train(copies, rows=8) == mojibake.train(d, rows=8) == mojibake.grams(CLEAN)
+    assert mojibake.train(copies, rows=3) == mojibake.train(d, rows=3)
+
+
 def test_found_documents(spark):
     bad = CLEAN[0].encode().decode("cp1252")
     rows = [(k, CLEAN[k % 8]) for k in range(80)] + [(100, bad), (101, None), (102, ""), (103, bad)]
