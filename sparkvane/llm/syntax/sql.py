@@ -10,16 +10,23 @@ _TOKEN = re.compile(
 _RESERVED = frozenset(
     "select from where group having order limit union intersect except join on using inner left right full cross natural values set into case when then else end and or not in is between like ilike as by "
     "insert update delete create drop alter with returning window fetch offset for qualify lateral distinct all any exists cast interval desc asc".split())
-#: Statements whose inner order differs too much between dialects: any balanced tokens, but some.
-_LOOSE = frozenset(
-    "alter drop grant revoke truncate set use show describe desc explain analyze vacuum comment copy call execute exec declare begin start commit rollback end savepoint release lock unlock pragma attach detach "
-    "merge replace refresh optimize repair cache uncache msck reset rename import export load install checkpoint prepare deallocate listen notify reindex cluster discard do if while go print return "
-    "delimiter signal open close fetch leave iterate loop cursor deny kill shutdown flush purge handler help abort unload put get list remove undrop raise".split())
+#: Kinds of objects that are created, altered and dropped.
+_OBJECT = frozenset(
+    "table view index schema database catalog role user group function procedure aggregate sequence trigger type domain extension policy rule server operator cast collation language tablespace publication subscription "
+    "statistics event partition package synonym macro secret warehouse stage pipe stream task share integration login certificate column constraint foreign materialized external temporary temp session system default "
+    "unique or replace concurrently fulltext spatial bitmap clustered nonclustered columnstore body public privileges data wrapper mapping access method file format masking row network resource tag profile online offline virtual".split())
+#: A statement cannot end with these.
+_DANGLING = (
+    "= , . + - * / < > <= >= <> != || := => :: set to as on with from where and or not by in then when using add column values into if between like join inner left right full cross having group select update insert "
+    "else case is references check constraint rename returns identified table only owner begin")
+_CONFLICT = re.compile(r"(?m)^(?:<{7}|={7}|>{7}|\|{7})(?:[ \t\r].*)?$")
 
 
 def tokens(text):
     out, i, line = [], 0, 1
     while i < len(text):
+        if text[i] in "<=>|" and (not i or text[i - 1] == "\n") and _CONFLICT.match(text, i):
+            raise SyntaxIssue("conflict marker", line)
         m = _TOKEN.match(text, i)
         if not m:
             c = text[i]
@@ -51,8 +58,8 @@ def _any(t, i):
     return i + 1 if t[i].kind != "END" and t[i].text not in ("(", ")", ";", "[", "]", "{", "}") else -1
 
 
-def _loose(t, i):
-    return i + 1 if t[i].kind == "NAME" and t[i].text.lower() in _LOOSE else -1
+def _object(t, i):
+    return i + 1 if t[i].kind == "NAME" and t[i].text.lower() in _OBJECT else -1
 
 
 def _op(names):
@@ -64,8 +71,24 @@ GRAMMAR = Grammar(
     r"""
 script = piece*
 piece = ';' / statement &(';' / END)
-statement = with? (query / insert / update / delete) / create / loose
-loose = LOOSE any*
+statement = with? (query / insert / update / delete / merge) / create / alter / drop / explain / grant / setting / transaction / block / data / command
+rest = (!(DANGLING (';' / END)) any)*
+more = &any !(DANGLING (';' / END)) any rest
+merge = 'merge' 'into'? name alias? 'using' table 'on' expr when+ returning?
+when = 'when' 'not'? 'matched' ('by' ('target' / 'source'))? ('and' expr)? 'then' ('update' 'set' ('*' / sets) ('where' expr)? ('delete' 'where' expr)? / 'delete' / 'do' 'nothing' / 'insert' ('*' / columnlist? (values / 'default' 'values' / 'row')) ('where' expr)?)
+alter = 'alter' ('table' ('if' 'exists')? 'only'? name '*'? action (',' action)* / !'table' OBJECT+ ('if' 'exists')? (name args?)? more)
+action = 'add' 'column'? ('if' 'not' 'exists')? ('(' defs ')' / 'constraint' IDENT WORD more / ('primary' 'key' / 'foreign' 'key' / 'unique' / 'check' / 'index' / 'key' / 'partition' / 'fulltext') more / !'column' name type constraint* place?) / 'drop' ('constraint' / 'column' / 'index' / 'primary' 'key' / 'foreign' 'key' / 'partition' / 'not' 'null')? ('if' 'exists')? (name / '(' any* ')')? ('cascade' / 'restrict')? / 'rename' ('column' / 'constraint' / 'index')? (('to' / 'as') name / name 'to' name) / ('alter' / 'modify') 'column'? name change / 'change' 'column'? name name type constraint* place? / ('set' / 'owner' / 'enable' / 'disable' / 'attach' / 'detach' / 'inherit' / 'no' / 'validate' / 'cluster' / 'replica' / 'exchange' / 'switch' / 'convert' / 'force' / 'recover' / 'reset' / 'unset' / 'swap' / 'engine' / 'replace' / 'with' / 'auto_increment' / 'comment' / 'row' / 'order' / 'truncate' / 'merge' / 'split' / 'move') more
+change = 'set' 'default' expr / 'drop' ('default' / 'not' 'null' / 'identity' / 'expression') ('if' 'exists')? / 'set' 'not' 'null' / ('set' 'data')? 'type' type ('collate' name)? ('using' expr)? / ('set' / 'reset' / 'add' / 'comment' / 'restart') more / type constraint* place?
+place = 'first' / 'after' name
+drop = ('drop' / 'undrop') OBJECT+ ('if' 'exists')? name args? (',' name args?)* ('on' name)? rest
+explain = 'explain' ('analyze' / 'verbose' / 'extended' / 'formatted' / 'codegen' / 'cost' / 'logical' / 'ast' / 'query'? 'plan' 'for'? / '(' any* ')' / 'format' '=' WORD)* statement / ('describe' / 'desc') ('table' / 'extended' / 'formatted' / 'schema' / 'database' / 'function' / 'view' / 'query')* (statement / name rest)
+grant = ('grant' / 'deny') (!('to' / ';') any)+ 'to' any rest / 'revoke' (!('from' / ';') any)+ 'from' any rest
+setting = 'set' ('session' / 'local' / 'global' / 'persist')? (('transaction' / 'names' / 'role' / 'password' / 'constraints' / 'schema' / 'authorization' / 'characteristics' / 'time' 'zone' / 'character' 'set' / 'catalog') more / assign (',' assign)* / IDENT name? ('on' / 'off') / IDENT '.' name) / ('reset' / 'unset') name
+assign = name ('=' / ':=' / 'to') ('default' / 'on' / 'off' / expr) (',' expr !'=')*
+transaction = ('start' 'transaction' / 'begin' ('transaction' / 'tran' / 'work' / 'immediate' / 'deferred' / 'exclusive')) rest / ('commit' / 'rollback' / 'abort') ('transaction' / 'tran' / 'work' / 'prepared')? ('to' 'savepoint'? IDENT / 'and' 'no'? 'chain' / IDENT / STRING)? / ('savepoint' / 'release' 'savepoint'? / 'save' ('transaction' / 'tran')) IDENT / ('lock' / 'unlock') ('table' / 'tables') rest / 'checkpoint'
+block = 'begin' ('try' / 'catch' / 'not'? 'atomic')? statement? / 'end' ('if' / 'loop' / 'while' / 'case' / 'try' / 'catch' / 'transaction' / 'work' / 'repeat' / 'for')? IDENT? / 'if' expr 'then'? statement / ('elseif' / 'elsif') expr 'then' statement / 'else' statement? / 'while' expr ('do' / 'loop')? statement / 'loop' statement / 'do' (STRING / 'language' IDENT STRING) ('language' IDENT)? / 'return' expr? / 'print' expr / ('raise' ('notice' / 'exception' / 'info' / 'warning' / 'log' / 'debug')? / 'signal' 'sqlstate') STRING rest / 'declare' (PARAM / IDENT) more / 'go' NUMBER? / ('leave' / 'iterate') IDENT / ('open' / 'close') IDENT / 'fetch' (!'into' any)+ 'into' more / 'deallocate' 'prepare'? name
+data = 'truncate' 'table'? ('if' 'exists')? 'only'? name (',' name)* rest / 'comment' ('if' 'exists')? 'on' OBJECT+ (!'is' any)+ 'is' (STRING+ / 'null') / 'copy' 'into'? (name columnlist? / '(' any* ')' / STRING / PARAM any*) ('from' / 'to') more / 'load' ('data' / 'xml') more / 'unload' '(' any* ')' 'to' more / 'export' ('data' / 'database' / 'table') more / 'import' ('foreign' 'schema' / 'database' / 'table') more / 'attach' 'database'? (STRING / name) rest / 'detach' 'database'? ('if' 'exists')? name
+command = 'call' name args? / ('exec' / 'execute') 'immediate'? (name / '(' exprs ')' / STRING) rest / 'prepare' name ('(' any* ')')? ('as' statement / 'from' more) / 'show' WORD rest / 'use' ('database' / 'schema' / 'warehouse' / 'role' / 'catalog')? name / 'pragma' name ('=' ('on' / 'off' / expr) / '(' any* ')')? / ('analyze' / 'vacuum' / 'reindex' / 'cluster') ('(' any* ')')? rest / ('optimize' / 'refresh' / 'repair' / 'cache' / 'uncache' / 'msck' / 'discard' / 'purge' / 'flush' / 'listen' / 'unlisten' / 'notify' / 'install' / 'load') (WORD / STRING) rest / 'kill' (NUMBER / WORD) rest / 'delimiter' any* / ('put' / 'get') (STRING / PARAM) more / ('list' / 'remove') PARAM rest / 'shutdown'
 any = ANY / '(' any* ')' / '[' any* ']' / '{' any* '}'
 with = 'with' 'recursive'? cte (',' cte)*
 cte = IDENT columns? 'as' ('not'? 'materialized')? '(' (with? (query / insert / update / delete)) ')'
@@ -101,7 +124,8 @@ update = 'update' ('only')? name alias? join* 'set' sets ('from' from)? ('where'
 sets = set (',' set)*
 set = (name / '(' name (',' name)* ')') ('=' / ':=' / '+=') ('default' / expr)
 delete = 'delete' 'from'? name alias? ('using' from)? ('where' expr)? order? tail* returning?
-create = 'create' ('or' ('replace' / 'alter') / 'temp' / 'temporary' / 'unlogged' / 'external' / 'global' / 'local' / 'unique' / 'materialized' / 'recursive' / 'clustered' / 'nonclustered' / 'secure' / 'transient' / 'volatile')* (createtable / createview / WORD any any*)
+create = 'create' ('or' ('replace' / 'alter') / 'temp' / 'temporary' / 'unlogged' / 'external' / 'global' / 'local' / 'unique' / 'materialized' / 'recursive' / 'clustered' / 'nonclustered' / 'secure' / 'transient' / 'volatile')* (createtable / createview / createindex / !('table' / 'view' / 'index' / 'fulltext' / 'spatial' / 'bitmap' / 'columnstore') OBJECT+ ('if' 'not' 'exists')? name rest)
+createindex = 'columnstore' 'index' IDENT 'on' name rest / ('fulltext' / 'spatial' / 'bitmap')? 'index' 'concurrently'? ('if' 'not' 'exists')? (!'on' name)? ('using' WORD)? 'on' ('only' / 'table')? name ('using' WORD)? '(' any+ ')' rest
 createtable = 'table' ('if' 'not' 'exists')? name ('(' defs ')' options ('as' '('? with? query ')'?)? / options 'as' '('? with? query ')'? / 'like' name any* / 'clone' name any*)
 defs = def (',' def)*
 def = ('constraint' IDENT)? ('primary' 'key' / 'unique' / 'foreign' 'key' / 'check' / 'index' / 'key' / 'exclude' / 'like') any* / name type? constraint*
@@ -131,7 +155,7 @@ bound = ('unbounded' / 'current') WORD / value ('preceding' / 'following')
 """,
     "script", fold=True,
     kinds={
-        "IDENT": _ident, "WORD": _word, "ANY": _any, "LOOSE": _loose, "FROM": _op("from"), "COMPARE": _op("= == <> != < > <= >= <=> ~ ~* !~ !~* @> <@ && ?| ?& :="), "BINARY": _op("+ - * / % || | & ^ << >> -> ->> #> #>> div mod"),
+        "IDENT": _ident, "WORD": _word, "ANY": _any, "OBJECT": _object, "DANGLING": _op(_DANGLING), "FROM": _op("from"), "COMPARE": _op("= == <> != < > <= >= <=> ~ ~* !~ !~* @> <@ && ?| ?& :="), "BINARY": _op("+ - * / % || | & ^ << >> -> ->> #> #>> div mod"),
         "CALLWORD": _op("left right replace insert set values if any all exists cast window like in interval"), "WORDTYPE": _op("precision varying with without time zone local unsigned signed"),
         "WORDUNIT": _op("year years month months day days hour hours minute minutes second seconds week weeks quarter quarters millisecond milliseconds microsecond microseconds")})
 

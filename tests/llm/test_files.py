@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkvane.llm import markup, provenance, secrets, validity
-from sparkvane.llm.syntax import chart
+from sparkvane.llm.syntax import chart, sql
 
 FILES = "source string, kind string, rel string, text string"
 SOURCES = "name string, kind string, path string, skipped array<string>"
@@ -99,6 +99,30 @@ def test_invalid(lang, text):
     assert validity.first_error(text, lang) is not None
 
 
+@pytest.mark.parametrize("text", [
+    "import os\nimport sys\n", "from os import path\n", "import os, sys\n# a comment\nx = 1\n", "set -e\nset -o pipefail\nexport A=1\n", "export PATH=/bin\n", "raise ValueError", "show(x)", "MERGE INTO t USING s ON t.a = s.a WHEN MATCHED THEN UPDATE SET", "MERGE INTO t USING s", "ALTER TABLE t ADD COLUMN",
+    "ALTER TABLE t ADD COLUMN x", "EXPLAIN SELECT a FROM", "CREATE INDEX i ON", "CREATE INDEX i ON t", "GRANT SELECT ON t TO", "SET x =", "CALL", "CREATE USER a IDENTIFIED BY", "ALTER TABLE t ADD COLUMN a int\n<<<<<<< HEAD\n, ADD b int\n=======\n, ADD c int\n>>>>>>> x\n", "SHOW TABLES\n=======\n", "COMMENT ON TABLE t IS"])
+def test_invalid_statements(text):
+    assert chart_issue(text)
+
+
+@pytest.mark.parametrize("text", [
+    "MERGE INTO t AS a USING (SELECT 1 AS k) s ON a.k = s.k WHEN MATCHED AND s.k > 1 THEN UPDATE SET k = s.k, v = 2 WHEN NOT MATCHED THEN INSERT (k) VALUES (s.k)", "ALTER TABLE a.t ADD COLUMN x int NOT NULL DEFAULT 0, DROP COLUMN y", "ALTER TABLE t ALTER COLUMN x TYPE bigint USING x::bigint", "ALTER TABLE t RENAME TO u;",
+    "ALTER ROLE r WITH PASSWORD 'x'", "ALTER TABLE t ADD CONSTRAINT c FOREIGN KEY (a) REFERENCES u (b)", "ALTER TABLE t ADD PRIMARY KEY (a);", "ALTER TABLE t OWNER TO me", "EXPLAIN ANALYZE SELECT 1; EXPLAIN (ANALYZE) DELETE FROM t WHERE a = 1", "CREATE UNIQUE INDEX IF NOT EXISTS i ON a.t USING btree (lower(x), y DESC) WHERE x > 1", "CREATE INDEX ON t (a)",
+    "CREATE USER svc IDENTIFIED BY 'x'", "CREATE OR REPLACE FUNCTION f(a int) RETURNS int AS $$ SELECT 1 $$ LANGUAGE sql", "CREATE SCHEMA IF NOT EXISTS x", "CREATE EXTENSION pgcrypto", "GRANT SELECT, INSERT ON ALL TABLES IN SCHEMA s TO r WITH GRANT OPTION; REVOKE ALL ON t FROM r", "SET search_path TO a, b; SET x = 1; SET NOCOUNT ON; SET TIME ZONE 'UTC'; SET a.b = true",
+    "BEGIN; UPDATE t SET a = 1; COMMIT; BEGIN TRANSACTION; ROLLBACK TO SAVEPOINT x", "BEGIN", "CALL p(1, 2); EXEC p @a = 1; USE db; SHOW TABLES; PRAGMA foreign_keys = ON; VACUUM t; ANALYZE", "DROP TABLE IF EXISTS a, b CASCADE; DROP INDEX i; TRUNCATE TABLE t", "COMMENT ON COLUMN t.a IS 'x'; COPY t (a) FROM 's' WITH (FORMAT csv)",
+    "DECLARE @x INT = 1; IF @x > 1 BEGIN SELECT 1; END; PRINT 'a'", "CREATE TRIGGER g BEFORE INSERT ON t FOR EACH ROW EXECUTE FUNCTION f()", "SELECT '\n=======\n' -- x\n/*\n>>>>>>> a\n*/"])
+def test_valid_statements(text):
+    assert chart_issue(text) is None
+
+
+def chart_issue(text):
+    try:
+        return sql.check(text)
+    except chart.SyntaxIssue as e:
+        return str(e)
+
+
 def test_deep_nesting_and_the_place_of_an_error():
     n = 3000
     assert validity.first_error("x = " + "[" * n + "]" * n, "javascript") is None
