@@ -32,6 +32,15 @@ def per_text(df, schema, fn, *, keys, extra=()):
     return spread(df.select(*cols), *keys).mapInPandas(run, schema)
 
 
+def of_kind(rows, sources, kind):
+    """The `rows` (with columns source and kind) of sources of a kind; where a row's kind is null, its source's own holds.
+
+    One left join and one filter, so the Python pass that made the rows runs once. The planner measures the list of names and
+    broadcasts it only where it is small; rows, not texts, move otherwise."""
+    own = sources.where((F.col("kind") == kind) & F.col("name").isNotNull()).select(F.col("name").alias("source")).distinct().withColumn("_own", F.lit(True))
+    return rows.join(own, "source", "left").where((F.col("kind") == kind) | (F.col("kind").isNull() & F.col("_own"))).drop("_own")
+
+
 def role_of(col):
     """'user', 'assistant', 'other' for rows of role system and tool, else null."""
     r = F.lower(F.regexp_replace(col, r"^\s+|\s+$", ""))

@@ -6,9 +6,7 @@ import html
 import re
 from collections import deque
 
-from pyspark.sql import functions as F
-
-from .common import per_text
+from .common import of_kind, per_text
 
 FAMILIES = ("html", "latex", "markdown", "wiki")
 
@@ -399,11 +397,6 @@ def clean(text):
     return "".join(out)
 
 
-def _in_docs(found, sources):
-    kinds = sources.where("kind = 'docs' and name is not null").select(F.col("name").alias("source")).distinct()
-    return found.where("kind = 'docs'").unionByName(found.where("kind is null").join(kinds, "source", "left_semi"))
-
-
 def docs_rows(files):
     """Read rows that may be files of docs sources."""
     return files.where("text is not null and (kind = 'docs' or kind is null)")
@@ -416,7 +409,7 @@ def found(files, sources):
         return [(source, rel, f, kind) for f in families(text)]
 
     x = per_text(docs_rows(files), "source string, rel string, markup string, kind string", rows, keys=("source", "rel"), extra=("text", "kind"))
-    return _in_docs(x, sources).select("source", "rel", "markup").distinct()
+    return of_kind(x, sources, "docs").select("source", "rel", "markup").distinct()
 
 
 def cleaned(files, sources):
@@ -426,4 +419,4 @@ def cleaned(files, sources):
         return [(source, rel, families(text), clean(text), kind)]
 
     x = per_text(docs_rows(files), "source string, rel string, markup array<string>, text string, kind string", rows, keys=("source", "rel"), extra=("text", "kind"))
-    return _in_docs(x, sources).drop("kind").dropDuplicates(["source", "rel"])
+    return of_kind(x, sources, "docs").drop("kind").dropDuplicates(["source", "rel"])

@@ -3,8 +3,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from .common import per_text
-from .secrets import _in_repo, repo_rows
+from .common import of_kind, per_text
+from .secrets import repo_rows
 
 CODE = (".py", ".js", ".sql", ".sh")
 
@@ -128,17 +128,19 @@ def kinds(rel, text, path=None):
 def flagged(files, sources):
     """(source, rel, kind): every reason for every code file of repo sources; repeated rows count once.
 
-    A source whose own place is foreign is third-party as a whole. Such sources are few, so their names are joined to slim rows only."""
+    A source whose own place is foreign is third-party as a whole. Each text is read once; what joins the sources are slim rows,
+    one for a code file that is not blank, with its reasons."""
     f = repo_rows(files).where(F.lower("rel").rlike(r"\.(py|js|sql|sh)$"))
 
     def rows(source, rel, text, kind):
-        return [(source, rel, k, kind) for k in kinds(rel, text)]
+        return [(source, rel, kinds(rel, text), kind)] if text and text.strip() else []
 
-    own = per_text(f, "source string, rel string, reason string, kind string", rows, keys=("source", "rel"), extra=("text", "kind"))
+    own = per_text(f, "source string, rel string, reasons array<string>, kind string", rows, keys=("source", "rel"), extra=("text", "kind"))
     parts = F.split(F.lower("path"), "/")
-    foreign = sources.where(F.arrays_overlap(parts, F.array(*(F.lit(x) for x in sorted(FOREIGN))))).select(F.col("name").alias("source")).distinct()
-    whole = f.where("length(trim(text)) > 0").select("source", "rel", "kind").join(foreign, "source", "left_semi").select("source", "rel", F.lit("third-party").alias("reason"), "kind")
-    return _in_repo(own.unionByName(whole), files, sources).select("source", "rel", F.col("reason")).distinct()
+    foreign = sources.where(F.arrays_overlap(parts, F.array(*(F.lit(x) for x in sorted(FOREIGN))))).select(F.col("name").alias("source")).distinct().withColumn("_foreign", F.lit(True))
+    every = of_kind(own, sources, "repo").join(foreign, "source", "left")
+    reasons = F.when(F.col("_foreign"), F.array_union("reasons", F.array(F.lit("third-party")))).otherwise(F.col("reasons"))
+    return every.select("source", "rel", F.explode(reasons).alias("reason")).distinct()
 
 
 def found(files, sources):

@@ -5,9 +5,7 @@ import json
 import math
 import re
 
-from pyspark.sql import functions as F
-
-from .common import per_text
+from .common import of_kind, per_text
 
 #: What a line must hold, in lower case, before any pattern is tried on it.
 KEYWORDS = (
@@ -266,13 +264,6 @@ def redact(text, rel="", found=None):
     return "".join([*out, text[last:]])
 
 
-def _in_repo(found, files, sources):
-    """Keep rows of repo sources; where `files.kind` is null, the source's own kind holds. Only found rows are joined."""
-    kinds = sources.where("kind = 'repo' and name is not null").select(F.col("name").alias("source")).distinct()
-    known = found.where("kind = 'repo'")
-    return known.unionByName(found.where("kind is null").join(kinds, "source", "left_semi"))
-
-
 def repo_rows(files):
     """Rows that may be files of repo sources: read ones, with kind repo or unknown."""
     return files.where("text is not null and (kind = 'repo' or kind is null)")
@@ -285,7 +276,7 @@ def found(files, sources):
         return [(source, rel, n, kind) for n in sorted({text.count("\n", 0, a) + 1 for a, _, _ in spans(text, rel or "")})]
 
     f = per_text(repo_rows(files), "source string, rel string, line_no bigint, kind string", lines, keys=("source", "rel"), extra=("text", "kind"))
-    return _in_repo(f, files, sources).select("source", "rel", "line_no").distinct()
+    return of_kind(f, sources, "repo").select("source", "rel", "line_no").distinct()
 
 
 def redacted(files, sources):
@@ -296,4 +287,4 @@ def redacted(files, sources):
         return [(source, rel, len(s), redact(text, rel or "", s), kind)] if s else []
 
     f = per_text(repo_rows(files), "source string, rel string, secrets int, text string, kind string", rows, keys=("source", "rel"), extra=("text", "kind"))
-    return _in_repo(f, files, sources).drop("kind").dropDuplicates(["source", "rel"])
+    return of_kind(f, sources, "repo").drop("kind").dropDuplicates(["source", "rel"])

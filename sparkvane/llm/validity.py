@@ -7,8 +7,8 @@ import xml.parsers.expat
 
 from pyspark.sql import functions as F
 
-from .common import per_text
-from .secrets import _in_repo, repo_rows
+from .common import of_kind, per_text
+from .secrets import repo_rows
 from .syntax import chart, javascript, lines, shell, sql
 
 LANGUAGES = {
@@ -99,13 +99,13 @@ def skipped(sources):
 
 def found(files, sources):
     """(source, rel): files that are not valid in the language their name claims, and skipped ones with malformed content; once each."""
-    bad = _in_repo(judged(files, sources).where("not valid"), files, sources).select("source", "rel")
+    bad = of_kind(judged(files, sources).where("not valid"), sources, "repo").select("source", "rel")
     return bad.unionByName(skipped(sources).select("source", "rel")).distinct()
 
 
 def rates(files, sources):
     """(source, language, files, invalid, rate) of repo sources; repeated rows count once, skipped malformed files count by their ending."""
-    one = _in_repo(judged(files, sources), files, sources).select("source", "rel", "language", "valid").distinct()
+    one = of_kind(judged(files, sources), sources, "repo").select("source", "rel", "language", "valid").distinct()
     ext = F.lower(F.regexp_extract("rel", r"\.([A-Za-z]+)$", 1))
     lang = F.coalesce(F.create_map(*(F.lit(x) for k, v in LANGUAGES.items() for x in (k[1:], v)))[ext], F.when(ext == "ipynb", "json"), F.lit("other"))
     more = skipped(sources).select("source", "rel").distinct().withColumn("language", lang).withColumn("valid", F.lit(False))

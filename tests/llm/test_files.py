@@ -212,3 +212,16 @@ def test_returns_outside_of_functions():
     assert validity.first_error("function f() { if (x) { return 1 } }\nconst g = () => { return 2 };\n", "javascript") is None
     assert validity.first_error("function f() {}\nif (x) { return 1 }\n", "javascript") == (2, "return outside of a function")
     assert validity.first_error("a.return(1); var o = { return: 2 };\n", "javascript") is None
+
+
+@pytest.mark.parametrize("name", ["p1_found", "p1_redacted", "p3_found", "p3_rates", "p4_found", "p4_clean", "p5_found", "p5_reasons"])
+def test_files_are_read_and_worked_on_once(spark, sf, name):
+    from sparkvane.llm.queries import QUERIES
+
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and plan.count("Relation [source") == 1
+
+
+def test_a_foreign_source_is_third_party_as_a_whole(spark):
+    f, s = tables(spark, [("v", None, "a.py", "x = 1\n"), ("v", "repo", "blank.py", " \n"), ("v", "repo", "n.txt", "x"), ("s", "repo", "b.py", "x = 1\n")], [("v", "repo", "/x/vendor/v", None)])
+    assert sorted(tuple(r) for r in provenance.flagged(f, s).collect()) == [("v", "a.py", "third-party")]
