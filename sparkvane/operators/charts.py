@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.types import nan_to_null, numeric_columns, resolve_column
 from . import quality
 from .metrics import correlation_matrix
+from .ordered import grouped_quantiles
 
 # Caps that are part of the charts, and other names for kinds.
 MAX_PANELS, SCATTER_POINTS, MAX_BARS, MAX_COUNTS, MAX_SLICES = 24, 20_000, 50, 30, 12
@@ -62,9 +63,9 @@ def aggregate(df, x, y, agg="sum", limit=None, by_x=False):
 
 
 def scatter(df, x, y, key, limit=SCATTER_POINTS):
-    """(x, y) of rows that have both; beyond the limit the rows with the smallest hash of `key`, so the sample is repeatable."""
-    pts = nan_to_null(df).where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"), F.xxhash64(*key).alias("_h"), *key)
-    return pts.orderBy("_h", *key).limit(limit).drop("_h")
+    """(x, y) of rows that have both; beyond the limit the rows with the smallest MD5 digest of `key`, so the sample is repeatable."""
+    pts = nan_to_null(df).where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"), F.md5(F.concat_ws("|", *(F.col(k).cast("string") for k in key))).alias("_h"), *key)
+    return pts.orderBy("_h", *key, "x", "y").limit(limit).drop("_h")
 
 
 def trend(df, x, y):
@@ -87,13 +88,12 @@ def box(df, value, group=None):
     """Quartiles and whiskers of a value, per group if one is given."""
     if group is None:
         return quality.boxplot(df, [value])
-    v = F.col(value).cast("double")
-    x = nan_to_null(df).where(v.isNotNull())
-    q = x.groupBy(label(group).alias("group")).agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    lo, hi = F.col("q")[0] - 1.5 * (F.col("q")[2] - F.col("q")[0]), F.col("q")[2] + 1.5 * (F.col("q")[2] - F.col("q")[0])
-    j = x.withColumn("group", label(group)).join(F.broadcast(q), "group") if group != "group" else x.join(q, "group")
-    return j.groupBy("group", "q").agg(F.min(F.when(v >= lo, v)).alias("whisker_low"), F.max(F.when(v <= hi, v)).alias("whisker_high"), F.count(F.when((v < lo) | (v > hi), 1)).alias("fliers")).select(
-        "group", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "whisker_low", "whisker_high", "fliers")
+    v = F.col("v")
+    x = nan_to_null(df).select(label(group).alias("group"), F.col(value).cast("double").alias("v")).where("v is not null")
+    q = grouped_quantiles(x, "group", "v", [0.25, 0.5, 0.75]).groupBy("group").pivot("prob", [0.25, 0.5, 0.75]).agg(F.first("value")).toDF("group", "q1", "median", "q3")
+    lo, hi = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
+    j = x.join(q, "group")
+    return j.groupBy("group", "q1", "median", "q3").agg(F.min(F.when(v >= lo, v)).alias("whisker_low"), F.max(F.when(v <= hi, v)).alias("whisker_high"), F.count(F.when((v < lo) | (v > hi), 1)).alias("fliers"))
 
 
 def violin(df, value, group=None, points=64):
@@ -102,7 +102,7 @@ def violin(df, value, group=None, points=64):
     x = nan_to_null(df).where(v.isNotNull()).select((label(group) if group else F.lit("all")).alias("group"), v.alias("v"))
     st = x.groupBy("group").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("sd"), F.count("*").alias("n"))
     h = F.greatest(F.col("sd") * F.pow(F.col("n"), F.lit(-0.2)), F.lit(1e-9))
-    b = x.join(F.broadcast(st), "group").withColumn("bin", F.least(F.floor((F.col("v") - F.col("lo")) / F.greatest((F.col("hi") - F.col("lo")) / 512, F.lit(1e-300))), F.lit(511)))
+    b = x.join(st, "group").withColumn("bin", F.least(F.floor((F.col("v") - F.col("lo")) / F.greatest((F.col("hi") - F.col("lo")) / 512, F.lit(1e-300))), F.lit(511)))
     b = b.groupBy("group", "bin", "lo", "hi", "sd", "n").agg(F.count("*").alias("k"))
     g = b.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("at", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("j") / (points - 1))
     mid = F.col("lo") + (F.col("bin") + 0.5) * (F.col("hi") - F.col("lo")) / 512

@@ -214,7 +214,7 @@ def _sq(a, b):
 def _with_centre(df, vector, label):
     c = centroids(df, vector, label)
     x = df.select(F.col(label).cast("string").alias("label"), F.transform(vector, lambda v: v.cast("double")).alias("v"))
-    return x.join(F.broadcast(c), "label"), c  # one centre per label
+    return x.join(c, "label"), c  # the planner measures the centres, one row per label
 
 
 def davies_bouldin(df, vector, label):
@@ -222,7 +222,7 @@ def davies_bouldin(df, vector, label):
     x, c = _with_centre(df, vector, label)
     s = x.groupBy("label").agg(F.avg(F.sqrt(_sq("v", "centre"))).alias("s")).join(c, "label")
     a, b = s.select(F.col("label").alias("la"), F.col("s").alias("sa"), F.col("centre").alias("ca")), s.select(F.col("label").alias("lb"), F.col("s").alias("sb"), F.col("centre").alias("cb"))
-    r = a.join(F.broadcast(b), F.col("la") != F.col("lb")).select("la", F.try_divide(F.col("sa") + F.col("sb"), F.sqrt(_sq("ca", "cb"))).alias("r"))  # labels squared, not rows
+    r = a.join(b, F.col("la") != F.col("lb")).select("la", F.try_divide(F.col("sa") + F.col("sb"), F.sqrt(_sq("ca", "cb"))).alias("r"))  # labels squared, not rows
     return r.groupBy("la").agg(F.max("r").alias("r")).agg(F.avg("r").alias("davies_bouldin"))
 
 

@@ -52,26 +52,124 @@ def following(df, key, columns, ascending=False, splits=None):
     return j.select(*df.columns, *(F.col(f"_n.{c}").alias(f"next_{c}") for c in columns))
 
 
+#: Relative error in rank of the approximate quantiles that a bracket is built around, and the cuts within a bracket.
+RANK_ERROR, CUTS = 1 / 5000, 4
+
+
+def _segment(x, cuts, a, b):
+    """How many of the rising `cuts` (value, closed) lie before x, from a on, by binary search: x >= value where closed, else x > value."""
+    if a == b:
+        return F.lit(a)
+    m = (a + b) // 2
+    v, closed = cuts[m]
+    return F.when(x >= v if closed else x > v, _segment(x, cuts, m + 1, b)).otherwise(_segment(x, cuts, a, m))
+
+
 def quantiles(df, columns, probs):
     """(column, prob, value): exact quantiles with linear interpolation, nulls and NaN left out; null for a column without values.
 
-    Values are counted before they are ordered, so repeated values cost nothing, and no buffer ever holds a column."""
+    Two passes over `df`, whatever the number of columns. The first finds approximate quantiles of all columns; their error is bounded,
+    so each wanted rank lies in a bracket between two of them. The second counts what lies in and between the brackets, and distinct
+    values only within them: about one row in a thousand is shuffled as a value. Brackets are cut into segments, so no task orders a
+    whole one. A rank outside of its bracket would be noticed in the counts, and is then looked for among all values of its column.
+    The result has one row for a column and probability, so it is computed here."""
     spark = df.sparkSession
-    parts = None
-    for c in columns:
-        x = df.select(F.col(c).cast("double").alias("x")).where("x is not null and not isnan(x)").groupBy("x").agg(F.count("*").alias("n"))
-        cum = cumulative(x, "x", ["n"])
-        total = x.agg(F.sum("n").alias("t"))
-        j = cum.crossJoin(F.broadcast(total))  # the total is one row
-        aggs = []
-        for k, p in enumerate(probs):
-            h = (F.col("t") - 1) * p
-            aggs += [F.min(F.when(F.col("cum_n") > F.floor(h), F.col("x"))).alias(f"lo{k}"), F.min(F.when(F.col("cum_n") > F.ceil(h), F.col("x"))).alias(f"hi{k}")]
-        row = j.agg(*aggs, F.max("t").alias("t"))
-        cells = []
-        for k, p in enumerate(probs):
-            h = (F.col("t") - 1) * p
-            cells.append(F.struct(F.lit(c).alias("column"), F.lit(float(p)).alias("prob"), (F.col(f"lo{k}") + (F.col(f"hi{k}") - F.col(f"lo{k}")) * (h - F.floor(h))).alias("value")))
-        one = row.select(F.inline(F.array(*cells)))
-        parts = one if parts is None else parts.unionByName(one)
-    return parts if parts is not None else spark.createDataFrame([], "column string, prob double, value double")
+    schema = "column string, prob double, value double"
+    if not columns:
+        return spark.createDataFrame([], schema)
+    probs = [float(p) for p in probs]
+    near = [min(1.0, max(0.0, p + k * 2 * RANK_ERROR / CUTS)) for p in probs for k in range(-CUTS, CUTS + 1)]
+    x = df.select(*(F.col(f"`{c}`").cast("double").alias(f"c{k}") for k, c in enumerate(columns)))
+    x = x.select(*(F.when(~F.isnan(c), F.col(c)).alias(c) for c in x.columns))
+    row = x.agg(*(F.percentile_approx(c, near, int(1 / RANK_ERROR)).alias(c) for c in x.columns)).first()
+    width, got, open_ = 2 * CUTS + 1, {}, {}
+    for k in range(len(columns)):
+        if row[k] is not None:
+            open_[k] = [[(v, i == 0) for i, v in enumerate(row[k][j * width : (j + 1) * width])] for j in range(len(probs))]
+    while open_:
+        found = _within(x, open_, probs)
+        open_ = {k: [[] for _ in probs] for k in open_ if any(found.get((k, j)) is None for j in range(len(probs)))}  # one segment: all values
+        got |= {kj: v for kj, v in found.items() if kj[0] not in open_}
+    return spark.createDataFrame([(c, p, got.get((k, j))) for k, c in enumerate(columns) for j, p in enumerate(probs)], schema)
+
+
+def _within(x, brackets, probs):
+    """{(column number, prob number): value} of the quantiles whose ranks lie in their brackets, lists of (value, closed) cuts by column."""
+    cells, wanted = [], []
+    for k, by_prob in brackets.items():
+        cuts = sorted({c for b in by_prob for c in b}, key=lambda c: (c[0], not c[1]))
+        at = {c: i for i, c in enumerate(cuts)}
+        inside = set()
+        for j, b in enumerate(by_prob):
+            lo, hi = (at[b[0]] + 1, at[b[-1]]) if b else (0, 0)
+            inside |= set(range(lo, hi + 1))
+            wanted.append((k, j, probs[j], lo, hi))
+        v = F.col(f"c{k}")
+        s = _segment(v, cuts, 0, len(cuts))
+        runs = sorted(inside)
+        keep = F.lit(True) if len(runs) == len(cuts) + 1 else s.isin(runs)
+        cells.append(F.when(v.isNotNull(), F.struct(F.lit(k).alias("k"), s.alias("s"), F.when(keep, v).alias("v"))))
+    g = x.select(F.explode(F.array(*cells)).alias("x")).where("x is not null").select("x.*").groupBy("k", "s", "v").agg(F.count("*").alias("n"))
+    sums = g.groupBy("k", "s").agg(F.sum("n").alias("m"))  # a few rows for a column and probability
+    w = Window.partitionBy("k")
+    sums = sums.select("k", "s", (F.sum("m").over(w.orderBy("s")) - F.col("m")).alias("before"), F.sum("m").over(w).alias("t"))
+    c = g.where("v is not null").join(sums, ["k", "s"])
+    c = c.withColumn("cum", F.col("before") + F.sum("n").over(Window.partitionBy("k", "s").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    aims = x.sparkSession.createDataFrame(wanted, "k int, j int, p double, lo int, hi int")
+    c = c.join(F.broadcast(aims), "k").where("s between lo and hi")  # one row for a column and probability
+    h = (F.col("t") - 1) * F.col("p")
+    first, last = (F.when((F.col("cum") > r) & (F.col("cum") - F.col("n") <= r), F.col("v")) for r in (F.floor(h), F.ceil(h)))
+    r = c.groupBy("k", "j", "p", "t").agg(F.max(first).alias("a"), F.max(last).alias("b"))
+    value = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.col("a") + F.when(F.col("a") == F.col("b"), 0.0).otherwise((F.col("b") - F.col("a")) * (h - F.floor(h))))
+    return {(r["k"], r["j"]): r["value"] for r in r.select("k", "j", value.alias("value")).collect()}
+
+
+def grouped_quantiles(df, group, value, probs):
+    """(group, prob, value): exact quantiles of a value within each group, nulls and NaN left out.
+
+    Values are counted by group first. Buckets between split points of the whole column cut every group, so a large group is ordered by
+    many tasks; what the earlier buckets of a group hold is added by a join on (group, bucket)."""
+    x = df.select(F.col(group).alias("group"), F.col(value).cast("double").alias("x")).where("x is not null and not isnan(x)")
+    splits = split_points(x, "x")
+    g = x.groupBy("group", "x").agg(F.count("*").alias("n")).withColumn("_b", bucket_of("x", splits))
+    sums = g.groupBy("group", "_b").agg(F.sum("n").alias("m"))
+    w = Window.partitionBy("group")  # at most BUCKETS rows
+    sums = sums.select(F.col("group").alias("_g"), F.col("_b").alias("_c"), (F.sum("m").over(w.orderBy("_b")) - F.col("m")).alias("before"), F.sum("m").over(w).alias("t"))
+    c = g.join(sums, F.col("group").eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_c")))
+    c = c.withColumn("cum", F.col("before") + F.sum("n").over(Window.partitionBy("group", "_b").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
+    c = c.withColumn("prob", F.explode(F.array(*(F.lit(float(p)) for p in probs))))
+    h = (F.col("t") - 1) * F.col("prob")
+    first, last = (F.when((F.col("cum") > r) & (F.col("cum") - F.col("n") <= r), F.col("x")) for r in (F.floor(h), F.ceil(h)))
+    r = c.where((F.col("cum") > F.floor(h)) & (F.col("cum") - F.col("n") <= F.ceil(h))).groupBy("group", "prob", "t").agg(F.max(first).alias("a"), F.max(last).alias("b"))
+    return r.select("group", "prob", (F.col("a") + F.when(F.col("a") == F.col("b"), 0.0).otherwise((F.col("b") - F.col("a")) * (h - F.floor(h)))).alias("value"))
+
+
+def next_key(df, group, key):
+    """(group, key, next): each distinct key with the one that follows it in its group; the last key of a group has none.
+
+    Keys are cut into ranges, so that a large group is ordered by many tasks; the first key of a group's next range is added to the last of each."""
+    from ..session import checkpoint
+
+    x = df.select(group, key).distinct().repartitionByRange(group, key).withColumn("_p", F.spark_partition_id())
+    x = checkpoint(x)  # the ranges are sampled, so they are fixed before they are read twice
+    heads = x.groupBy(group, "_p").agg(F.min(key).alias("_h"))
+    heads = heads.select(F.col(group).alias("_g"), F.col("_p").alias("_q"), F.lead("_h").over(Window.partitionBy(group).orderBy("_p")).alias("_h"))  # one row for a range
+    j = x.join(heads, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_p") == F.col("_q")))
+    return j.select(group, key, F.coalesce(F.lead(key).over(Window.partitionBy(group, "_p").orderBy(key)), F.col("_h")).alias("next")).where("next is not null")
+
+
+def places(df, order_by, name):
+    """`df` with the place from 0 of each row in the order of columns; ties are broken by range, so the order should be unique."""
+    from ..session import checkpoint
+
+    x = checkpoint(df.repartitionByRange(*order_by).withColumn("_p", F.spark_partition_id()))  # the ranges are sampled, so they are fixed before they are read twice
+    sizes = x.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(F.lit(1)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row for a range
+    start = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
+    k = F.row_number().over(Window.partitionBy("_p").orderBy(*order_by))
+    return x.join(F.broadcast(start), "_p").select(*df.columns, (F.col("_s") + k - 1).cast("bigint").alias(name))
+
+
+def ranks(df, column, name):
+    """(column, name): the distinct non-null values with their place from 0 in ascending order."""
+    return places(df.where(F.col(column).isNotNull()).select(column).distinct(), [column], name)

@@ -2,7 +2,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .ordered import quantiles
+from .ordered import quantiles, ranks
 
 
 def cut(column, edges):
@@ -22,10 +22,8 @@ def qcut(df, column, bins):
 
 
 def factorize(df, column, name):
-    """`df` with codes 0.. of the sorted distinct values, -1 for null. Distinct values are ranked, not rows."""
-    values = df.where(F.col(column).isNotNull()).select(column).distinct()
-    codes = values.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(column)).cast("bigint") - 1)
-    return df.join(codes, column, "left").withColumn(name, F.coalesce(name, F.lit(-1)))
+    """`df` with codes 0.. of the sorted distinct values, -1 for null. Distinct values are ranked, not rows, by ranges."""
+    return df.join(ranks(df, column, name), column, "left").withColumn(name, F.coalesce(name, F.lit(-1)))
 
 
 def cumprod(column, window):
