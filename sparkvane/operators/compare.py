@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.types import one_row_to_rows
+from .ordered import places
 from .retrieval import split_lines, tokens
 
 # Lines shown of a block and of a diff, lines up to which the ratio is exact, files reported.
@@ -70,6 +71,19 @@ def cell_diff(a, b, key):
     return one_row_to_rows(row, [F.struct(F.lit(c).alias("column"), F.col(f"d{k}").alias("changed")) for k, c in enumerate(rest)])
 
 
+def aligned_cell_diff(a, b, order_by):
+    """(column, changed): null-safe differences of cells of rows at the same place in the order of `order_by`, which must be unique on
+    each side; empty unless both sides have the same columns in order and the same number of rows.
+
+    Rows are numbered by ranges (ordered.places), so that no task holds a whole table."""
+    if a.columns != b.columns or a.count() != b.count():
+        return a.sparkSession.createDataFrame([], "column string, changed bigint")
+    x, y = places(a, order_by, "_at"), places(b, order_by, "_at")
+    j = x.alias("a").join(y.alias("b"), "_at")
+    row = j.agg(*(F.count(F.when(~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), 1)).alias(f"d{k}") for k, c in enumerate(a.columns)))
+    return one_row_to_rows(row, [F.struct(F.lit(c).alias("column"), F.col(f"d{k}").alias("changed")) for k, c in enumerate(a.columns)])
+
+
 def line_counts(corpus, keys):
     """(keys, line digest, n): the multiset of lines of each text."""
     return corpus.where("text is not null").select(*keys, F.explode(split_lines(F.col("text"))).alias("line")).groupBy(*keys, F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), "line").agg(F.count("*").alias("n")).drop("h1", "h2")
@@ -95,9 +109,11 @@ def quick_ratio(pairs, keys):
     return pairs.select(*keys).join(g, keys, "left").select(*keys, F.coalesce(2.0 * F.col("m") / F.col("t"), F.lit(1.0)).alias("ratio"))
 
 
-def file_to_corpus(text, corpus, top=TOP_FILES):
+def file_to_corpus(text, corpus, top=TOP_FILES, own=None):
     """The files most like a text: 0.4 · shared vocabulary + 0.3 · share of the text's terms + 0.3 · line similarity.
 
+    `own`, the (source, rel) of the text itself, is left out, and so are files without terms; a text without terms is like none.
+
     The text's terms and lines are joined as tables, so the corpus is scanned once and only counts are shuffled."""
     spark = corpus.sparkSession
     one = spark.createDataFrame([(text,)], "text string")
@@ -106,9 +122,13 @@ def file_to_corpus(text, corpus, top=TOP_FILES):
     lns = one.select(F.explode(split_lines(F.col("text"))).alias("line")).groupBy("line").agg(F.count("*").alias("k"))
     n_lines = one.select(F.size(split_lines(F.col("text")))).first()[0]
     c = corpus.where("text is not null")
+    if own:
+        c = c.where(~((F.col("source") == own[0]) & (F.col("rel") == own[1])))
+    if not n_terms:
+        c = c.limit(0)
     tok = c.select("source", "rel", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
     v = tok.join(terms.withColumn("hit", F.lit(1)), "token", "left").groupBy("source", "rel").agg(F.count("*").alias("n"), F.count("hit").alias("common"))
-    ln = line_counts(c, ["source", "rel"]).join(lns, "line", "left").groupBy("source", "rel").agg(F.sum("n").alias("ln"), F.sum(F.least("n", "k")).alias("same"))
+    ln = line_counts(c, ["source", "rel"]).join(lns, "line", "left").groupBy("source", "rel").agg(F.sum("n").alias("ln"), F.sum(F.least("n", F.coalesce("k", F.lit(0)))).alias("same"))
     j = v.join(ln, ["source", "rel"], "left")
     vocab = F.col("common") / (F.col("n") + n_terms - F.col("common"))
     cover = F.col("common") / F.lit(max(n_terms, 1))

@@ -65,10 +65,11 @@ def postings(corpus):
 
 
 def document_frequency(corpus):
-    """(source, token, df, n, idf) over the windows of each source."""
-    n = windows(corpus).groupBy("source").agg(F.count("*").alias("n"))
-    d = postings(corpus).groupBy("source", "token").agg(F.count("*").alias("df"))
-    return d.join(n, "source").withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    """(source, token, df, n, idf) over the windows of each source. Each window also counts under a null token, which gives n in the same pass."""
+    ts = F.array_append(F.array_distinct(tokens(F.col("body"))), F.lit(None).cast("string"))
+    d = windows(corpus).select("source", F.explode(ts).alias("token")).groupBy("source", "token").agg(F.count("*").alias("df"))
+    n = d.where("token is null").select("source", F.col("df").alias("n"))
+    return d.where("token is not null").join(n, "source").withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
 def query_tokens(spark, text):
@@ -76,56 +77,68 @@ def query_tokens(spark, text):
     return sorted(set(spark.createDataFrame([(text,)], "q string").select(tokens(F.col("q")).alias("t")).first()["t"]))
 
 
-def bm25(corpus, query):
-    """(source, rel, start, end, score) of windows that hold a query term.
+def _boost(q):
+    """Path and definition boosts of a window for the query's terms."""
+    path = F.size(F.array_intersect(F.array_distinct(tokens(F.col("rel"))), F.array(*(F.lit(t) for t in q)))) * PATH_BOOST
+    names = F.flatten(F.array(*(F.regexp_extract_all("body", F.lit(p), F.lit(1)) for p in DEFINES)))
+    return path + DEFINITION_BOOST * definition_score(names, q)
 
-    The terms of the query are literals, so windows are scored where they are scanned: only matching windows and per-source sums move."""
-    q = query_tokens(corpus.sparkSession, query)
-    w = windows(corpus).select("source", "rel", "start", "end", F.explode_outer(tokens(F.col("body"))).alias("token"))
-    # one row per window after a partial sum where it was scanned; windows without terms have length 1
-    w = w.groupBy("source", "rel", "start", "end").agg(F.greatest(F.count("token"), F.lit(1)).alias("dl"), *(F.count(F.when(F.col("token") == term, 1)).alias(f"tf{k}") for k, term in enumerate(q)))
+
+def _scored(corpus, q):
+    """(source, rel, start, end, hits, bm25, boost) of every window. What depends on a text is computed where it is scanned: only lengths,
+    term counts and boosts move. Files repeated as rows count once; they meet on (source, rel, start), and their texts stay where they are."""
+    w = windows(corpus).withColumn("boost", _boost(q)).select("source", "rel", "start", "end", "boost", tokens(F.col("body")).alias("ts"))
+    tf = [F.size(F.filter("ts", F.lit(t).__eq__)).alias(f"tf{k}") for k, t in enumerate(q)]
+    w = w.select("source", "rel", "start", "end", "boost", F.greatest(F.size("ts"), F.lit(1)).alias("dl"), *tf).dropDuplicates(["source", "rel", "start"])
     stats = w.groupBy("source").agg(F.count("*").alias("n"), F.avg("dl").alias("avg"), *(F.count(F.when(F.col(f"tf{k}") > 0, 1)).alias(f"df{k}") for k in range(len(q))))
     score = F.lit(0.0)
     for k in range(len(q)):
         idf = F.log(1 + (F.col("n") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5))
         tf = F.col(f"tf{k}")
         score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avg")))).otherwise(0.0)
-    hit = w.where(" or ".join(f"tf{k} > 0" for k in range(len(q))) if q else "false")
-    return hit.join(stats, "source").select("source", "rel", "start", "end", score.alias("score"))
+    hits = sum((F.col(f"tf{k}") for k in range(len(q))), F.lit(0))
+    live = w.where((hits > 0) | (F.col("boost") > 0))
+    return live.join(stats, "source").select("source", "rel", "start", "end", hits.alias("hits"), score.alias("bm25"), "boost")
+
+
+def bm25(corpus, query):
+    """(source, rel, start, end, score) of windows that hold a query term."""
+    q = query_tokens(corpus.sparkSession, query)
+    return _scored(corpus, q).where("hits > 0").select("source", "rel", "start", "end", F.col("bm25").alias("score"))
 
 
 def definition_score(names, terms):
-    """Best agreement of defined names with the query terms: an exact name counts its parts + 1, else hits² / parts."""
+    """Best agreement of defined names with the query terms. A name is what follows the last dot; its parts are its terms but for the
+    whole name, which stands in where there are none. A name that is a term counts its parts + 1, others hits² / parts."""
     qs = F.array(*(F.lit(t) for t in terms))
 
     def one(name):
-        parts = F.array_distinct(tokens(name))
+        raw = F.element_at(F.split(name, r"\."), -1)
+        low = F.lower(raw)
+        parts = F.filter(F.array_distinct(tokens(raw)), lambda p: p != low)
+        parts = F.when(F.size(parts) > 0, parts).otherwise(F.array(low))
         hits = F.size(F.array_intersect(parts, qs))
-        n = F.greatest(F.size(F.filter(parts, lambda p: p != F.lower(name))), F.lit(1))
-        exact = F.array_contains(qs, F.lower(name))
-        return F.when(exact, (n + 1).cast("double")).otherwise(hits * hits / F.greatest(F.size(parts), F.lit(1)).cast("double"))
+        return F.when(F.array_contains(qs, low), (F.size(parts) + 1).cast("double")).otherwise(hits * hits / F.size(parts).cast("double"))
 
     return F.coalesce(F.array_max(F.transform(names, one)), F.lit(0.0))
 
 
 def search(corpus, query, top=TOP):
-    """The best windows: BM25 plus path and definition boosts, at most 2·top per source and two per file; ties by file and place."""
+    """The best windows: BM25 plus path and definition boosts, at most 2·top per source and two per file.
+
+    Of equal scores in a source the later file by name, then the later window comes first; sources come by name."""
     spark = corpus.sparkSession
     q = query_tokens(spark, query)
     if not q:
         return spark.createDataFrame([], "source string, rel string, start int, end int, score double")
-    hits = bm25(corpus, query).withColumnRenamed("score", "_s")
-    w = windows(corpus).join(hits.select("source", "rel", "start", "_s"), ["source", "rel", "start"])
-    path = F.size(F.array_intersect(F.array_distinct(tokens(F.col("rel"))), F.array(*(F.lit(t) for t in q)))) * PATH_BOOST
-    names = F.flatten(F.array(*(F.regexp_extract_all("body", F.lit(p), F.lit(1)) for p in DEFINES)))
-    s = w.select("source", "rel", "start", "end", (F.col("_s") + path + DEFINITION_BOOST * definition_score(names, q)).alias("score")).where("score > 0")
-    order = [F.desc("score"), F.asc("rel"), F.asc("start")]
+    s = _scored(corpus, q).select("source", "rel", "start", "end", (F.col("bm25") + F.col("boost")).alias("score")).where("score > 0")
+    order = [F.desc("score"), F.desc(F.lower("rel")), F.desc("rel"), F.desc("start")]
     # per source the best 2·top are found in two rounds, so that a large source is not ranked in one task
     s = s.withColumn("_b", F.pmod(F.xxhash64("rel", "start"), F.lit(64)))
     s = s.withColumn("_k", F.row_number().over(Window.partitionBy("source", "_b").orderBy(*order))).where(F.col("_k") <= 2 * top)
     s = s.withColumn("_k", F.row_number().over(Window.partitionBy("source").orderBy(*order))).where(F.col("_k") <= 2 * top)
     s = s.withColumn("_f", F.row_number().over(Window.partitionBy("source", "rel").orderBy(*order))).where(F.col("_f") <= PER_FILE)
-    return s.orderBy(F.desc("score"), "source", "rel", "start").limit(top).drop("_k", "_f", "_b")
+    return s.orderBy(F.desc("score"), F.asc("source"), *order[1:]).limit(top).drop("_k", "_f", "_b")
 
 
 def glob_to_regex(pattern):

@@ -250,7 +250,8 @@ def expanding_mean(s, d):
     return t(s, d, "orders").select("o_orderkey", F.round(F.avg("o_totalprice").over(_by_cust().rowsBetween(Window.unboundedPreceding, 0)), 4).alias("m"))
 
 
-@query("ewm_mean")
+@query("ewm_mean", """WITH x AS (SELECT o_orderkey, o_custkey, o_orderdate, o_totalprice, pow(0.7, -row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) AS w FROM orders)
+SELECT o_orderkey, round(sum(o_totalprice * w) OVER v / sum(w) OVER v, 6) AS ewm FROM x WINDOW v AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)""")
 def ewm_mean(s, d):
     return temporal.ewm(t(s, d, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_totalprice", alpha=0.3).select("o_orderkey", r6("ewm").alias("ewm"))
 
