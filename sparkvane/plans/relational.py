@@ -84,17 +84,16 @@ def join_left(s, d):
     return t(s, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("k", F.lit(0)).alias("n_orders"))
 
 
-@query("join_right", "SELECT s_suppkey, c_custkey FROM (SELECT * FROM customer WHERE c_custkey <= 60) RIGHT JOIN supplier ON c_custkey = s_suppkey")
+@query("join_right", "SELECT s_suppkey, c_custkey FROM supplier RIGHT JOIN customer ON s_suppkey = c_custkey")
 def join_right(s, d):
-    c = t(s, d, "customer").where("c_custkey <= 60")
-    return c.join(t(s, d, "supplier"), F.col("c_custkey") == F.col("s_suppkey"), "right").select("s_suppkey", "c_custkey")
+    return t(s, d, "supplier").join(t(s, d, "customer"), F.col("s_suppkey") == F.col("c_custkey"), "right").select("s_suppkey", "c_custkey")
 
 
-@query("join_full", """SELECT coalesce(a.k, b.k) AS k, na, nb FROM (SELECT c_nationkey AS k, count(*) AS na FROM customer WHERE c_nationkey < 15 GROUP BY 1) a
-FULL JOIN (SELECT s_nationkey AS k, count(*) AS nb FROM supplier WHERE s_nationkey > 8 GROUP BY 1) b ON a.k = b.k""")
+@query("join_full", """SELECT coalesce(a.k, b.k) AS k, na, nb FROM (SELECT c_nationkey AS k, count(*) AS na FROM customer GROUP BY 1) a
+FULL JOIN (SELECT p_size AS k, count(*) AS nb FROM part GROUP BY 1) b ON a.k = b.k""")
 def join_full(s, d):
-    a = t(s, d, "customer").where("c_nationkey < 15").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("na"))
-    b = t(s, d, "supplier").where("s_nationkey > 8").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("nb"))
+    a = t(s, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("na"))
+    b = t(s, d, "part").groupBy(F.col("p_size").alias("k")).agg(F.count("*").alias("nb"))
     return a.join(b, "k", "full")
 
 
@@ -103,9 +102,9 @@ def join_semi(s, d):
     return t(s, d, "customer").join(t(s, d, "orders").where("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def join_anti(s, d):
-    return t(s, d, "customer").join(t(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return t(s, d, "customer").join(t(s, d, "orders").where("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("join_null_safe", """WITH a AS (SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer), b AS (SELECT nullif(n_nationkey, 3) AS k, n_name FROM nation)
@@ -140,13 +139,14 @@ def join_asof(s, d):
     return temporal.asof_join(left, right, "ts", by=["user_id"]).select("event_id", "last_b")
 
 
-@query("merge_ordered", """WITH a AS (SELECT o_custkey AS k, min(o_totalprice) AS x FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1), b AS (SELECT o_custkey AS k, max(o_totalprice) AS y FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1),
+@query("merge_ordered", """WITH a AS (SELECT date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS k, min(o_totalprice) AS x FROM orders GROUP BY 1),
+b AS (SELECT date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS k, max(l_extendedprice) AS y FROM lineitem GROUP BY 1),
 j AS (SELECT coalesce(a.k, b.k) AS k, x, y FROM a FULL JOIN b ON a.k = b.k)
 SELECT k, last_value(x IGNORE NULLS) OVER w AS x, last_value(y IGNORE NULLS) OVER w AS y FROM j WINDOW w AS (ORDER BY k ROWS UNBOUNDED PRECEDING)""")
 def merge_ordered(s, d):
-    o = t(s, d, "orders")
-    a = o.where("o_custkey % 2 = 0").groupBy(F.col("o_custkey").alias("k")).agg(F.min("o_totalprice").alias("x"))
-    b = o.where("o_custkey % 3 = 0").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("y"))
+    day = lambda c: F.datediff(c, F.lit("1992-01-01").cast("date")).cast("bigint").alias("k")
+    a = t(s, d, "orders").groupBy(day("o_orderdate")).agg(F.min("o_totalprice").alias("x"))
+    b = t(s, d, "lineitem").groupBy(day("l_shipdate")).agg(F.max("l_extendedprice").alias("y"))
     return temporal.forward_fill(a.join(b, "k", "full"), "k", ["x", "y"])
 
 
