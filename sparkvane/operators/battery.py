@@ -1,10 +1,12 @@
 """The validation battery: a catalogue of tests per model type, each a pure function of a scored table, run in isolation."""
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..functions.types import numeric_columns
 from . import metrics, surrogate, vision
+from .ordered import places
 
 DEFAULTS = {"clf_threshold": 0.5, "surrogate_depth": 5, "smote_neighbors": 5, "psi_bins": 10, "blur_threshold": 100.0, "trees": surrogate.TREES}
 SUPERVISED = ("classification", "regression")
@@ -106,6 +108,12 @@ def names(model_type):
     return [b for a, b, _, _ in CATALOG if a == model_type]
 
 
+def numbered(df):
+    """`df` with its rows numbered in `_row`, in the order of their hashed values, so that the numbers do not depend on the partitioning."""
+    cols = [f"`{c}`" for c in df.columns if not dict(df.dtypes)[c].startswith("map")]
+    return places(df.withColumn("_h", F.xxhash64(*cols)), ["_h", *cols], "_row").drop("_h")
+
+
 def run(df, model_type, observed, predicted, split=None, tests=None, key=None, options=None):
     """Results by test name; no tests means all of the type. Each test fails on its own: its error is kept and the others run.
 
@@ -121,7 +129,7 @@ def run(df, model_type, observed, predicted, split=None, tests=None, key=None, o
     opts = DEFAULTS | (options or {})
     raw = df
     if key is None:
-        key, df = "_row", df.withColumn("_row", F.monotonically_increasing_id())
+        key, df = "_row", numbered(df)
     x = df.where(F.col(observed).isNotNull() & F.col(predicted).isNotNull())
     feats = numeric_columns(x, but=(observed, predicted, split, key))
     c = Context(raw, x, model_type, observed, predicted, split, key, feats, opts)
@@ -146,8 +154,10 @@ def run_vision(spark, folder, tests=None, options=None):
     opts = DEFAULTS | (options or {})
     try:
         x = vision.images(spark, folder)
-    except Exception:  # the folder is missing: no result and no error
-        return {}
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}  # the folder is missing: no result and no error
     out = {}
     for t in tests or names("vision"):
         out[t] = TestResult(t, {t: vision.quality(x, opts["blur_threshold"]) if t == "image_quality" else vision.noisy(x)})

@@ -96,14 +96,18 @@ def contained(terms, texts):
     return terms.where(F.length("term") < SEED).join(short, "term", "left_semi").unionByName(long)
 
 
-def identifiers(answers, checked, files, evidence):
-    """(answer_id, identifier): back-ticked names in a paragraph with a resolved citation that no file cited there or read contains."""
+def identifiers(answers, checked, files, evidence, allowed=()):
+    """(answer_id, identifier): back-ticked names in a paragraph with a resolved citation that no file cited there or read contains.
+
+    Names of files and sources are known, and so are those in `allowed`, such as the columns of loaded tables."""
     text = F.regexp_replace("text", FENCE, "")
     para = answers.where("text is not null").select("answer_id", F.posexplode(F.split(text, r"\n\s*\n")).alias("p", "para"))
     names = para.select("answer_id", "p", "para", F.explode(F.regexp_extract_all("para", F.lit(r"`([^`\n]{3,80})`"), F.lit(1))).alias("identifier"))
     names = names.withColumn("identifier", F.trim("identifier")).where(F.col("identifier").rlike(IDENTIFIER))
     known = files.select(F.col("rel").alias("identifier")).union(files.select(F.element_at(F.split("rel", "/"), -1))).union(files.select("source")).distinct()
     names = names.join(known, "identifier", "left_anti")
+    if allowed:
+        names = names.where(~F.col("identifier").isin(list(allowed)))
     good = checked.where("source is not null").select("answer_id", "raw", "source", "rel").distinct()
     cited = names.join(good, "answer_id").where(F.contains("para", F.col("raw"))).select("answer_id", "p", "identifier", "source", "rel")
     read = names.join(good, "answer_id").where(F.contains("para", F.col("raw"))).select("answer_id", "p", "identifier").distinct()

@@ -14,13 +14,21 @@ def asof_join(left, right, on, by=(), direction="backward", tolerance=None):
     a = left.select(*left.columns, F.lit(None).cast(right.select(stamp.alias("x")).schema["x"].dataType).alias("_r"), F.lit(1).alias("_side"))
     b = right.select(*by, on, stamp.alias("_r"), F.lit(0 if direction == "backward" else 2).alias("_side"))
     u = a.unionByName(b, allowMissingColumns=True)
-    base = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    w = base.orderBy(on, "_side")
-    if direction == "backward":
+    back = direction == "backward"
+    if not by:  # buckets of time stand in for groups; what a bucket lacks comes from the nearest one that has a right row
+        from .ordered import bucket_of, split_points
+
+        u = u.withColumn("_b", bucket_of(on, split_points(u, on)))
+        ends = u.groupBy("_b").agg((F.max_by if back else F.min_by)("_r", F.when(F.col("_r").isNotNull(), F.struct(on, "_side"))).alias("_e"))
+        w = Window.partitionBy(F.lit(1)).orderBy("_b")  # one row for a bucket
+        near = F.last("_e", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)) if back else F.first("_e", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+        u = u.join(F.broadcast(ends.select("_b", near.alias("_e"))), "_b")
+    w = Window.partitionBy(*(by or ["_b"])).orderBy(on, "_side")
+    if back:
         m = F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     else:
         m = F.first("_r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    out = u.withColumn("_m", m).where("_side = 1")
+    out = u.withColumn("_m", m if by else F.coalesce(m, F.col("_e"))).where("_side = 1")
     if tolerance is not None:
         far = F.abs(F.col(on).cast("timestamp").cast("double") - F.col("_m._at").cast("timestamp").cast("double")) > tolerance
         out = out.withColumn("_m", F.when(~far, F.col("_m")))

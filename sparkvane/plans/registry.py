@@ -17,7 +17,7 @@ def query(name, sql=None):
 
 def load():
     """Import the modules that register queries."""
-    from . import models, profile, relational, texts  # noqa: F401
+    from . import models, profile, relational, storage, texts  # noqa: F401
 
 
 load()

@@ -34,11 +34,21 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df):
-    """Cut lineage through the shared folder in spark.checkpoint.dir; a folder under the warehouse only where none is set."""
-    spark = df.sparkSession
+def shared_folder(spark):
+    """The folder that all executors share: spark.checkpoint.dir, else the checkpoint folder set by the caller. A local session without
+    either gets a folder under the warehouse; a cluster does not, as its warehouse may be a machine's own folder."""
     sc = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if where is None:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+    return where.rstrip("/")
+
+
+def checkpoint(df):
+    """Cut lineage through the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(where or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -68,35 +68,42 @@ class SourceRegistry:
     def _read(self, name, path, hint, options):
         from pyspark.sql import functions as F
 
-        if not os.path.exists(path) and "://" not in path:
-            raise readers.SourceError(f"{path} does not exist")
-        if os.path.isfile(path):
-            ext = "." + path.rsplit(".", 1)[-1].lower()
-            if ext in readers.TABLE_EXT or ext == ".json" and hint == "data":
+        is_file, rels, marks = readers.listing(self.spark, path)
+        if is_file:
+            if readers.is_table(path) or path.lower().endswith(".json") and hint == "data":
                 return Source(name, "data", path, sheets=readers.read_table(self.spark, path, **options))
-            st = os.stat(path)
-            text, why = _cached_text(path, st.st_mtime_ns, st.st_size)
+            rel = path.rsplit("/", 1)[-1]
+            if "://" in path:
+                text, why = readers.text_of(rel, bytes(self.spark.read.format("binaryFile").load(path).select("content").first()[0]))
+            else:
+                st = os.stat(path)
+                text, why = _cached_text(path, st.st_mtime_ns, st.st_size)
             if why:
                 raise readers.SourceError(f"{path}: {why}")
-            rel = path.rsplit("/", 1)[-1]
-            kind = hint or ("repo" if ext in readers.CODE_EXT else "docs")
+            kind = hint or ("repo" if readers.is_code(rel) else "docs")
             return Source(name, kind, path, self.spark.createDataFrame([(name, rel, text)], "source string, rel string, text string"))
-        rels = []
-        for d, dirs, files in os.walk(path):
-            dirs[:] = sorted(x for x in dirs if x not in readers.SKIP_DIRS and not x.startswith("."))
-            rels += [os.path.relpath(os.path.join(d, f), path) for f in sorted(files)]
         kind = readers.kind_of_folder(rels, hint)
         if kind == "data":
-            tables = {}
-            for r in [r for r in rels if "." + r.rsplit(".", 1)[-1].lower() in readers.TABLE_EXT][: readers.MAX_TABLES]:
-                tables |= readers.read_table(self.spark, os.path.join(path, r), **options)
-            if not tables:
+            found = [r for r in rels if readers.is_table(r)]
+            if not found:
                 raise readers.SourceError(f"{path} holds no tables")
+            if len(found) > readers.MAX_TABLES:
+                raise readers.SourceError(f"{path} holds {len(found)} tables; load one of them")
+            tables = {}
+            for r in found:
+                for n, x in readers.read_table(self.spark, f"{path}/{r}", **options).items():
+                    tables[n if n not in tables else f"{r}:{n}"] = x
             return Source(name, "data", path, sheets=tables)
         x = readers.read_folder(self.spark, path)
-        skipped = [f"{r['rel']}: {r['skipped']}" for r in x.where("skipped is not null").orderBy("rel").limit(200).collect()]
+        skipped = [f"{r['rel']}: {r['skipped']}" for r in x.where("skipped is not null").select("rel", "skipped").orderBy("rel").collect()]
         files = x.where("text is not null").select(F.lit(name).alias("source"), "rel", "text")
-        return Source(name, kind, path, files, skipped=skipped, projects=readers.projects(rels))
+        return Source(name, kind, path, files, skipped=skipped, projects=readers.projects(rels, marks))
+
+    def add_table(self, name, df):
+        """A table that is already a DataFrame as a source."""
+        self.sources[name] = s = Source(name, "data", name, sheets={name: df})
+        df.createOrReplaceTempView(re.sub(r"\W+", "_", name))
+        return s
 
     def unload(self, name):
         return self.sources.pop(self.find(name).name)

@@ -2,6 +2,7 @@
 import html
 import io
 import json
+import os
 import re
 import sqlite3
 import time
@@ -12,6 +13,26 @@ from xml.sax.saxutils import escape
 ARTIFACT_ROWS, SHEET_NAME, CHATS = 2000, 31, 200
 
 
+def save(folder, suffix, text):
+    """Write a text under a name of its own into a folder, and return the path."""
+    os.makedirs(folder, exist_ok=True)
+    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex[:10]}{suffix}"
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(text)
+    return path
+
+
+def save_bytes(spark, path, data):
+    """Write bytes to a path of any file system that Spark can reach."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    return path
+
+
 def write_tables(tables, folder, fmt="parquet"):
     """One table a folder; empty tables are skipped. The rows are written by the executors."""
     out = []
@@ -70,11 +91,22 @@ def workbook(tables, rows=1_048_575):
     return out.getvalue()
 
 
+def feather(df):
+    """Bytes of an Arrow file (Feather version 2) of a table that fits here, a record batch for each partition."""
+    import pyarrow as pa
+
+    x = df.toArrow()
+    out = io.BytesIO()
+    with pa.ipc.new_file(out, x.schema) as w:
+        w.write_table(x)
+    return out.getvalue()
+
+
 def page(specs, title="Report"):
-    """A static page with each chart's spec and the first rows of its data."""
+    """A static page with each chart's spec and its data, up to the points that a scatter has at most."""
     parts = [f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>"]
     for s in specs:
-        rows = s.data.limit(200).toPandas()
+        rows = s.data.limit(20_000).toPandas()
         parts.append(f"<h2>{html.escape(s.title)}</h2>{rows.to_html(index=False)}<script type='application/json'>{s.to_json().replace('</', '<\\/')}</script>")
     return "".join([*parts, "</body></html>"])
 

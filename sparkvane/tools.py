@@ -5,10 +5,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import battery, charts, compare, quality, retrieval
+from .operators import battery, charts, citations, compare, quality, retrieval
 from .plans import gate
 from .sources.registry import SourceRegistry, find_paths, is_load_command, kind_hint
-from .sources.sinks import table_artifact
+from .sources.sinks import save, table_artifact
 
 
 @dataclass
@@ -23,8 +23,31 @@ class Engine:
 
     NAMES = ("load_path", "unload_source", "search", "grep", "read_file", "overview", "list_files", "data_overview", "query_data", "make_chart", "run_data_quality", "list_tests", "run_tests", "compare")
 
-    def __init__(self, spark):
-        self.spark, self.registry = spark, SourceRegistry(spark)
+    def __init__(self, spark, output_dir=None):
+        """`output_dir`, one for a chat, takes what the tools make: a JSON file for each artifact."""
+        self.spark, self.registry, self.output_dir = spark, SourceRegistry(spark), output_dir
+        self.shown = []
+
+    def new_turn(self):
+        """Forget which lines were shown."""
+        self.shown = []
+
+    def evidence(self):
+        """(source, rel, line) of the lines that tools have shown in this turn."""
+        return retrieval.evidence(self.spark.createDataFrame(self.shown, "source string, rel string, start int, end int"))
+
+    def check_answer(self, text, artifacts=()):
+        """The report on an answer of this turn: citations with their status, unknown identifiers, uncited text, claims of charts."""
+        a = self.spark.createDataFrame([(0, text, bool(self.shown), any(x.get("type") in ("chart", "image") for x in artifacts))], "answer_id int, text string, grounded boolean, has_visual boolean")
+        files = self.registry.corpus()
+        if files is None:
+            files = self.spark.createDataFrame([], "source string, rel string, text string")
+        cited = citations.extract(a)
+        checked = citations.check(cited, files, self.evidence())
+        columns = [c for s in self.registry.of_kind("data") for d in s.sheets.values() for c in d.columns]
+        return {
+            "citations": checked, "identifiers": citations.identifiers(a, checked, files, self.evidence(), allowed=columns + list(self.registry.sources)),
+            "uncited": citations.uncited(a, cited), "visual_claims": citations.visual_claims(a)}
 
     def call(self, name, /, **args):
         """Run a tool; arguments that are None are dropped."""
@@ -36,6 +59,10 @@ class Engine:
             out = getattr(self, name)(**{k: v for k, v in args.items() if v is not None})
             out = out if isinstance(out, ToolResult) else ToolResult(out)
             out.text = gate.truncate(out.text)
+            self.shown += out.shown
+            if self.output_dir:
+                for a in out.artifacts:
+                    a["path"] = save(self.output_dir, ".json", json.dumps(a, default=str))
             return out
         except Exception as x:  # the contract: an error is a text
             return ToolResult(f"Error: {x.args[0] if isinstance(x, KeyError) and x.args else x}")
@@ -144,21 +171,51 @@ class Engine:
             return battery.summary_text(battery.run_vision(self.spark, folder, tests, options)) or "No images."
         return battery.summary_text(battery.run(self._table(source, sheet), model_type, observed, predicted, split, tests, options=options))
 
+    @staticmethod
+    def _diff(a, b):
+        ratio, blocks = compare.text_blocks(a, b)
+        return f"line similarity: {ratio:.1%}\n" + ("\n".join(f"@@ {t}: A L{a1}-{a2} -> B L{b1}-{b2}\n" + "\n".join(body) for t, a1, a2, b1, b2, body in blocks) or "The two files are identical.")
+
+    @staticmethod
+    def _diff_shown(source_a, rel_a, source_b, rel_b, a, b):
+        out = []
+        for _, a1, a2, b1, b2, _ in compare.text_blocks(a, b)[1]:
+            out += [(source_a, rel_a, a1, a2)] * (a2 >= a1) + [(source_b, rel_b, b1, b2)] * (b2 >= b1)
+        return out
+
+    def _compare_tables(self, a, b):
+        out = [gate.format_result(compare.schema_diff(a, b)), gate.format_result(compare.column_stats(a, b))]
+        kinds = dict(a.dtypes), dict(b.dtypes)
+        words = [c for c in a.columns if c in b.columns and kinds[0][c] == kinds[1][c] == "string"]
+        out += [gate.format_result(compare.category_diff(a, b, c)) for c in words]
+        if a.columns == b.columns:  # rows in the order in which the files are read
+            x, y = (d.withColumn("_read", F.monotonically_increasing_id()) for d in (a, b))
+            cells = compare.aligned_cell_diff(x, y, ["_read"]).where("column <> '_read'").collect()
+            if cells:
+                out.append(f"row-aligned cell differences: {sum(r['changed'] for r in cells)}; by column: " + ", ".join(f"{r['column']} {r['changed']}" for r in cells if r["changed"]))
+        return "\n".join(out)
+
     def compare(self, a, b, file_a=None, file_b=None):
         x, y = self.registry.find(a), self.registry.find(b)
         if (x.kind == "data") != (y.kind == "data"):
             raise ValueError("a table cannot be compared with text")
         if x.kind == "data":
-            return gate.format_result(compare.schema_diff(x.df, y.df)) + "\n" + gate.format_result(compare.column_stats(x.df, y.df))
+            return self._compare_tables(x.df, y.df)
         if file_a and file_b:
             ta, tb = (s.files.where(F.col("rel") == r).select("text").first() for s, r in ((x, file_a), (y, file_b)))
             if ta is None or tb is None:
                 raise KeyError("no such file")
-            ratio, blocks = compare.text_blocks(ta[0], tb[0])
-            return f"line similarity: {ratio:.1%}\n" + ("\n".join(f"@@ {t}: A L{a1}-{a2} -> B L{b1}-{b2}\n" + "\n".join(body) for t, a1, a2, b1, b2, body in blocks) or "The two files are identical.")
+            return ToolResult(self._diff(ta[0], tb[0]), shown=self._diff_shown(x.name, file_a, y.name, file_b, ta[0], tb[0]))
         if file_a:
             ta = x.files.where(F.col("rel") == file_a).select("text").first()
             if ta is None:
                 raise KeyError(f"no file {file_a!r}")
-            return gate.format_result(compare.file_to_corpus(ta[0], y.files))
+            near = compare.file_to_corpus(ta[0], y.files, own=(x.name, file_a)).collect()
+            if not near:
+                return f"{y.name} has no text files to compare against."
+            text = gate.format_result(self.spark.createDataFrame(near))
+            if near[0]["lines"] < compare.NEAR_COPY:
+                return f"{text}\nNo near copy: a line diff would say nothing."
+            other = y.files.where(F.col("rel") == near[0]["rel"]).select("text").first()[0]
+            return ToolResult(f"{text}\nclosest: {near[0]['rel']}\n{self._diff(ta[0], other)}", shown=self._diff_shown(x.name, file_a, y.name, near[0]["rel"], ta[0], other))
         return gate.format_result(compare.tree_diff(x.files, y.files).orderBy("status", "similarity", "rel"))

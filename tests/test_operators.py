@@ -303,3 +303,93 @@ def test_images(spark, tmp_path):
     assert a == {r["path"]: bytes(r["data"]) for r in vision.noisy(vision.images(spark, str(tmp_path))).collect()}
     assert battery.run_vision(spark, str(tmp_path / "gone")) == {}
     assert math.isfinite(q["sharp.png"]["laplacian_variance"])
+
+
+def test_definition_scores(spark):
+    from sparkvane.operators import retrieval
+
+    rows = [("passes_quality_gate", ["quality", "gate"], 4 / 3), ("test_gate", ["quality", "gate"], 0.5), ("risk.my_tab", ["my_tab", "my", "tab"], 3.0), ("calculatePsi", ["calculatepsi"], 3.0), ("run", ["run"], 2.0), ("x", ["y"], 0.0)]
+    for name, q, want in rows:
+        got = spark.range(1).select(retrieval.definition_score(F.array(F.lit(name)), q)).first()[0]
+        assert abs(got - want) < 1e-12, (name, got)
+
+
+def test_quantiles_of_many_forms(spark):
+    import numpy as np
+
+    from sparkvane.operators.ordered import grouped_quantiles, quantiles
+
+    rng = np.random.default_rng(5)
+    n = 20_000
+    cols = {"a": rng.normal(size=n), "b": rng.integers(0, 3, n).astype(float), "c": np.where(rng.random(n) < 0.9, 7.0, rng.random(n)), "d": rng.pareto(0.3, n), "e": np.full(n, np.nan), "f": np.where(rng.random(n) < 0.5, np.nan, rng.random(n))}
+    df = spark.createDataFrame(list(zip(*(x.tolist() for x in cols.values()), strict=True)), "a double, b double, c double, d double, e double, f double").repartition(7)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    got = {(r["column"], r["prob"]): r["value"] for r in quantiles(df, list(cols), probs).collect()}
+    for c, v in cols.items():
+        v = v[~np.isnan(v)]
+        for p in probs:
+            want = float(np.quantile(v, p)) if len(v) else None
+            assert got[c, p] is None if want is None else abs(got[c, p] - want) <= 1e-9 * max(1, abs(want)), (c, p)
+    assert quantiles(df.limit(0), ["a"], [0.5]).first()["value"] is None and quantiles(df, [], [0.5]).count() == 0
+    g = df.withColumn("g", F.when(F.col("b") == 0, None).otherwise(F.col("b").cast("int").cast("string")))
+    got = {(r["group"], r["prob"]): r["value"] for r in grouped_quantiles(g, "g", "a", [0.5]).collect()}
+    for k, b in ((None, 0), ("1", 1), ("2", 2)):
+        assert abs(got[k, 0.5] - float(np.median(cols["a"][cols["b"] == b]))) < 1e-12
+
+
+def test_ranks_places_and_next_keys(spark):
+    from sparkvane.operators.ordered import next_key, places, ranks
+
+    df = spark.createDataFrame([(k % 3, f"k{k:04d}") for k in range(500)] + [(0, "k0000"), (None, "z")], "g int, k string")
+    got = {(r["g"], r["k"]): r["next"] for r in next_key(df, "g", "k").collect()}
+    assert got == {(k % 3, f"k{k:04d}"): f"k{k + 3:04d}" for k in range(497)}
+    assert [r["n"] for r in ranks(df, "k", "n").orderBy("k").collect()] == list(range(501))
+    assert sorted(r["n"] for r in places(df, ["k", "g"], "n").collect()) == list(range(502))
+
+
+def test_oversampled_rows(spark):
+    import numpy as np
+
+    from sparkvane.operators import metrics
+
+    rows = [(0, k, float(k % 17), 0.0) for k in range(60)] + [(1, 100 + k, 10.0 * k, 5.0) for k in range(8)]
+    df = spark.createDataFrame(rows, "y int, k int, a double, b double")
+    out = metrics.smote_rows(df, "y", ["a", "b"], "k", neighbours=2, block=3).collect()
+    assert len(out) == 52 and {r["class"] for r in out} == {1} and sorted(r["number"] for r in out) == list(range(52))
+    for r in out:
+        a, b = r["features"]
+        assert b == 5.0 and 0 <= a <= 70 and np.isfinite(a)
+    again = metrics.smote_rows(df.repartition(5), "y", ["a", "b"], "k", neighbours=2, block=5).collect()
+    assert sorted((r["number"], *r["features"]) for r in again) == sorted((r["number"], *r["features"]) for r in out)
+    assert metrics.smote_rows(df, "y", ["a"], "k", neighbours=8).count() == 0
+
+
+def test_a_file_is_not_its_own_match(spark):
+    from sparkvane.operators import compare
+
+    c = spark.createDataFrame([("s", "a.py", "alpha beta\nx = 1\n"), ("s", "b.py", "alpha beta\nx = 2\n"), ("s", "c.py", "")], "source string, rel string, text string")
+    r = compare.file_to_corpus("alpha beta\nx = 1\n", c, own=("s", "a.py")).collect()
+    assert [x["rel"] for x in r] == ["b.py"] and abs(r[0]["lines"] - 0.5) < 1e-12 and r[0]["coverage"] == 1.0
+    assert compare.file_to_corpus("", c).count() == 0
+
+
+def test_row_aligned_differences(spark):
+    from sparkvane.operators import compare
+
+    a = spark.createDataFrame([(k, f"v{k}", None) for k in range(50)], "k int, v string, z string")
+    b = a.withColumn("v", F.when(F.col("k") < 5, "-1").otherwise(F.col("v")))
+    assert {r["column"]: r["changed"] for r in compare.aligned_cell_diff(a, b, ["k"]).collect()} == {"k": 0, "v": 5, "z": 0}
+    assert compare.aligned_cell_diff(a, b.limit(3), ["k"]).count() == 0
+
+
+@pytest.mark.parametrize("direction", ["backward", "forward"])
+def test_asof_without_groups(spark, direction):
+    import pandas as pd
+
+    from sparkvane.operators import temporal
+
+    a = pd.DataFrame({"t": [(k * 37) % 1000 for k in range(300)], "i": range(300)})
+    b = pd.DataFrame({"t": list(range(100, 900, 53)), "v": range(16)})
+    want = pd.merge_asof(a.sort_values("t"), b, on="t", direction=direction)
+    got = temporal.asof_join(spark.createDataFrame(a), spark.createDataFrame(b), "t", direction=direction).collect()
+    assert {r["i"]: r["v"] for r in got} == {int(i): None if v != v else int(v) for i, v in zip(want.i, want.v, strict=True)}

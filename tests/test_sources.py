@@ -118,3 +118,40 @@ def test_chat_store(spark):
     assert s.chats()[0]["title"] == "u" and s.messages(i)[0]["content"] == "hi" and s.frame(spark).count() == 1
     s.delete(i)
     assert s.chats() == [] and s.frame(spark).count() == 0
+
+
+def test_kinds_projects_and_limits(spark, tmp_path):
+    assert readers.kind_of_folder(["Dockerfile"]) == "repo" and readers.kind_of_folder(["a.yaml", "b.md", "c.md", "d.md"]) == "repo" and readers.kind_of_folder(["a.yaml", *(f"{k}.md" for k in range(9))]) == "docs"
+    assert readers.projects(["g/a/pom.xml", "g/b/go.mod", "g/c/x.py"]) == ["g/a", "g/b"] and readers.projects(["a/x.py", "b/y.py"], marks=["a", "b"]) == ["a", "b"] and readers.projects(["a/setup.py", "b/setup.py"], marks=[""]) == []
+    for k in range(21):
+        (tmp_path / f"t{k}.csv").write_text("a\n1\n")
+    e = Engine(spark)
+    assert "holds 21 tables" in e.call("load_path", path=str(tmp_path)).text
+    (tmp_path / "far/sub").mkdir(parents=True)
+    (tmp_path / "far/sub/m.py").write_text("def grow():\n    return 1\n")
+    (tmp_path / "far/.eggs").mkdir()
+    (tmp_path / "far/.eggs/no.py").write_text("x")
+    assert "Loaded far (repo): 1 files" in e.call("load_path", path=f"file://{tmp_path}/far").text
+
+
+def test_evidence_and_output_folder(spark, tmp_path):
+    (tmp_path / "proj").mkdir()
+    (tmp_path / "proj/a.py").write_text("def grow():\n    return 1\n")
+    (tmp_path / "proj/b.py").write_text("def grow():\n    return 2\n")
+    for n, v in (("x", 1), ("y", 5)):
+        pd.DataFrame({"k": ["a", "b"], "v": [v, 2]}).to_csv(tmp_path / f"{n}.csv", index=False)
+    e = Engine(spark, output_dir=str(tmp_path / "out"))
+    for p in ("proj", "x.csv", "y.csv"):
+        e.call("load_path", path=str(tmp_path / p))
+    e.call("read_file", path="a.py")
+    assert sorted(tuple(r) for r in e.evidence().collect()) == [("proj", "a.py", 1), ("proj", "a.py", 2)]
+    r = e.check_answer("It grows in `grow` and `shrink` by `v` [a.py:L1-2]. See the chart below.")
+    assert [c["status"] for c in r["citations"].collect()] == ["ok"] and [x["identifier"] for x in r["identifiers"].collect()] == ["shrink"] and r["visual_claims"].count() == 1
+    e.new_turn()
+    assert [c["status"] for c in e.check_answer("x [a.py:L1-2]")["citations"].collect()] == ["not_read"]
+    t = e.call("compare", a="x.csv", b="y.csv").text
+    assert "row-aligned cell differences: 1; by column: v 1" in t
+    t = e.call("compare", a="proj", b="proj", file_a="a.py").text
+    assert "closest: b.py" in t and "return 2" in t
+    c = e.call("make_chart", kind="count", x="k", source="x.csv")
+    assert json.loads(open(c.artifacts[0]["path"]).read())["type"] == "chart"
