@@ -1,11 +1,12 @@
-"""A chart parser for grammars written as text.
+"""A table-driven chart parser for grammars written as text.
 
 A grammar names rules with ordered alternatives over tokens: `name = a b / c`, with `?`, `*`, `+`, groups, `&x` and `!x` lookahead,
-quoted literals, and token kinds in capitals. Each rule's result at each position is kept in a chart, so parsing takes time linear in
-the tokens however alternatives overlap. The furthest position that any rule reached is the place of the first unrecoverable error."""
+quoted literals, and token kinds in capitals. It is compiled into two tables: a program of a pushdown machine, and a prediction table
+that tells for each choice and each class of tokens which alternatives can begin with it, from the sets of first tokens. The machine
+keeps its own stack, so nesting is bounded by memory alone, and each rule's result at each position in a chart, so parsing takes time
+linear in the tokens however alternatives overlap. The furthest position at which a token did not fit is the place of the first
+unrecoverable error."""
 import re
-import sys
-import threading
 from typing import NamedTuple
 
 
@@ -25,22 +26,37 @@ class SyntaxIssue(ValueError):
 
 
 _PIECE = re.compile(r"\s*(?:(?P<lit>'(?:[^'\\]|\\.)+')|(?P<kind>[A-Z][A-Z_]+)|(?P<rule>[a-z]\w*)|(?P<op>[/()?*+&!]))")
+#: Instructions of the machine.
+TERM, CALL, PRED, COMMIT, LOOP, NEXT, LOOK, LOOKED, TEST, RET = range(10)
 
 
 class Grammar:
-    """A compiled grammar; `fold` makes literals match in any case. `kinds` may hold more tests: {NAME: function(tokens, i) -> new i or -1}."""
+    """A compiled grammar; `fold` makes literals match in any case.
 
-    def __init__(self, text, start, fold=False, kinds=None, keep=()):
-        self.fold, self.kinds, self.keep = fold, kinds or {}, keep
+    `kinds` may hold more tests on one token: {NAME: function(tokens, i) -> new i or -1}. A test sees the kind and text of a token, the
+    text only if it is a literal of the grammar or in `words`; those in `places` also see whether a token is the first on its line, and
+    consume nothing. The rules in `keep` have their spans recorded where the start is a list of items."""
+
+    def __init__(self, text, start, fold=False, kinds=None, keep=(), words=(), places=()):
+        self.fold, self.kinds, self.keep, self.places = fold, kinds or {}, keep, places
         self.sources = {}
         for rule in re.split(r"\n(?=[a-z]\w*\s*=)", re.sub(r"(?m)^\s*#.*$", "", text).strip()):
             name, body = rule.split("=", 1)
             self.sources[name.strip()] = body
         self.start = start
         self.names = {n: k for k, n in enumerate(self.sources)}
-        self.rules = [None] * len(self.names)
-        for n, body in self.sources.items():
-            self.rules[self.names[n]] = self._parse(body, n)
+        self.terms, self.words, self.classes = {}, set(words), {}
+        self.samples = []  # a token of each class
+        self.trees = [self._parse(body, n) for n, body in self.sources.items()]
+        self._firsts()
+        self.code, self.entry = [], []
+        for tree in self.trees:
+            self.entry.append(len(self.code))
+            self._emit(tree)
+            self.code.append((RET, None, None))
+        self.term_list = list(self.terms)
+        self.fits = [{} for _ in self.terms]
+        self.begins = [{} for _ in self.trees]
 
     def _parse(self, body, name):
         pieces, at = [], 0
@@ -79,19 +95,132 @@ class Grammar:
             k += 1
         elif what == "lit":
             t = text[1:-1].replace("\\'", "'")
-            node, k = ("lit", t.lower() if self.fold else t), k + 1
+            t = t.lower() if self.fold else t
+            self.words.add(t)
+            node, k = ("term", self.terms.setdefault(("lit", t), len(self.terms))), k + 1
         elif what == "kind":
-            node, k = ("test", self.kinds[text]) if text in self.kinds else ("kind", text), k + 1
+            if text in self.places:
+                node = ("place", self.kinds[text])
+            else:
+                node = ("term", self.terms.setdefault(("test", self.kinds[text]) if text in self.kinds else ("kind", text), len(self.terms)))
+            k += 1
         else:
             node, k = ("rule", self.names[text]), k + 1
         while k < len(p) and p[k][0] == "op" and p[k][1] in "?*+":
             node, k = (p[k][1], node), k + 1
         return node, k
 
+    def _first(self, node):
+        """(terminals a node can begin with, whether it can be empty)."""
+        op, arg = node
+        if op == "term":
+            return {arg}, False
+        if op == "rule":
+            return self.first[arg]
+        if op == "seq":
+            out = set()
+            for x in arg:
+                f, empty = self._first(x)
+                out |= f
+                if not empty:
+                    return out, False
+            return out, True
+        if op == "alt":
+            all_ = [self._first(x) for x in arg]
+            return set().union(*(f for f, _ in all_)), any(e for _, e in all_)
+        if op in "?*":
+            return self._first(arg)[0], True
+        if op == "+":
+            return self._first(arg)
+        return set(), True  # lookahead and places consume nothing
+
+    def _firsts(self):
+        self.first = [(set(), False) for _ in self.trees]
+        while True:
+            new = [self._first(t) for t in self.trees]
+            if new == self.first:
+                return
+            self.first = new
+
+    def _emit(self, node):
+        op, arg = node
+        code = self.code
+        if op == "term":
+            code.append((TERM, arg, None))
+        elif op == "rule":
+            code.append((CALL, arg, self.first[arg]))
+        elif op == "seq":
+            for x in arg:
+                self._emit(x)
+        elif op == "alt":
+            at = len(code)
+            code.append(None)
+            starts, ends = [], []
+            for x in arg:
+                starts.append((len(code), self._first(x)))
+                self._emit(x)
+                ends.append(len(code))
+                code.append(None)
+            code[at] = (PRED, {}, starts)
+            for e in ends:
+                code[e] = (COMMIT, len(code), None)
+        elif op == "?":
+            at = len(code)
+            code.append(None)
+            self._emit(arg)
+            code.append((COMMIT, len(code) + 1, None))
+            code[at] = (PRED, {}, [(at + 1, self._first(arg)), (len(code) - 1, (set(), True))])
+        elif op in "*+":
+            if op == "+":
+                self._emit(arg)
+            at = len(code)
+            code.append(None)
+            self._emit(arg)
+            code.append((NEXT, at, len(code) + 1))
+            code[at] = (LOOP, {}, (self._first(arg), len(code)))
+        elif op in ("and", "not"):
+            at = len(code)
+            code.append(None)
+            self._emit(arg)
+            code.append((LOOKED, op == "and", len(code) + 1))
+            code[at] = (LOOK, op == "and", len(code))
+        else:
+            code.append((TEST, arg, None))
+
+    def _fit(self, term, c):
+        """Whether a terminal fits the tokens of a class."""
+        what, x = self.term_list[term]
+        t = self.samples[c]
+        if what == "lit":
+            ok = t.text == x and t.kind in ("OP", "NAME")
+        elif what == "kind":
+            ok = t.kind == x
+        else:
+            ok = x([t], 0) == 1
+        self.fits[term][c] = ok
+        return ok
+
+    def _can(self, first, c):
+        terms, empty = first
+        return empty or any(self._fit(t, c) for t in terms)
+
+    def classify(self, tokens):
+        """The class of each token: its kind, and its text where the grammar names it."""
+        out, words, classes = [], self.words, self.classes
+        for t in tokens:
+            key = t.text.lower() if self.fold else t.text
+            key = (t.kind, key if key in words else None)
+            c = classes.get(key)
+            if c is None:
+                c = classes[key] = len(classes)
+                self.samples.append(Token(t.kind, key[1] or "\0", 0, False))
+            out.append(c)
+        return out
+
     def parse(self, tokens):
         """Raise SyntaxIssue unless the tokens, which end with an END token, are wholly a `start`. Returns the run, with the `spans` of the rules in `keep` where the start is a list of items."""
         run = _Run(self, tokens)
-        top = self.rules[self.names[self.start]]
+        top = self.trees[self.names[self.start]]
         if top[0] == "*" and top[1][0] == "rule":  # a list of items: what lies before a finished item is never read again
             end = 0
             while tokens[end].kind != "END" and (j := run.rule(top[1][1], end)) > end:
@@ -109,8 +238,8 @@ class Grammar:
 class _Run:
     def __init__(self, grammar, tokens):
         self.g, self.tokens, self.far = grammar, tokens, 0
-        self.keys = [t.text.lower() if grammar.fold else t.text for t in tokens]
-        self.chart = [{} for _ in grammar.rules]
+        self.classes = grammar.classify(tokens)
+        self.chart = [{} for _ in grammar.trees]
         self.spans = {}
 
     def forget(self):
@@ -121,81 +250,115 @@ class _Run:
             c.clear()
 
     def rule(self, r, i):
-        c = self.chart[r]
-        if i in c:
-            return c[i]
-        c[i] = -1  # a rule that begins with itself at the same place does not match
-        c[i] = j = self.match(self.g.rules[r], i)
-        return j
-
-    def match(self, node, i):
-        op, arg = node
-        if op == "lit":
-            if self.keys[i] == arg and self.tokens[i].kind in ("OP", "NAME"):
-                return i + 1
-            if i > self.far:
-                self.far = i
-            return -1
-        if op == "rule":
-            return self.rule(arg, i)
-        if op == "seq":
-            for x in arg:
-                i = self.match(x, i)
-                if i < 0:
+        """The end of a rule that begins at token i, or -1. The stack holds where a rule returns to (pc, i, rule), what else a choice may try
+        (pcs, i, None), where a loop ends (pc, i, None), and lookahead (pc, i, sign)."""
+        g = self.g
+        code, entry, fits, begins, classes, chart, tokens, far = g.code, g.entry, g.fits, g.begins, self.classes, self.chart, self.tokens, self.far
+        stack = [(-1, i, r)]
+        pc = entry[r]
+        chart[r][i] = -1
+        while True:
+            op, a, b = code[pc]
+            if op == TERM:
+                c = classes[i]
+                ok = fits[a].get(c)
+                if ok or ok is None and g._fit(a, c):
+                    i += 1
+                    pc += 1
+                    continue
+                if i > far:
+                    far = i
+            elif op == CALL:
+                j = chart[a].get(i)
+                if j is None:
+                    c = classes[i]
+                    ok = begins[a].get(c)
+                    if ok is None:
+                        ok = begins[a][c] = g._can(b, c)
+                    if ok:
+                        chart[a][i] = -1  # a rule that begins with itself at the same place does not match
+                        stack.append((pc + 1, i, a))
+                        pc = entry[a]
+                        continue
+                    if i > far:
+                        far = i
+                elif j >= 0:
+                    i = j
+                    pc += 1
+                    continue
+            elif op == PRED:
+                c = classes[i]
+                go = a.get(c)
+                if go is None:
+                    go = tuple(p for p, first in b if g._can(first, c))
+                    if len(go) == 1 and code[go[0]][0] == COMMIT:
+                        go = code[go[0]][1]  # nothing optional begins here
+                    a[c] = go
+                if go.__class__ is int:
+                    pc = go
+                    continue
+                if go:
+                    stack.append((go[1:], i, None))
+                    pc = go[0]
+                    continue
+                if i > far:
+                    far = i
+            elif op == COMMIT:
+                stack.pop()
+                pc = a
+                continue
+            elif op == RET:
+                pc, at, rule = stack.pop()
+                chart[rule][at] = i
+                if pc < 0:
+                    self.far = far
+                    return i
+                continue
+            elif op == LOOP:
+                c = classes[i]
+                ok = a.get(c)
+                if ok is None:
+                    ok = a[c] = g._can(b[0], c)
+                if ok:
+                    stack.append((b[1], i, None))
+                    pc += 1
+                else:
+                    if i > far:
+                        far = i
+                    pc = b[1]
+                continue
+            elif op == NEXT:
+                _, at, _ = stack.pop()
+                pc = a if i > at else b
+                continue
+            elif op == LOOK:
+                stack.append((b, i, a))  # a: True for &, False for !
+                pc += 1
+                continue
+            elif op == LOOKED:
+                _, i, _ = stack.pop()
+                if a:
+                    pc = b
+                    continue
+            else:  # TEST of a place
+                if a(tokens, i) >= 0:
+                    pc += 1
+                    continue
+                if i > far:
+                    far = i
+            while True:  # what did not fit: back to the last choice that has more to try
+                x, i, mark = stack.pop()
+                if mark is None:
+                    if x.__class__ is int:
+                        pc = x
+                        break
+                    if x:
+                        stack.append((x[1:], i, None))
+                        pc = x[0]
+                        break
+                elif mark is False:
+                    pc = x
+                    break
+                elif mark is not True and x < 0:
+                    self.far = far
                     return -1
-            return i
-        if op == "alt":
-            for x in arg:
-                j = self.match(x, i)
-                if j >= 0:
-                    return j
-            return -1
-        if op == "?":
-            j = self.match(arg, i)
-            return i if j < 0 else j
-        if op == "*" or op == "+":
-            first = True
-            while True:
-                j = self.match(arg, i)
-                if j < 0 or j == i:
-                    return -1 if first and op == "+" else i
-                i, first = j, False
-        if op == "kind":
-            if self.tokens[i].kind == arg:
-                return i + 1
-            if i > self.far:
-                self.far = i
-            return -1
-        if op == "test":
-            j = arg(self.tokens, i)
-            if j < 0 and i > self.far:
-                self.far = i
-            return j
-        if op == "and":
-            return i if self.match(arg, i) >= 0 else -1
-        return i if self.match(arg, i) < 0 else -1  # not
-
-
-def deep(f, *args):
-    """Call f with room for deeply nested texts: its own thread with a large stack and a high recursion limit."""
-    out = []
-
-    def body():
-        try:
-            out.append((True, f(*args)))
-        except BaseException as x:  # handed on below
-            out.append((False, x))
-
-    old, size = sys.getrecursionlimit(), threading.stack_size(512 * 1024 * 1024)
-    sys.setrecursionlimit(400_000)
-    try:
-        t = threading.Thread(target=body)
-        t.start()
-        t.join()
-    finally:
-        threading.stack_size(size)
-        sys.setrecursionlimit(old)
-    ok, value = out[0]
-    if not ok:
-        raise value
-    return value

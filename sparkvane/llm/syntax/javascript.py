@@ -15,6 +15,10 @@ _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])
 _TEXT = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*")
 _BLANK = re.compile(r"[ \t\v\f ﻿ -   　]+")
 
+_OP = re.compile("|".join(map(re.escape, _OPS)))
+#: What most tokens are: names, strings without line ends, and operators that need no look at what stands before.
+_COMMON = re.compile(rf"(?P<NAME>{_NAME.pattern})|(?P<STRING>{_STRING.pattern})|(?P<OP>{'|'.join(re.escape(o) for o in _OPS if o[0] not in '/{}?.')})")
+
 
 def tokens(text):
     """Tokens of a module; regular expressions are told from divisions by the token before."""
@@ -50,15 +54,25 @@ def tokens(text):
             fresh = True
             i += 1
             continue
-        m = _BLANK.match(text, i)
+        if c == " " or c > "\x7f" or c in "\t\v\f":
+            m = _BLANK.match(text, i)
+            if m:
+                i = m.end()
+                continue
+        m = _COMMON.match(text, i)
         if m:
+            s = m[0]
+            out.append(Token(m.lastgroup, s, line, fresh))
+            fresh = False
+            if m.lastgroup == "STRING" and "\n" in s:
+                line += s.count("\n")
             i = m.end()
             continue
-        if text.startswith("//", i) or text.startswith("<!--", i) and False:
+        if c == "/" and text.startswith("//", i):
             j = text.find("\n", i)
             i = n if j < 0 else j
             continue
-        if text.startswith("/*", i):
+        if c == "/" and text.startswith("/*", i):
             j = text.find("*/", i + 2)
             if j < 0:
                 raise SyntaxIssue("unterminated comment", line)
@@ -71,13 +85,7 @@ def tokens(text):
             i = template(i + 1, True)
             continue
         if c in "'\"":
-            m = _STRING.match(text, i)
-            if not m:
-                raise SyntaxIssue("unterminated string", line)
-            add("STRING", m[0])
-            line += m[0].count("\n")
-            i = m.end()
-            continue
+            raise SyntaxIssue("unterminated string", line)
         if c.isdigit() or c == "." and i + 1 < n and text[i + 1].isdigit():
             m = _NUMBER.match(text, i)
             if _NAME.match(text, m.end()) or m[0].endswith("_") or re.match(r"0\d", m[0]):
@@ -89,11 +97,6 @@ def tokens(text):
             add("PRIVATE", "#" + m[0])
             i = m.end()
             continue
-        m = _NAME.match(text, i)
-        if m:
-            add("NAME", m[0])
-            i = m.end()
-            continue
         if c == "/":
             last = out[-1] if out else None
             value = last and (last.kind in ("NUMBER", "STRING", "TEMPLATE", "TTAIL", "REGEX", "PRIVATE") or last.text in (")", "]", "}") and last.kind == "OP" or last.kind == "NAME" and (
@@ -105,7 +108,8 @@ def tokens(text):
                 add("REGEX", m[0])
                 i = m.end()
                 continue
-        op = next((o for o in _OPS if text.startswith(o, i)), None)
+        m = _OP.match(text, i)
+        op = m and m[0]
         if op == "?." and i + 2 < n and text[i + 2].isdigit():
             op = "?"
         if op is None:
@@ -202,7 +206,7 @@ array = '[' (',' / arg (',' / &']'))* ']'
 object = '{' (prop (',' prop)* ','?)? '}'
 prop = '...' assign / method / key ':' assign / IDENT ('=' assign)?
 """,
-    "program", keep=("body", "return"),
+    "program", keep=("body", "return"), words=_RESERVED | frozenset(_OPS), places=("LINE", "SAME"),
     kinds={
         "IDENT": _ident, "LINE": _line, "SAME": _same, "ASSIGN": _op("= += -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??="),
         "BINARY": _op("|| && ?? | ^ & == != === !== < > <= >= instanceof in << >> >>> + - * / % **"), "UNARY": _op("delete void typeof await ! ~ + - ++ --")})

@@ -1,5 +1,4 @@
-"""Readers of line-structured formats: YAML, INI and JSON; each raises SyntaxIssue at the first line that cannot be read."""
-import json
+"""Reader of YAML, whose tokens depend on indentation and context; it raises SyntaxIssue at the first line that cannot be read."""
 import re
 
 from .chart import SyntaxIssue
@@ -260,40 +259,3 @@ def yaml(text):
     if "\x00" in text:
         raise SyntaxIssue("control character", text.count("\n", 0, text.index("\x00")) + 1)
     _Yaml(text.replace("\r\n", "\n").lstrip("﻿")).document()
-
-
-def ini(text):
-    """Raise SyntaxIssue unless every line is a section, an option with = or :, a continuation, a comment or blank, after a first section."""
-    section = option = None
-    for k, line in enumerate(text.lstrip("﻿").split("\n"), 1):
-        s = line.strip()
-        if not s or s[0] in "#;":
-            continue
-        if re.match(r"(?:<{7}|={7}|>{7}|\|{7})(?:\s|$)", line):
-            raise SyntaxIssue("conflict marker", k)
-        if line[0] in " \t" and option:
-            continue
-        m = re.match(r"\[([^\]]+)\]\s*(?:[#;].*)?$", s)
-        if m:
-            section, option = m[1], None
-            continue
-        if section is None:
-            raise SyntaxIssue("no section header", k)
-        m = re.match(r"([^=:\s\[][^=:]*?)\s*[=:]", s)
-        if not m:
-            raise SyntaxIssue("no option", k)
-        option = m[1]
-
-
-def _no_constant(name):
-    raise ValueError(f"{name} is no JSON value")
-
-
-def json_text(text):
-    """Raise SyntaxIssue unless the text is one JSON value."""
-    try:
-        json.loads(text, parse_constant=_no_constant)
-    except json.JSONDecodeError as x:
-        raise SyntaxIssue(x.msg, x.lineno) from None
-    except (ValueError, RecursionError) as x:
-        raise SyntaxIssue(str(x), 1) from None

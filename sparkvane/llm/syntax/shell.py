@@ -299,7 +299,7 @@ test = LTEST testpart+ RTEST
 testpart = !RTEST (PLAIN / '(' / ')' / '&&' / '||' / '<' / '>' / '|' / NL / '&' / IONUM)
 redir = IONUM? ('<' / '>' / '>>' / '<<' / '<<-' / '<<<' / '<&' / '>&' / '<>' / '>|' / '&>' / '&>>') PLAIN
 """,
-    "script", kinds={"PLAIN": _plain, "FIRST": _first, "LBRACE": _key("{"), "RBRACE": _key("}"), "LTEST": _key("[["), "RTEST": _key("]]"), "BANG": _key("!"), **_KEYS})
+    "script", words=_RESERVED, kinds={"PLAIN": _plain, "FIRST": _first, "LBRACE": _key("{"), "RBRACE": _key("}"), "LTEST": _key("[["), "RTEST": _key("]]"), "BANG": _key("!"), **_KEYS})
 
 
 def check(text):

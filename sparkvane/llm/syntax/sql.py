@@ -19,6 +19,12 @@ _OBJECT = frozenset(
 _DANGLING = (
     "= , . + - * / < > <= >= <> != || := => :: set to as on with from where and or not by in then when using add column values into if between like join inner left right full cross having group select update insert "
     "else case is references check constraint rename returns identified table only owner begin")
+_COMPARE = "= == <> != < > <= >= <=> ~ ~* !~ !~* @> <@ && ?| ?& :="
+_BINARY = "+ - * / % || | & ^ << >> -> ->> #> #>> div mod"
+_CALLS = "left right replace insert set values if any all exists cast window like in interval"
+_TYPES = "precision varying with without time zone local unsigned signed"
+_UNITS = "year years month months day days hour hours minute minutes second seconds week weeks quarter quarters millisecond milliseconds microsecond microseconds"
+_OPERATORS = frozenset(f"( ) ; [ ] {{ }} from {_COMPARE} {_BINARY} {_CALLS} {_TYPES} {_UNITS}".split())
 _CONFLICT = re.compile(r"(?m)^(?:<{7}|={7}|>{7}|\|{7})(?:[ \t\r].*)?$")
 
 
@@ -31,17 +37,22 @@ def tokens(text):
         if not m:
             c = text[i]
             raise SyntaxIssue("unterminated string" if c in "'\"`" else f"unexpected {c!r}", line)
-        kind = m.lastgroup if m.lastgroup != "tag" else "dollar"
-        if kind != "ws" and text.startswith("/*", i):
-            raise SyntaxIssue("unterminated comment", line)
-        if kind == "dollar":
-            kind = "STRING"
-        if kind != "ws":
-            if kind == "NUMBER" and m.end() < len(text) and (text[m.end()].isalpha() or text[m.end()] == "_"):
-                raise SyntaxIssue(f"bad number {m[0]!r}", line)
-            out.append(Token(kind, m[0], line, False))
-        line += m[0].count("\n")
+        kind, s = m.lastgroup, m[0]
         i = m.end()
+        if kind == "ws":
+            line += s.count("\n")
+            continue
+        if kind == "OP":
+            if s == "/" and text.startswith("/*", i - 1):
+                raise SyntaxIssue("unterminated comment", line)
+        elif kind == "NUMBER":
+            if i < len(text) and (text[i].isalpha() or text[i] == "_"):
+                raise SyntaxIssue(f"bad number {s!r}", line)
+        elif kind in ("dollar", "tag"):
+            kind = "STRING"
+        out.append(Token(kind, s, line, False))
+        if kind in ("STRING", "QUOTED", "PARAM"):
+            line += s.count("\n")
     out.append(Token("END", "", line, False))
     return out
 
@@ -153,11 +164,11 @@ over = (!('partition' / 'order' / 'rows' / 'range' / 'groups') IDENT)? ('partiti
 frame = 'between' bound 'and' bound / bound
 bound = ('unbounded' / 'current') WORD / value ('preceding' / 'following')
 """,
-    "script", fold=True,
+    "script", fold=True, words=_RESERVED | _OBJECT | _OPERATORS | frozenset(_DANGLING.split()),
     kinds={
-        "IDENT": _ident, "WORD": _word, "ANY": _any, "OBJECT": _object, "DANGLING": _op(_DANGLING), "FROM": _op("from"), "COMPARE": _op("= == <> != < > <= >= <=> ~ ~* !~ !~* @> <@ && ?| ?& :="), "BINARY": _op("+ - * / % || | & ^ << >> -> ->> #> #>> div mod"),
-        "CALLWORD": _op("left right replace insert set values if any all exists cast window like in interval"), "WORDTYPE": _op("precision varying with without time zone local unsigned signed"),
-        "WORDUNIT": _op("year years month months day days hour hours minute minutes second seconds week weeks quarter quarters millisecond milliseconds microsecond microseconds")})
+        "IDENT": _ident, "WORD": _word, "ANY": _any, "OBJECT": _object, "DANGLING": _op(_DANGLING), "FROM": _op("from"), "COMPARE": _op(_COMPARE), "BINARY": _op(_BINARY),
+        "CALLWORD": _op(_CALLS), "WORDTYPE": _op(_TYPES),
+        "WORDUNIT": _op(_UNITS)})
 
 
 def check(text):

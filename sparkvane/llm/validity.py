@@ -1,6 +1,9 @@
 """Source files that do not parse (problem 3): the first unrecoverable error per file, and rates per source and language."""
 import ast
+import io
 import re
+import sys
+import tokenize
 import tomllib
 import warnings
 import xml.parsers.expat
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import of_kind, per_text
 from .secrets import repo_rows
-from .syntax import chart, javascript, lines, shell, sql
+from .syntax import chart, data, javascript, lines, shell, sql
 
 LANGUAGES = {
     ".py": "python", ".js": "javascript", ".json": "json", ".yaml": "yaml", ".yml": "yaml", ".toml": "toml", ".ini": "ini", ".cfg": "ini", ".xml": "xml", ".sql": "sql", ".sh": "shell"}
@@ -22,8 +25,27 @@ def _python(text):
             ast.parse(text)
         except SyntaxError as x:
             raise chart.SyntaxIssue(x.msg or "invalid syntax", x.lineno or 1) from None
-        except (ValueError, RecursionError, MemoryError) as x:
+        except ValueError as x:
             raise chart.SyntaxIssue(str(x) or type(x).__name__, 1) from None
+        except (RecursionError, MemoryError) as x:
+            if isinstance(x, MemoryError) and "Parser stack" not in str(x):
+                raise  # the worker is short of memory, which says nothing about the text
+            _python_tokens(text)
+
+
+def _python_tokens(text):
+    """Texts nested deeper than the interpreter's parser goes are judged by their tokens and brackets."""
+    opening, stack = {")": "(", "]": "[", "}": "{"}, []
+    try:
+        for t in tokenize.generate_tokens(io.StringIO(text).readline):
+            if t.type == tokenize.OP and t.string in "([{":
+                stack.append(t.string)
+            elif t.type == tokenize.OP and t.string in opening and (not stack or stack.pop() != opening[t.string]):
+                raise chart.SyntaxIssue(f"unmatched {t.string!r}", t.start[0])
+    except (tokenize.TokenError, SyntaxError) as x:
+        raise chart.SyntaxIssue(str(x), 1) from None
+    if stack:
+        raise chart.SyntaxIssue(f"{stack[-1]!r} was never closed", text.count("\n") + 1)
 
 
 def _toml(text):
@@ -32,7 +54,7 @@ def _toml(text):
     except tomllib.TOMLDecodeError as x:
         m = re.search(r"line (\d+)", str(x))
         raise chart.SyntaxIssue(re.sub(r" \(at .*", "", str(x)), int(m[1]) if m else text.count("\n") + 1) from None
-    except (ValueError, RecursionError) as x:
+    except ValueError as x:
         raise chart.SyntaxIssue(str(x), 1) from None
 
 
@@ -45,7 +67,7 @@ def _xml(text):
 
 
 PARSERS = {
-    "python": _python, "javascript": javascript.check, "json": lines.json_text, "yaml": lines.yaml, "toml": _toml, "ini": lines.ini, "xml": _xml, "sql": sql.check, "shell": shell.check}
+    "python": _python, "javascript": javascript.check, "json": data.json_text, "yaml": lines.yaml, "toml": _toml, "ini": data.ini, "xml": _xml, "sql": sql.check, "shell": shell.check}
 
 
 def language(rel):
@@ -65,8 +87,13 @@ def first_error(text, lang):
     try:
         try:
             parse(text)
-        except RecursionError:
-            chart.deep(parse, text)
+        except RecursionError:  # readers written in Python go as deep as memory allows
+            old = sys.getrecursionlimit()
+            sys.setrecursionlimit(max(old, 20 * len(text) + 1000))
+            try:
+                parse(text)
+            finally:
+                sys.setrecursionlimit(old)
     except chart.SyntaxIssue as x:
         return x.line, x.message
     return None

@@ -225,3 +225,44 @@ def test_files_are_read_and_worked_on_once(spark, sf, name):
 def test_a_foreign_source_is_third_party_as_a_whole(spark):
     f, s = tables(spark, [("v", None, "a.py", "x = 1\n"), ("v", "repo", "blank.py", " \n"), ("v", "repo", "n.txt", "x"), ("s", "repo", "b.py", "x = 1\n")], [("v", "repo", "/x/vendor/v", None)])
     assert sorted(tuple(r) for r in provenance.flagged(f, s).collect()) == [("v", "a.py", "third-party")]
+
+
+@pytest.mark.parametrize("text", ["ALTER TABLE t ADD COLUMN ,,, = = ;", "MERGE INTO USING ON ON ON WHEN", "COPY , , FROM", "DECLARE = = ,", "import os\nprint('x')"])
+def test_statements_are_parsed_fully(text):
+    assert validity.first_error(text, "sql") is not None
+
+
+@pytest.mark.parametrize(("text", "lang", "ok"), [
+    ("a = " + "[" * 3000 + "]" * 3000 + "\n", "toml", True), ("[" * 50_000 + "]" * 50_000, "json", True), ("[" * 50_000, "json", False), ("x = " + "+".join(["1"] * 20_000), "python", True), ("x = " + "-" * 9000 + "1", "python", True),
+    ("x = " + "-" * 9000 + "(1", "python", False), ("f(" * 20_000 + ")" * 20_000, "javascript", True), ("f(" * 20_000 + ")" * 19_999, "javascript", False), ("SELECT " + "(" * 20_000 + "1" + ")" * 20_000, "sql", True), ("- " * 3000 + "a", "yaml", True)])
+def test_depth_is_no_error(text, lang, ok):
+    assert (validity.first_error(text, lang) is None) == ok
+
+
+@pytest.mark.parametrize("text", ['{"a": [1, -2.5e3, true, null, "\\u00e9\\n"]}', "[]", " 0 ", '"x"', "{", "[1,]", "01", "", "NaN", '{"a" 1}', '"\t"', '"\\x"', "[1] 2", "tru", "truex", "-", "1.", '{"a":1,}', "﻿[]", "[1\n2]"])
+def test_json_grammar_agrees_with_a_reader(text):
+    import json
+
+    def no(x):
+        raise ValueError(x)
+
+    try:
+        json.loads(text.removeprefix("﻿"), parse_constant=no)
+        ok = True
+    except ValueError:
+        ok = False
+    assert (validity.first_error(text, "json") is None) == ok
+
+
+def test_prediction_table_and_chart():
+    g = chart.Grammar("top = item*\nitem = 'a' item 'b' / 'a' item 'c' / !'x' NAME / &'y' 'y' 'z'?", "top")
+
+    def ok(text):
+        t = [chart.Token("NAME", w, 1, False) for w in text.split()]
+        try:
+            g.parse([*t, chart.Token("END", "", 1, False)])
+            return True
+        except chart.SyntaxIssue:
+            return False
+
+    assert ok("a q b a a q c b y z q") and ok("") and not ok("x") and ok("y q") and ok(" ".join(["a"] * 3000 + ["q"] + ["c"] * 3000))
