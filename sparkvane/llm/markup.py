@@ -1,12 +1,16 @@
 """Markup residue in text documents (problem 4): families of markup per document, and conversion to clean text.
 
-Blocks of a document are labelled content or boilerplate by a minimum cut: a block's cost under each label is the capacity of its
-terminal edges, neighbours in the text and in the element tree share edges, and the maximum flow gives the cheapest labelling."""
+Both rest on labelling by a minimum cut. The pieces of a text that look like markup are labelled markup or plain, its blocks content or
+boilerplate. What a classifier (markup_model) gives as the cost of each label is the capacity of a node's terminal edges; neighbours in the
+text and in the element tree share edges; the maximum flow gives the cheapest labelling. Pieces and blocks share no edge, so the two
+cuts are components of one graph and are solved apart: the families need the first only."""
 import html
 import re
 from collections import deque
+from typing import NamedTuple
 
 from .common import of_kind, per_text
+from .markup_model import block_weights, costs, piece_weights
 
 FAMILIES = ("html", "latex", "markdown", "wiki")
 
@@ -34,9 +38,11 @@ LATEX = re.compile(
       |bottomrule|noindent|newpage|clearpage|pagebreak|linebreak|newline|vspace|hspace|hfill|vfill|centering|tableofcontents|bibliography|bibitem|multicolumn|multirow|small|large|Large|huge|tiny|bfseries|itshape|em|bf|it|tt
       |par|medskip|bigskip|smallskip|phantom|text|operatorname|S|ss|ae|oe|LaTeX|TeX|today|thanks|appendix|index|marginpar|footnotemark)(?![A-Za-z])(?<!:\\temp)
     |\\[%&\#_{}$](?=[\s\w.,;:)\]\\]|$)|\\[`'^"~=.][A-Za-z{]|\\[()\[\]](?!\w:)|(?<=\S)[ ]\\\\[ ]*(?:\n|$|\\)|~\\\w+|\{\\\w+""")
-MATH = re.compile(r"(?<![\\$\w])\$(?=\S)(?:[^$\n\\]|\\.){0,400}?(?:\\[A-Za-z]+|[_^]\{|[A-Za-z\d]\s*[_^]\s*\w|^[a-zA-Z]$|[a-zA-Z]\s*=)(?:[^$\n\\]|\\.){0,400}?(?<=\S)\$(?![\d$])|\$\$(?=[^$])(?:[^$]|\\\$)+?\$\$|(?<![\\$\w])\$[A-Za-z]\$")
+#: Inside of a pair of dollars on one line that is a formula, and other formulas between dollars.
+_FORMULA = re.compile(r"\\[A-Za-z]+|[_^]\{|[A-Za-z\d]\s*+[_^]\s*+\w|[a-zA-Z]\s*+=")
+_DISPLAY = re.compile(r"\$\$(?=[^$])[^$]++\$\$")
 WIKI = re.compile(
-    r"""(?xm)^={2,6}[^=\n].*?={2,6}[ \t]*$|'''[^'\n]+?'''|(?<!')''(?!')[^'\n]+?''(?!')|\[\[[^\[\]\n]{1,300}\]\]|\{\{(?!\s*(?:secrets|\$))[^{}\n]{1,500}\}\}|^\{\|.*$|^\|\}[ \t]*$|^\|-+[ \t]*$
+    r"""(?xm)^={2,6}[^=\n].*?={2,6}[ \t]*$|'''[^'\n]+?'''|(?<!')''(?!')[^'\n]+?''(?!')|\[\[[^\[\]\n]++\]\]|\{\{(?!\s*(?:secrets|\$))[^{}\n]++\}\}|^\{\|.*$|^\|\}[ \t]*$|^\|-+[ \t]*$
     |(?i:^\#redirect\b)|__(?:NOTOC|TOC|FORCETOC|NOEDITSECTION|NOINDEX|INDEX|NEWSECTIONLINK|NOGALLERY|HIDDENCAT)__|\[https?://[^\s\]]+(?:\s[^\]\n]*)?\](?!\()|(?<=[^\n~])~{3,5}(?!~)[ \t]*$
     |(?i:<(?:/\s*)?(?:ref|nowiki|syntaxhighlight|references|gallery|noinclude|includeonly|onlyinclude|poem|math|hiero|score|timeline|templatestyles)(?:\s[^<>]*|\s*/)?>)|^;[^\n;:]+:[ ]""")
 MARKDOWN = re.compile(
@@ -57,8 +63,7 @@ def _setext(text):
             continue
         a = text.rfind("\n", 0, m.start() - 1) + 1
         h = text[a : m.start() - 1]
-        own = text[:a].rstrip(" \t") if a < 200 else text[max(0, a - 200) : a].rstrip(" \t")
-        if (not own or own.endswith("\n\n")) and re.search(r"\w", h[:200]) and len(h) <= 120:
+        if (not a or text.endswith("\n\n", 0, a)) and re.search(r"\w", h):
             yield a, h.strip(), m[0].strip()
 
 
@@ -86,70 +91,192 @@ def code_regions(text):
     return out
 
 
-def evidence(text):
-    """{family: pieces of its markup}. Null and empty texts hold none. Code blocks speak for their own family only."""
-    found = {f: [] for f in FAMILIES}
+class Piece(NamedTuple):
+    """A piece of text that looks like markup: its place, family and form, and marks of plain use."""
+
+    start: int
+    end: int
+    family: str
+    form: str
+    marks: tuple
+    text: str
+
+
+#: Paths of files, whose separators look like commands.
+_PATHS = re.compile(r"(?m)[A-Za-z]:(?:\\[\w .-]+)+|(?:(?<=\s)|^)\\\\[\w.-]+(?:\\[\w.-]+)*")
+_WIKI_FORMS = {"==": "heading", "''": "emphasis", "[[": "link", "{{": "template", "{|": "table", "|}": "table", "|-": "table", "__": "directive", "~~": "signature"}
+_MARKDOWN_FORMS = {"#": "heading", "[": "link", "!": "link", ">": "quote", "|": "table", ":": "table", "<": "link", "-": "rule", "+": "rule", "=": "rule", "~": "strike"}
+
+
+def _blanked(m):
+    return re.sub(r"[^\n]", " ", m[0])
+
+
+def formulas(text):
+    """(start, end) of the formulas between dollars. A pair of single dollars lies on one line; each dollar is looked at once."""
+    out, free = [], 0
+    display = [m.span() for m in _DISPLAY.finditer(text)] if "$$" in text else []
+    for line in re.finditer(r"[^\n]*\$[^\n]*", text):
+        at = [line.start() + m.start() for m in re.finditer(r"(?<!\\)\$", line[0])]
+        for a, b in zip(at, at[1:], strict=False):
+            if a < free or b == a + 1:
+                continue
+            body = text[a + 1 : b]
+            before, after = text[a - 1 : a], text[b + 1 : b + 2]
+            if body[0].isspace() or body[-1].isspace() or re.match(r"[$\w]", before) or after == "$" or after.isdigit():
+                continue
+            if _FORMULA.search(body) or len(body) == 1 and body.isascii() and body.isalpha():
+                out.append((a, b + 1))
+                free = b + 1
+    inner = set(x for a, b in display for x in (a, b))
+    return sorted(display + [x for x in out if not inner or not any(a <= x[0] < b for a, b in display)])
+
+
+def candidates(text):
+    """The pieces that look like markup of a family. Code blocks speak for their own family only. Null and empty texts have none."""
     if not text:
-        return found
+        return []
+    out = []
     code = code_regions(text)
     for a, b, f in code:
-        found[f].append(text[a : min(b, a + 40)])
+        out.append(Piece(a, b, f, "code", (), text[a : min(b, a + 40)]))
     rest = _blank(text, [(a, b) for a, b, _ in code])
     wiki_doc = bool(re.search(r"(?m)^={2,6}[^=\n].*={2,6}[ \t]*$|^\{\||^'''", rest))
     if wiki_doc:  # lines after a blank are shown as they are
         pre = [(m.start(), m.end()) for m in re.finditer(r"(?m)^ [^\n|!*#:;]*\S[^\n]*$", rest) if not re.match(r" +[-*]\s", m[0])]
         rest = _blank(rest, pre)
-    ticks = [(m.start(), m.end()) for m in re.finditer(r"(?<![`\\])(`{1,2})(?!`)[^`\n]+?\1(?!`)", rest)]
-    bare = _blank(rest, ticks)
+    ticks = [(m.start(), m.end()) for m in re.finditer(r"(?<![`\\])(`{1,2})(?!`)[^`\n]+?\1(?!`)", rest)] if "`" in rest else ()
+    bare = _blank(rest, ticks) if ticks else rest
+
+    def add(m, family, form, *marks):
+        out.append(Piece(m.start(), m.end(), family, form, marks, m[0]))
+
     for m in re.finditer(_TAG, bare) if "<" in bare else ():
-        found["html"].append(m[0])
+        add(m, "html", "comment" if m[0].startswith("<!") else "tag")
     for m in re.finditer(_ENTITY, bare) if "&" in bare else ():
-        if html.unescape(m[0]) != m[0]:
-            found["html"].append(m[0])
-    tagged = re.sub(r"<!--[\s\S]*?-->", " ", bare)
-    for m in LATEX.finditer(tagged) if "\\" in tagged else ():
-        before = tagged[max(0, m.start() - 40) : m.start()]
-        if re.search(r"[A-Za-z]:(?:\\[\w .-]+)*$", before) or re.search(r"(?:^|\s)\\\\[\w.-]+(?:\\[\w.-]+)*$", before):
-            continue  # inside a path
-        if re.match(r"\\\\?$", m[0].strip()) and not found["latex"]:
-            continue
-        found["latex"].append(m[0])
-    for m in MATH.finditer(tagged) if "$" in tagged else ():
-        found["latex"].append(m[0])
+        add(m, "html", "entity", *(("unknown",) if html.unescape(m[0]) == m[0] else ()))
+    tagged = re.sub(r"<!--[\s\S]*?-->", _blanked, bare) if "<!--" in bare else bare
+    sums = formulas(tagged) if "$" in tagged else []
+    if "\\" in tagged:
+        paths = iter([x.span() for x in _PATHS.finditer(tagged)])
+        path = next(paths, None)
+        for m in LATEX.finditer(tagged):
+            while path and path[1] <= m.start():
+                path = next(paths, None)
+            add(m, "latex", "break" if re.match(r"\\\\?$", m[0].strip()) else "command", *(("in a path",) if path and path[0] < m.start() and not tagged.startswith("{", m.end()) else ()))
+    for a, b in sums:
+        out.append(Piece(a, b, "latex", "formula", (), tagged[a:b]))
+    if not any(p.family == "latex" and p.form != "break" and not p.marks for p in out):
+        out = [p._replace(marks=(*p.marks, "alone")) if p.form == "break" else p for p in out]
     for m in WIKI.finditer(bare) if any(x in "\n" + bare for x in _WIKI_SIGNS) else ():
-        found["wiki"].append(m[0])
-    no_math = MATH.sub(lambda m: " " * len(m[0]), rest)
-    no_tags = re.sub(_TAG, lambda m: re.sub(r"[^\n]", " ", m[0]), no_math)
+        add(m, "wiki", _WIKI_FORMS.get(m[0][:2], "other"))
+    no_math = _blank(rest, sums) if sums else rest
+    no_tags = re.sub(_TAG, _blanked, no_math) if "<" in no_math else no_math
     for m in MARKDOWN.finditer(no_tags) if _MARKDOWN_SIGN.search(no_tags) else ():
         s = m[0]
+        t = s.lstrip()
+        strong = t[0] in "*_" and t[:1] == t[1:2]
+        marks = []
         if wiki_doc and re.match(r"\s{0,3}#{1,6}\s", s):
-            continue  # a numbered list there
-        if re.match(r"\s*\[\^?[^\]]+\]", s) and s.startswith("[http"):
-            continue
+            marks.append("numbered")  # a list there
+        if s.startswith("[http") and re.match(r"\[\^?[^\]]+\]", s):
+            marks.append("bracketed address")
         if s[0] in "*_" and s[1] not in "*_" and re.search(r"\d\s*\*|\*\s*\d", s):
-            continue
-        if LATEX.search(s) and not s.startswith(("#", "[", "!", "|", ">", "`")):
-            continue
-        found["markdown"].append(s)
-    for _, h, u in _setext(no_tags):
+            marks.append("product")
+        if not s.startswith(("#", "[", "!", "|", ">", "`")) and LATEX.search(s):
+            marks.append("commands inside")
+        add(m, "markdown", "strong" if strong else "emphasis" if t[0] in "*_" else "code" if t[0] == "`" else _MARKDOWN_FORMS.get(t[0], "other"), *marks)
+    for a, h, u in _setext(no_tags):
         if len(u) >= 3 and not h.startswith(("|", "#", "<", "-", "*")):
-            found["markdown"].append(u)
+            at = no_tags.index(u, a + len(h))
+            out.append(Piece(at, at + len(u), "markdown", "underline", (), u))
+    return out
+
+
+def features(piece):
+    """Names of what the classifier knows about a piece."""
+    return ("any", piece.family, f"{piece.family} {piece.form}", *(f"mark {m}" for m in piece.marks), *(("marked",) if piece.marks else ()))
+
+
+#: Weights of the edges between pieces: neighbours of a family in the text (by lines between them), the two tags of an element, and
+#: neighbours under the same parent element.
+NEAR, PAIR, SIBLINGS = 0.3, 1.0, 0.3
+_scores = {}
+
+
+def _score(piece):
+    key = (piece.family, piece.form, piece.marks)
+    got = _scores.get(key)
+    if got is None:
+        w = piece_weights()
+        got = _scores[key] = sum(w.get(f, 0.0) for f in features(piece))
+    return got
+
+
+def marked(text):
+    """The pieces labelled markup, by the minimum cut. Where the classifier gives all pieces the same label, no border can be cheaper."""
+    found = candidates(text)
+    scores = [_score(p) for p in found]
+    if not scores or min(scores) > 0:
+        return found
+    if max(scores) <= 0:
+        return []
+    edges = {}
+
+    def add(i, j, w):
+        k = (min(i, j), max(i, j))
+        edges[k] = edges.get(k, 0.0) + w
+
+    order = sorted(range(len(found)), key=lambda k: (found[k].start, k))
+    before, open_, last = {}, [], {}
+    for i in order:
+        p = found[i]
+        if p.family in before:
+            j = before[p.family]
+            add(i, j, NEAR / (1 + text.count("\n", found[j].start, p.start)))
+        before[p.family] = i
+        if p.form == "tag":
+            m = re.match(r"<\s*(/?)\s*([\w:]+)", p.text)
+            parent = open_[-1][0] if open_ else -1
+            if m and m[1]:
+                k = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][1] == m[2].lower()), None)
+                if k is not None:
+                    add(i, open_[k][0], PAIR)
+                    del open_[k:]
+            elif m:
+                if parent in last:
+                    add(i, last[parent], SIBLINGS)
+                last[parent] = i
+                if m[2].lower() not in ("br", "hr", "img", "input", "meta", "link", "col", "wbr") and not p.text.endswith("/>"):
+                    open_.append((i, m[2].lower()))
+    price = [costs(z) for z in scores]
+    keep = min_cut([a for a, _ in price], [b for _, b in price], edges)
+    return [p for p, yes in zip(found, keep, strict=True) if yes]
+
+
+def evidence(text):
+    """{family: pieces of its markup}."""
+    found = {f: [] for f in FAMILIES}
+    for p in marked(text):
+        found[p.family].append(p.text)
     return found
 
 
 def families(text):
     """The families of markup a text holds, in alphabetical order."""
-    return [f for f, x in evidence(text).items() if x]
-
+    have = {p.family for p in marked(text)}
+    return [f for f in FAMILIES if f in have]
 
 
 # ---- conversion -----------------------------------------------------------------------------------------------------------------
 
-#: Costs of a block under the labels content and boilerplate, by the kind of evidence.
-COST = {"text": 1.0, "links": 1.5, "short": 0.4, "tail": 0.8, "place": 3.0, "structure": 1.2}
-#: Weights of the smoothness edges: neighbours in the text, and neighbours under the same parent element.
+#: Weights of the edges between blocks: neighbours in the text, less by each step between their elements, and neighbours under one parent
+#: element or heading.
 NEXT, SIBLING = 0.6, 0.5
 _OUTSIDE = frozenset("nav footer aside menu form head script style noscript button select option iframe".split())
+#: Elements that make the tree of a document besides the former.
+_CONTAINERS = frozenset("body main article section header div blockquote ul ol dl table figure details fieldset".split())
+_TAIL = re.compile(r"(?i)^©|^(?:copyright|all rights reserved|cookie|privacy|terms of use|imprint|impressum|back to top|skip to|share this|print this|log ?in|sign in)\b")
 
 
 def min_cut(content, boiler, edges):
@@ -221,7 +348,7 @@ def _plain_html(text):
     def tag(m):
         close, name = m[0][1:2] == "/", re.match(r"</?\s*([\w:]+)", m[0])
         name = name[1].lower() if name else ""
-        if name in _OUTSIDE:
+        if name in _OUTSIDE or name in _CONTAINERS:
             return f"\n\n\x03{'/' if close else ''}{name}\x04"
         if re.fullmatch(r"h[1-6]", name):
             return "\n\n" if close else f"\n\n\x01h{name[1]}\x02"
@@ -233,7 +360,7 @@ def _plain_html(text):
             return "\n" if close else "\n\x01t1\x02"
         if name == "br":
             return "\n"
-        if name in ("p", "div", "ul", "ol", "table", "section", "article", "blockquote", "dl", "dt", "dd", "hr", "body", "html", "main", "header", "pre"):
+        if name in ("p", "dt", "dd", "hr", "html", "pre"):
             return "\n\n"
         return ""
 
@@ -308,7 +435,8 @@ def _plain_markdown(text):
 
 
 def blocks(text):
-    """[(kind, level, text, place)] of a document: heading, paragraph, list, code, formula or table row, with the outer element it stands in."""
+    """[(kind, level, text, place, path)] of a document: heading, paragraph, list, code, formula or table row; the outer element it stands in,
+    and its path in the tree: the numbers of the open elements, or of the headings above it where a document has no elements."""
     if not text:
         return []
     text = re.sub(r"[\x01-\x08]", "", text)  # used as marks below
@@ -334,49 +462,92 @@ def blocks(text):
         t = _plain_html(t)
     if ev["markdown"]:
         t = _plain_markdown(t)
-    out, place = [], []
+    out, open_, heads, n = [], [], [], 0
     for chunk in re.split(r"\n\s*\n|\n(?=\x01)", t):
-        for m in re.finditer(r"\x03([^\x04]*)\x04", chunk):
-            if m[1].startswith("/"):
-                if m[1][1:] in place:
-                    place.remove(m[1][1:])
+        after = []
+        body_seen = False
+        for m in re.finditer(r"\x03([^\x04]*)\x04|[^\x03\s]", chunk):
+            if m[1] is None:
+                body_seen = True
+            elif body_seen:
+                after.append(m[1])  # what closes or opens behind the block's text
             else:
-                place.append(m[1])
+                n = _step(open_, m[1], n)
         chunk = re.sub(r"\x03[^\x04]*\x04", "", chunk).strip()
         m = re.match(r"\x01([hlcft])(\d)\x02", chunk)
         body = re.sub(r"\x01[hlcft]\d\x02", "", chunk)
         kind = {"h": "heading", "l": "list", "c": "code", "f": "formula", "t": "table"}[m[1]] if m else "paragraph"
-        if kind == "code":
-            body = re.sub(r"\x05(\d+)\x06", lambda x: shown[int(x[1])], body)
-        else:
-            body = re.sub(r"\x05(\d+)\x06", lambda x: shown[int(x[1])], body)
+        body = re.sub(r"\x05(\d+)\x06", lambda x: shown[int(x[1])], body)
+        if kind != "code":
             body = "\n".join(" ".join(x.split()) for x in body.split("\n")).strip(" |\n")
         if re.search(r"\w", body):
-            out.append((kind, int(m[2]) if m else 0, body, place[-1] if place else ""))
+            if kind == "heading":
+                n += 1
+                while heads and heads[-1][0] >= int(m[2]):
+                    heads.pop()
+                heads.append((int(m[2]), n))
+            path = tuple(k for _, k in open_) or tuple(k for _, k in heads)
+            place = next((x for x, _ in reversed(open_) if x in _OUTSIDE), "")
+            out.append((kind, int(m[2]) if m else 0, body, place, path))
+        for x in after:
+            n = _step(open_, x, n)
     return out
 
 
+def _step(open_, mark, n):
+    """Follow a tag in the list of open elements (name, number); returns the last number given."""
+    if not mark.startswith("/"):
+        open_.append((mark, n + 1))
+        return n + 1
+    for k in range(len(open_) - 1, -1, -1):
+        if open_[k][0] == mark[1:]:
+            del open_[k:]
+            break
+    return n
+
+
+def block_features(kind, place, body):
+    """What the classifier knows about a block."""
+    words = re.findall(r"\w+", body)
+    links = len(re.findall(r"https?://|www\.|»|\s\|\s", body)) if kind != "table" else 0
+    return [
+        1.0, min(1.0, len(words) / 8), float(len(words) < 3 and kind == "paragraph"), min(3.0, links / max(1, len(words)) * 8), float(place in _OUTSIDE), float(bool(_TAIL.search(body))), float(kind in ("code", "formula", "table")), float(kind in ("heading", "list")),
+        float(body[-1:] in ".!?:" and kind == "paragraph")]
+
+
+def _distance(a, b):
+    """Steps between two places of the tree."""
+    k = 0
+    while k < len(a) and k < len(b) and a[k] == b[k]:
+        k += 1
+    return len(a) + len(b) - 2 * k
+
+
 def labelled(text):
-    """Blocks with their label: [(kind, level, text, keep)], by the minimum cut over their costs."""
+    """Blocks with their label: [(kind, level, text, keep)], by the minimum cut over their costs.
+
+    Neighbours in the text are tied by how near they are in the tree; so are neighbours under one parent, and under one grandparent,
+    whatever stands between them."""
     b = blocks(text)
-    content, boiler = [], []
-    for k, (kind, _, body, place) in enumerate(b):
-        words = re.findall(r"\w+", body)
-        links = len(re.findall(r"https?://|www\.|»|\s\|\s", body)) if kind != "table" else 0
-        c = COST["links"] * links / max(1, len(words)) * 8 + (COST["place"] if place in _OUTSIDE else 0)
-        c += COST["tail"] if re.search(r"(?i)^(?:copyright|©|all rights reserved|cookie|privacy|terms of use|imprint|impressum|back to top|skip to|share this|print this|log ?in|sign in)\b", body) else 0
-        d = COST["text"] * min(1.0, len(words) / 8) + (COST["structure"] if kind in ("heading", "list", "code", "formula", "table") else 0)
-        c += COST["short"] if len(words) < 3 and kind == "paragraph" else 0
-        content.append(c)
-        boiler.append(d + 0.3)
-    edges = {}
-    for i in range(len(b) - 1):
-        w = NEXT if b[i][3] == b[i + 1][3] else 0.1
-        if b[i][0] == b[i + 1][0] and b[i][3] == b[i + 1][3]:
-            w += SIBLING
-        edges[i, i + 1] = w
-    keep = min_cut(content, boiler, edges) if b else []
-    return [(kind, level, body, yes) for (kind, level, body, _), yes in zip(b, keep, strict=True)]
+    if not b:
+        return []
+    w = block_weights()
+    price = [costs(sum(x * y for x, y in zip(w, block_features(kind, place, body), strict=True))) for kind, _, body, place, _ in b]
+    edges, last = {}, {}
+
+    def add(i, j, v):
+        edges[i, j] = edges.get((i, j), 0.0) + v
+
+    for i, (kind, _, _, _, path) in enumerate(b):
+        if i:
+            add(i - 1, i, NEXT / (1 + _distance(b[i - 1][4], path)) + (SIBLING if b[i - 1][0] == kind and b[i - 1][4] == path else 0))
+        for up, v in ((path, SIBLING), (path[:-1], SIBLING / 2)):
+            j = last.get((len(path) - len(up), up))
+            if j is not None and j < i - 1:
+                add(j, i, v)
+            last[len(path) - len(up), up] = i
+    keep = min_cut([yes for yes, _ in price], [no for _, no in price], edges)
+    return [(kind, level, body, k) for (kind, level, body, *_), k in zip(b, keep, strict=True)]
 
 
 def clean(text):

@@ -266,3 +266,35 @@ def test_prediction_table_and_chart():
             return False
 
     assert ok("a q b a a q c b y z q") and ok("") and not ok("x") and ok("y q") and ok(" ".join(["a"] * 3000 + ["q"] + ["c"] * 3000))
+
+
+HELD_OUT = [
+    ("<h2>Plan</h2><p>We start.</p>", "html"), ("one &mdash; two", "html"), ("<em>so</em>", "html"), ("value of &bar; and &q;", ""), ("a<c and d>e", ""), ("\\subsection{Aim} \\item x", "latex"), ("$\\beta = 2$", "latex"), ("12\\% rise", "latex"),
+    ("K:\\sum\\leq\\pi is a folder", ""), ("copy \\\\host\\date\\part there", ""), ("last \\\\\n", ""), ("=== Sub ===", "wiki"), ("{{cite|x}} and [[File:a.png]]", "wiki"), ("== L ==\n# uno\n# due\n# tre", "wiki"), ("### Step\n1. a", "markdown"), ("so **very** good", "markdown"),
+    ("the `x` flag", "markdown"), ("4 *5 and 6* 7", ""), ("_\\gamma_ and \\delta", "latex"), ("[http://z.invalid q]: w", "wiki"), ("Heading\n===\n\nx", "markdown"), ("price 3$ or 4$", ""), ("D:\\text\\bf and \\emph{this}", "latex")]
+
+
+def test_labels_of_held_out_snippets():
+    got = [(" ".join(markup.families(t)), want) for t, want in HELD_OUT]
+    assert [g for g in got if g[0] != g[1]] == []
+
+
+@pytest.mark.parametrize("n", [100, 119, 121, 299, 301, 399, 401, 499, 501, 5000])
+def test_length_is_no_limit_of_markup(n):
+    w = "word " * (n // 5) + "x" * (n % 5)
+    for t, f in ((f"[[{w}]]", "wiki"), (f"{{{{{w}}}}}", "wiki"), (f"a ${w}= 1$ b", "latex"), (f"a $x = 1 {w}$ b", "latex") if not w.endswith(" ") else (f"$x = {w}1$", "latex"), (f"{w}\n=====\n\nx", "markdown"), (f"C:\\{'a' * n}\\text\\alpha", "")):
+        assert " ".join(markup.families(t)) == f, (n, f)
+
+
+def test_blocks_are_tied_by_the_element_tree():
+    page = "<body><nav><ul><li>Home page of the bank</li><li>News of the week</li></ul></nav><div><p>The limits were reviewed in March and hold for all desks.</p><p>No breach was found.</p></div><footer><p>© 2021 the web team</p></footer></body>"
+    got = markup.labelled(page)
+    assert [(b, k) for _, _, b, k in got] == [("Home page of the bank", False), ("News of the week", False), ("The limits were reviewed in March and hold for all desks.", True), ("No breach was found.", True), ("© 2021 the web team", False)]
+    paths = [p for *_, p in markup.blocks(page)]
+    assert paths[0] == paths[1] != paths[2] == paths[3] and markup._distance(paths[0], paths[2]) > markup._distance(paths[2], paths[3]) == 0
+    assert [p for *_, p in markup.blocks("# A\n\none two\n\n## B\n\nthree\n\n# C\n\nfour")] == [(1,), (1,), (1, 2), (1, 2), (3,), (3,)]
+
+
+def test_long_documents_are_cut_in_time():
+    t = "<div><p>Text of the record, in full.</p><nav>a | b</nav></div>\n" * 3000 + "C:\\alpha\\beta &foo; "
+    assert markup.families(t) == ["html"] and markup.clean(t).count("Text of the record") == 3000 and "a | b" not in markup.clean(t)
