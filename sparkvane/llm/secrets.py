@@ -1,17 +1,29 @@
 """Credentials in source text (problem 1): keyword automaton, issuer formats, named values, structure checks, redaction in place."""
 import base64
+import bisect
 import functools
 import json
 import math
 import re
+import zlib
 
 from .common import of_kind, per_text
 
-#: What a line must hold, in lower case, before any pattern is tried on it.
-KEYWORDS = (
-    "pass", "pwd", "_pw", "secret", "token", "key", "credential", "auth", "bearer", "kennwort", "mot_de", "contras", "clave", "haslo", "hasło", "senha", "парол",
-    "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "sk-", "sk_", "rk_", "dapi", "eyj", "aiza", "8q~", "sg.", "npm_", "pypi-",
-    "hf_", "://", "identified by", "sig=", "signature=", "login", "log in", "sign in", "logon", "access", "creds", "-u ", "--user", "dsn", "connect")
+_SECRET_WORDS = frozenset(
+    "password passwd passwort pwd pass passphrase passcode passe pw secret token apikey credential credentials cred creds auth authtoken accesstoken kennwort contrasena contraseña clave "
+    "haslo hasło senha пароль authorization dsn".split())
+#: Words that the other patterns need, and what the issuer formats begin with.
+_PATTERN_WORDS = (
+    "key", "bearer", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "sk-", "sk_", "rk_", "dapi", "eyj", "aiza", "8q~", "sg.", "npm_", "pypi-", "hf_", "://", "identified", "sig=", "signature=", "login", "logon", "access", "-u")
+
+
+def _least(words):
+    """The words that hold no other one: where any word stands, one of these does."""
+    return tuple(w for w in sorted(words) if not any(x != w and x in w for x in words))
+
+
+#: What a line must hold, in lower case, before any pattern is tried on it. A name of a secret holds one of the secret words, so none is missed.
+KEYWORDS = _least({*_SECRET_WORDS, *_PATTERN_WORDS})
 
 #: Issuer formats: each value is secret wherever it stands.
 ISSUERS = {
@@ -28,7 +40,7 @@ ISSUERS = {
     "package token": r"(?<![A-Za-z0-9])(?:npm_[A-Za-z0-9]{36}|pypi-[A-Za-z0-9_-]{50,}|hf_[A-Za-z0-9]{30,})(?![A-Za-z0-9])",
     "signed address": r"(?i:[?&](?:sig|signature|x-amz-signature|access_token|api_key|apikey|auth|token)=)([A-Za-z0-9%+/_.~-]{16,}={0,2})",
     "storage key": r"(?i:AccountKey|SharedAccessKey)=([A-Za-z0-9+/]{40,}={0,2})",
-    "connection password": r"(?i:(?<![a-z])(?:password|pwd))\s*=\s*([^;'\"\s$<{}%*]{4,})(?=;)",
+    "connection password": r"(?i:(?<![a-z])(?:password|pwd))\s*=\s*([^;'\"\s$<{}%*]{4,})(?=;)|;\s*(?i:password|pwd)\s*=\s*([^;'\"\s$<{}%*]{4,})(?=['\"]|$)",
 }
 ISSUER = re.compile("|".join(f"(?P<k{i}>{p})" for i, p in enumerate(ISSUERS.values())))
 PEM = re.compile(
@@ -51,11 +63,11 @@ BASIC = re.compile(r"(?<!\S)(?:-u|--user)[ =]?(?P<q>['\"]?)(?P<u>[^\s:'\"]+):(?P
 BEARER = re.compile(r"(?i)\b(?:bearer|basic|token)\s+(?P<v>[A-Za-z0-9+/_.~=:!?-]{8,})")
 PROSE = re.compile(r"(?i)\b(?:login|logon|access|credentials?|creds|pass(?:word|wort|phrase)?|secret|token|key)\b[^:=\n`\"']{0,40}[:=]\s*`?(?P<v>[^\s`\"'<>]{8,})`?\s*\.?$")
 
-WRITTEN = re.compile(r"(?i)\b(?:log\s?in|sign\s?in|use|user|account|access)\b[^`]{0,200}`[^`]{1,200}`[^`]{0,20}\b(?:with|and|password|pw|/)\s*`(?P<v>[^\s`]{6,})`")
+#: A login in prose: a word for it, a quoted user, a joining word, a quoted value.
+WRITTEN_WORD = re.compile(r"(?i)\b(?:log\s?in|sign\s?in|use|user|account|access)\b")
+WRITTEN_JOIN = re.compile(r"(?i)(?:\b(?:with|and|password|pw)|/)\s*$")
+_TICKED = re.compile(r"[^`\n]*+`[^`\n]++`[^`\n]*+`[^`\n]++`")
 
-_SECRET_WORDS = frozenset(
-    "password passwd passwort pwd pass passphrase passcode passe pw secret token apikey credential credentials cred creds auth authtoken accesstoken kennwort contrasena contraseña clave "
-    "haslo hasło senha пароль authorization dsn".split())
 _KEY_BEFORE = frozenset("api access secret signing storage private encryption account master service shared app auth client deploy license session webhook hmac jwt".split())
 _NOT_SECRET = frozenset(
     "count counts counter max min num number field fields column columns col label labels hint hints name names file filename path dir url uri host endpoint limit length len type size policy "
@@ -74,7 +86,7 @@ def _automaton():
 
 
 def candidate_lines(text):
-    """Numbers (from 0) of the lines that hold a keyword, found in one pass of the automaton."""
+    """(starts of lines, numbers from 0 of the lines that hold a keyword), found in one pass of the automaton; lines with two quoted words too."""
     low = text.lower()
     if len(low) != len(text):  # a few characters change length in lower case
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
@@ -85,6 +97,9 @@ def candidate_lines(text):
             k += 1
         if not out or out[-1] != k:
             out.append(k)
+    if text.count("`") > 3:  # two quoted words on a line may be a login
+        more = {bisect.bisect_right(starts, m.start()) - 1 for m in _TICKED.finditer(text)}
+        out = sorted(more.union(out))
     return starts, out
 
 
@@ -125,8 +140,10 @@ def _entropy(v):
 def is_literal(value, name=""):
     """A literal secret behind a secret name: no blanks, no address without a password, no number or plain word."""
     v = value.strip()
-    if len(v) < 6 or re.search(r"\s", v) or is_placeholder(v, name):
+    if len(v) < 4 or re.search(r"\s", v) or is_placeholder(v, name):
         return False
+    if len(v) < 6 and not (re.search(r"[A-Za-z]", v) and re.search(r"\d", v) and re.search(r"[^\w.,:/-]", v)):
+        return False  # too short to tell from a code or an abbreviation, but for a mix of letters, digits and signs
     if re.match(r"[A-Za-z][A-Za-z0-9+.-]*://", v):
         return False  # an address; a password inside is found on its own
     if re.match(r"(?i)(?:sha\d+|md5)[:-]|ssh-|-----BEGIN|/|\./|[A-Z]:\\", v) and not re.match(r"/[A-Za-z0-9+/=]{30,}$", v):
@@ -140,8 +157,26 @@ def is_literal(value, name=""):
     return True
 
 
+_BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def checksum(kind, v):
+    """Whether an issuer's checksum holds; None for issuers that define none. Forge and package tokens end with the CRC-32 of their
+    random part, in six digits to the base of 62."""
+    if kind == "forge token" and len(v) == 40 or kind == "package token" and v.startswith("npm_"):
+        n, want = zlib.crc32(v[4:-6].encode()), ""
+        for _ in range(6):
+            n, r = divmod(n, 62)
+            want = _BASE62[r] + want
+        return v[-6:] == want
+    return None
+
+
 def _token_ok(kind, v):
-    """Structure of an issuer value: a web token's header is JSON, the others have some variety."""
+    """Checksum or structure of an issuer value. A web token's header is JSON; a checksum that holds settles it, and where it fails or there
+    is none the value needs some variety, as cut or rewritten tokens are secrets of a kind too."""
+    if checksum(kind, v):
+        return True
     if kind == "web token":
         head = v.split(".")[0]
         try:
@@ -154,6 +189,20 @@ def _token_ok(kind, v):
     return len(set(body)) >= min(8, len(body) // 2)
 
 
+_NEXT_LINE = re.compile(rf"\s*[(\\+]*\s*{_QUOTED}")
+
+
+def _last_name(line):
+    """The name to which a line that ends with = or : and opening signs assigns, or None. The line is read from its end."""
+    s = line.rstrip("(\\+ \t")
+    if not s.endswith(("=", ":")):
+        return None
+    s = s[:-1].rstrip(" \t").rstrip("\"'])")
+    m = re.match(r"[\wÀ-ɏЀ-ӿ.-]*", s[::-1])
+    m = re.search(rf"{_NAME}$", m[0][::-1])
+    return m and m[0]
+
+
 def spans(text, rel=""):
     """(start, end, kind) of every secret value, in order and without overlaps. Null and empty texts give none."""
     if not text:
@@ -171,10 +220,10 @@ def spans(text, rel=""):
         end = starts[k + 1] - 1 if k + 1 < len(starts) else len(text)
         _line(text[at:end], at, ext, out)
         tail = text[at:end].rstrip()
-        if tail.endswith(("(", "\\", "=", ":", "+")) and len(tail) < 200:  # the value begins on the next line
-            m = re.search(rf"(?P<n>{_NAME})[\"'\])]*\s*(?:=|:)\s*[(\\+]*\s*$", tail.rstrip("(\\+ "))
-            n = re.compile(rf"\s*[(\\+]*\s*{_QUOTED}").match(text, end) if m and is_secret_name(m["n"]) else None
-            if n and is_literal(n["v"], m["n"]):
+        if tail.endswith(("(", "\\", "=", ":", "+")):  # the value begins on the next line
+            name = _last_name(tail)
+            n = _NEXT_LINE.match(text, end) if name and is_secret_name(name) else None
+            if n and is_literal(n["v"], name):
                 out.append((n.start("v"), n.end("v"), "named value"))
     out.sort(key=lambda s: (s[0], -s[1]))
     kept, last = [], -1
@@ -241,14 +290,21 @@ def _line(line, at, ext, out):
     if re.match(r"\s*(?:#|//|--|/?\*|<!--|;)", line) or ext in ("md", "txt", "rst", ""):
         if (m := PROSE.search(line)) and is_literal(m["v"]) and re.search(r"[\d!?#$%&*]", m["v"]) and not re.search(r"[(){};,]", m["v"]):
             out.append((at + m.start("v"), at + m.end("v"), "written login"))
-        for m in WRITTEN.finditer(line):
-            if is_literal(m["v"]):
-                out.append((at + m.start("v"), at + m.end("v"), "written login"))
+        part, pos = line.split("`"), 0
+        for k in range(0, len(part) - 4, 1):  # before `user` between `value`
+            if WRITTEN_WORD.search(part[k]) and part[k + 1] and WRITTEN_JOIN.search(part[k + 2]) and len(part[k + 3]) > 5 and is_literal(part[k + 3]):
+                a = at + pos + sum(len(x) + 1 for x in part[k : k + 3])
+                out.append((a, a + len(part[k + 3]), "written login"))
+            pos += len(part[k]) + 1
 
 
 def mask(value):
-    """A placeholder of the same length over the same alphabet: digits to 0, letters to x and X, escapes and other signs kept."""
-    return re.sub(r"\\[nrt]|[0-9]|[a-z]|[A-Z]|[^\W\d_]", lambda m: m[0] if m[0][0] == "\\" else "0" if m[0].isdigit() else "X" if m[0].isupper() else "x", value)
+    """A placeholder of the same length over the same alphabet: digits to 0, letters to x and X, escapes and other signs kept. In values to
+    the base of 16 letters become a and A, in values to the base of 32, which have no 0, digits become 2."""
+    core = re.sub(r"[^A-Za-z0-9]", "", value)
+    hexa = len(core) >= 8 and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", core)
+    low, up, digit = ("a", "A", "0") if hexa else ("x", "X", "2" if len(core) >= 16 and re.fullmatch(r"[A-Z2-7]+", core) else "0")
+    return re.sub(r"\\[nrt]|[0-9]|[a-z]|[A-Z]|[^\W\d_]", lambda m: m[0] if m[0][0] == "\\" else digit if m[0].isdigit() else up if m[0].isupper() else low, value)
 
 
 def redact(text, rel="", found=None):
