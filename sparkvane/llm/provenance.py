@@ -1,5 +1,6 @@
 """Source files not written by hand in their project (problem 5): generated, minified, third-party, or data written as code."""
 import re
+from typing import NamedTuple
 
 from pyspark.sql import functions as F
 
@@ -22,6 +23,10 @@ GENERATED = re.compile(
     |generad[oa]\s+(?:autom[áa]ticamente|por)|no\s+(?:editar|modificar)\b|gerad[oa]\s+(?:automaticamente|por)|n[ãa]o\s+(?:editar|edite|modificar)|wygenerowan\w+|nie\s+(?:edytuj|edytować|modyfikować|zmieniać)
     |сгенерирован\w*|создан\w*\s+автоматически|не\s+(?:редактир\w+|изменя\w+|править)""")
 BY_HAND = re.compile(r"(?i)\b(?:not|never|isn['’]t|nicht|pas|no)\s+(?:auto\w*[\s-]+|machine[\s-]+)?(?:generated|generiert|erzeugt|généré|generado)|\b(?:hand[\s-]?(?:written|made|kept)|written\s+by\s+hand)\b")
+#: Statements in a docstring, where prose may speak of what a program generates: only those that are about the file.
+GENERATED_FILE = re.compile(r"(?i)\bcode\s+generated\s+(?:by|from|with)|@generated\b|\bthis\s+(?:file|module)\s+(?:is|was|has\s+been)\s+(?:auto\w*[\s-]*|machine[\s-]+)?generated|\b(?:do\s+not|don['’]t)\s+(?:edit|modify)\s+(?:this\s+file|by\s+hand|manually|directly)")
+#: Names that tools give to what they write.
+GENERATED_NAME = re.compile(r"_pb2(?:_grpc)?\.pyi?$|^(?:parsetab|lextab|yacctab)\.py$")
 #: Statements of another owner in a file's header.
 FOREIGN_STATEMENT = re.compile(
     r"(?i)\bupstream\s*[:=]|\bcopyright\b.{0,40}\b(?:the\s+[\w .&-]+\s+(?:authors|contributors|developers|project|foundation)|[\w .&-]+\s+(?:authors|contributors|foundation))\b"
@@ -36,6 +41,8 @@ _SCAN = {e: re.compile(rf"(?ms)(?P<s>{_STRING})|(?P<c>{c})") for e, c in _COMMEN
 _LITERAL = re.compile(r"(?<![\w.])[-+]?(?:\d[\d_]*\.?\d*(?:[eE][-+]?\d+)?|0x[0-9a-fA-F]+)\b|\b(?:NULL|None|null|true|false|True|False)\b")
 
 
+_NOT_ALNUM = re.compile(r"[\W_]+")
+
 #: A line of literals and signs only; possessive, so that a long line is read once.
 _DATA_LINE = re.compile(
     r"(?i)\s*+(?:insert\s+into\s+[\w.\"`]+\s*(?:\([^()]*\))?\s*values\s*)?(?:[\s,;:()\[\]{}=>]|[-+]?[\d.][\w.+/=-]*+|-|\"(?:\\.|[^\"\\])*+\"|'(?:\\.|[^'\\])*+'|(?:null|none|true|false)\b|[A-Za-z0-9+/]{40,}+={0,2})++")
@@ -62,9 +69,19 @@ def header(text, ext):
     return "\n".join(out)
 
 
+_DOCSTRING = re.compile(r"(?:[ \t]*+(?:#[^\n]*)?+\n)*+[ \t]*+[rRuU]?(\"\"\"|''')")
+
+
+def docstring(text):
+    """The docstring of a Python file, if it begins with one after its comments."""
+    m = _DOCSTRING.match(text)
+    end = text.find(m[1], m.end()) if m else -1
+    return text[m.end() : end] if end >= 0 else ""
+
+
 def layout(text, ext):
-    """Statistics of a file's layout without its comments and prose: longest and mean code line, white-space share, share and volume of
-    literals, long encoded runs, share of lines that only hold literals."""
+    """Statistics of a file's layout without its comments and prose: longest and mean code line, white-space and alphanumeric share, share
+    and volume of literals, density of numbers, long encoded runs, share of lines that only hold literals."""
     prose, lits = [], []
 
     def strip(m):
@@ -83,21 +100,37 @@ def layout(text, ext):
     for m in re.finditer(_STRING, code, re.S):
         lits.append(len(re.sub(r"\s", "", m[0])))
     bare = re.sub(_STRING, " ", code, flags=re.S)
-    for m in _LITERAL.finditer(bare):
-        lits.append(len(m[0]))
+    numbers = [len(m[0]) for m in _LITERAL.finditer(bare)]
+    lits += numbers
     marks = len(re.findall(r"[,;:()\[\]{}]", bare))
     runs = sum(len(m) for m in re.findall(r"[A-Za-z0-9+/]{60,}={0,2}|(?:\\x[0-9a-fA-F]{2}){20,}", code))
     data = [x for x in lines if _DATA_LINE.fullmatch(x) and re.search(r"[\w\"']", x)]
     return {
         "longest": max(map(len, lines), default=0), "mean": sum(map(len, lines)) / max(1, len(lines)), "lines": len(lines), "solid": solid,
         "blank_share": 1 - len(re.sub(r"\s", "", code)) / max(1, len(code)), "literals": len(lits), "literal_share": (sum(lits) + min(marks, len(lits) * 2)) / solid,
+        "numbers": len(numbers), "number_share": sum(numbers) / solid, "alnum_share": len(_NOT_ALNUM.sub("", code)) / solid,
         "runs": runs, "data_lines": len(data), "data_share": sum(map(len, data)) / max(1, sum(map(len, lines))), "data_chars": sum(map(len, data))}
 
 
-#: Longest code line and white-space share that speak for minified text, and the least literals of mere data, by language.
-LONG_LINE = {".js": 250, ".py": 500, ".sql": 1500, ".sh": 800}
-BLANK_SHARE = {".js": 0.10, ".py": 0.06, ".sql": 0.06, ".sh": 0.05}
-DATA_LINES, DATA_CHARS = 40, 1200
+class Limits(NamedTuple):
+    """Thresholds of a language. Minified: the longest line, or the mean line of a file of some size, with so little white space. Data: so many
+    lines or characters of literals, shares of literals, of numbers in solid text, and of letters and digits in it."""
+
+    longest: int
+    mean: int
+    blank: float
+    lines: int
+    chars: int
+    literal: float
+    number: float
+    alnum: float
+
+
+LIMITS = {
+    ".js": Limits(250, 90, 0.10, 40, 1200, 0.70, 0.50, 0.93), ".py": Limits(500, 110, 0.06, 40, 1200, 0.70, 0.50, 0.93),
+    ".sql": Limits(1500, 400, 0.06, 40, 1200, 0.75, 0.55, 0.95), ".sh": Limits(800, 140, 0.05, 40, 1200, 0.75, 0.50, 0.95)}
+#: Solid characters from which a mean line counts, and numbers from which their density does.
+MEAN_FROM, NUMBERS_FROM = 300, 60
 
 
 def kinds(rel, text, path=None):
@@ -112,15 +145,20 @@ def kinds(rel, text, path=None):
     if any(p in FOREIGN for p in places) or FOREIGN_NAME.search(parts[-1]) or FOREIGN_STATEMENT.search(head):
         out.append("third-party")
     said = [line for line in head.split("\n") if GENERATED.search(line) and not BY_HAND.search(line)]
-    if said or TABLES.search(text):
+    if ext == ".py" and not said:
+        said = [line for line in docstring(text).split("\n") if GENERATED_FILE.search(line) and not BY_HAND.search(line)]
+    if said or TABLES.search(text) or GENERATED_NAME.search(parts[-1]):
         out.append("generated")
-    x = layout(text, ext)
-    if x["longest"] > LONG_LINE[ext] and x["blank_share"] < BLANK_SHARE[ext] and x["literal_share"] < 0.6:
+    x, at = layout(text, ext), LIMITS[ext]
+    long = x["longest"] > at.longest or x["mean"] > at.mean and x["solid"] >= MEAN_FROM
+    if long and x["blank_share"] < at.blank and x["literal_share"] < 0.6:
         out.append("minified")
-    many = x["data_lines"] >= DATA_LINES and x["data_share"] >= 0.8 and x["data_chars"] >= DATA_CHARS
-    runs = x["runs"] >= DATA_CHARS and x["runs"] >= 0.6 * x["solid"]
-    packed = x["literals"] >= 100 and x["literal_share"] >= 0.7 and x["solid"] >= DATA_CHARS
-    if many or runs or packed:
+    much = x["solid"] >= at.chars
+    rows = x["data_lines"] >= at.lines and x["data_share"] >= 0.8 and x["data_chars"] >= at.chars
+    runs = x["runs"] >= at.chars and (x["runs"] >= 0.6 * x["solid"] or x["alnum_share"] >= at.alnum)
+    packed = much and x["literals"] >= 100 and x["literal_share"] >= at.literal
+    dense = much and x["numbers"] >= NUMBERS_FROM and x["number_share"] >= at.number
+    if rows or runs or packed or dense:
         out.append("data")
     return out
 
