@@ -34,31 +34,57 @@ def rake(cells, margins, rounds=200, eps=1e-10):
     return [x / total if total > 0 else 0.0 for x in w]
 
 
-def plan(documents, targets, *, margins=(), margin_shares=None, total=None, path=VOCABULARY, per_bucket=50_000):
+#: Target rows, and values of a margin, that a plan takes at most. They are arguments of it, not data that grows with the documents.
+MAX_TARGETS = 100_000
+
+
+def sized(documents, *margins, path=VOCABULARY):
+    """(doc_id, source, margins, n_tokens), written once, so that the tokenizer runs once; what follows reads ids, sizes and cell columns."""
+    return checkpoint(with_counts(documents.select("doc_id", "source", "text", *margins), path=path).drop("text"))
+
+
+def tempered_shares(docs, column, power=0.5):
+    """{value: share} of the tokens of each value raised to a power: 1 keeps the shares of the documents, 0 makes them even. Null is no value."""
+    rows = docs.where(F.col(column).isNotNull()).groupBy(column).agg(F.sum("n_tokens").alias("k")).where("k > 0").limit(MAX_TARGETS + 1).collect()
+    if len(rows) > MAX_TARGETS:
+        raise ValueError(f"{column} has more than {MAX_TARGETS} values")
+    w = {r[column]: float(r["k"]) ** power for r in rows}
+    total = sum(w.values())
+    return {v: x / total for v, x in sorted(w.items(), key=lambda kv: str(kv[0]))}
+
+
+def plan(documents, targets, *, margins=(), margin_shares=None, total=None, path=VOCABULARY, per_bucket=50_000, docs=None):
     """(uses, shares): how often each document is used, and the target and actual share of every collection.
 
-    Cells are collections, crossed with the columns in `margins` whose target shares are given in `margin_shares`
-    ({column: {value: share}}). Their number is that of distinct values, not of documents, so raking runs on the driver. The
-    total is the largest that no cell's cap of repeats forbids, or `total` if smaller. Null, empty and unlisted documents get
-    0 uses. Repeated target rows count once; weights that are null, negative or NaN count as 0, a null cap as 1."""
-    docs = with_counts(documents.select("doc_id", "source", "text", *margins), path=path).drop("text")
-    docs = checkpoint(docs)  # the tokenizer runs once; what follows reads ids, sizes and cell columns
+    Cells are listed collections with a weight, crossed with the columns in `margins`, whose target shares are given in `margin_shares`
+    ({column: {value: share}}). So there are at most as many as the product of the lists given, whatever the documents, and raking runs
+    on the driver. The total is the largest that no cell's cap of repeats forbids, or `total` if smaller. Null, empty and unlisted
+    documents, and those of values without a share, get 0 uses. Repeated target rows count once; weights that are null, negative or NaN
+    count as 0, a null cap as 1. `docs` may give the result of `sized`."""
+    docs = sized(documents, *margins, path=path) if docs is None else docs
+    spark = docs.sparkSession
     keys = ["source", *margins]
-    cells = [r.asDict() for r in docs.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("size")).collect()]
     aims = {}
-    for r in targets.collect():
+    rows = targets.select("source", "weight", "max_repeats").limit(MAX_TARGETS + 1).collect()
+    if len(rows) > MAX_TARGETS:
+        raise ValueError(f"more than {MAX_TARGETS} targets")
+    for r in rows:
         x = r["weight"] if r["weight"] is not None and r["weight"] == r["weight"] and r["weight"] > 0 else 0.0
         aims[r["source"]] = (x, max(0, 1 if r["max_repeats"] is None else r["max_repeats"]))
     sum_w = sum(x for x, _ in aims.values())
-    usable = [c for c in cells if (c["size"] or 0) > 0 and c["source"] in aims and aims[c["source"]][0] > 0 and aims[c["source"]][1] > 0]
+    live = spark.createDataFrame([(s,) for s, (x, cap) in aims.items() if x > 0 and cap > 0], "source string")
+    inside = docs.where("n_tokens > 0").join(F.broadcast(live.withColumnRenamed("source", "_s")), docs["source"].eqNullSafe(F.col("_s")), "left_semi")  # at most MAX_TARGETS rows
+    goal = {m: (margin_shares or {})[m] for m in margins}
+    for m in margins:
+        inside = inside.join(F.broadcast(spark.createDataFrame([(v,) for v, x in goal[m].items() if x > 0], f"`{m}` {dict(docs.dtypes)[m]}")), m, "left_semi")
+    cells = [r.asDict() for r in inside.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("size")).collect()]
     shares = {s: x / sum_w for s, (x, _) in aims.items() if sum_w > 0}
-    goal = {m: (margin_shares or {})[m] for m in margins} | {"source": shares}  # the collections are met last, so exactly
-    for c, share in zip(usable, rake(usable, goal), strict=True):
+    goal = goal | {"source": shares}  # the collections are met last, so exactly
+    for c, share in zip(cells, rake(cells, goal), strict=True):
         c["share"] = share
-    limit = min((c["size"] * aims[c["source"]][1] / c["share"] for c in usable if c["share"] > 0), default=0.0)
+    limit = min((c["size"] * aims[c["source"]][1] / c["share"] for c in cells if c["share"] > 0), default=0.0)
     want = min(limit, total) if total is not None else limit
-    spark = documents.sparkSession
-    rate = [(*(c[k] for k in keys), want * c["share"] / c["size"], int(aims[c["source"]][1]), 1 + c["n"] // per_bucket) for c in usable if c["share"] > 0]
+    rate = [(*(c[k] for k in keys), want * c["share"] / c["size"], int(aims[c["source"]][1]), 1 + c["n"] // per_bucket) for c in cells if c["share"] > 0]
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "rate double", "cap int", "buckets bigint"])
     rates = spark.createDataFrame(rate, schema)
@@ -78,8 +104,7 @@ def plan(documents, targets, *, margins=(), margin_shares=None, total=None, path
     k = F.row_number().over(w)
     extra = F.floor(k * frac + start) - F.floor((k - 1) * frac + start)
     d = d.withColumn("uses", F.least(base + extra, F.col("cap")).cast("int"))
-    d = d.select("doc_id", "source", "n_tokens", "uses").unionByName(rest.select("doc_id", "source", "n_tokens", "uses"))
-    out = d.select("doc_id", "source", F.col("n_tokens"), "uses")
+    out = d.select("doc_id", *keys, "n_tokens", "uses").unionByName(rest.select("doc_id", *keys, "n_tokens", "uses"))
     sums = out.groupBy("source").agg(
         F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"), F.sum(F.col("n_tokens") * F.col("uses")).alias("used_tokens"), F.max("uses").alias("most_uses"))
     listed = spark.createDataFrame([(s, shares.get(s, 0.0), cap) for s, (_, cap) in aims.items()], "source string, target_share double, max_repeats int")
@@ -87,5 +112,23 @@ def plan(documents, targets, *, margins=(), margin_shares=None, total=None, path
         F.coalesce(sums["source"], listed["source"]).alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"), "max_repeats",
         F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
         F.coalesce("used_tokens", F.lit(0)).alias("used_tokens"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"))
-    every = F.sum("used_tokens").over(Window.partitionBy(F.lit(1)))
-    return out, both.withColumn("actual_share", F.when(every > 0, F.col("used_tokens") / every).otherwise(F.lit(0.0)))
+    return out, both.crossJoin(F.broadcast(_all_used(sums))).withColumn("actual_share", F.when(F.col("_all") > 0, F.col("used_tokens") / F.col("_all")).otherwise(F.lit(0.0))).drop("_all")
+
+
+def _all_used(sums):
+    """One row: the tokens used in all."""
+    return sums.agg(F.coalesce(F.sum("used_tokens"), F.lit(0)).alias("_all"))
+
+
+def margin_report(uses, goals):
+    """(margin, value, target_share, actual_share) of the values of every margin, by the uses of a plan."""
+    spark = uses.sparkSession
+    out = None
+    for m, shares in goals.items():
+        kind = dict(uses.dtypes)[m]
+        sums = uses.groupBy(m).agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("used_tokens"))
+        aims = spark.createDataFrame(list(shares.items()), f"`{m}` {kind}, target_share double")
+        one = aims.join(sums, m, "left").crossJoin(F.broadcast(_all_used(sums)))
+        one = one.select(F.lit(m).alias("margin"), F.col(m).cast("string").alias("value"), "target_share", F.when(F.col("_all") > 0, F.coalesce("used_tokens", F.lit(0)) / F.col("_all")).otherwise(F.lit(0.0)).alias("actual_share"))
+        out = one if out is None else out.unionByName(one)
+    return out

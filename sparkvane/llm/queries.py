@@ -1,4 +1,6 @@
 """Queries of the text operators over the test tables, and the SQL of those that SQL can express."""
+from pyspark.sql import functions as F
+
 from ..session import table as _t
 from . import chats, markup, mixing, mojibake, pairs, provenance, secrets, tokens, validity
 
@@ -48,6 +50,11 @@ def p6_found(spark, d):
     return pairs.found(_t(spark, d, "messages"))
 
 
+@query("p6_defects")
+def p6_defects(spark, d):
+    return pairs.judged(_t(spark, d, "messages")).select("message_id", "defect")
+
+
 @query("p7_ids")
 def p7_ids(spark, d):
     return tokens.ids_of(_t(spark, d, "documents"))
@@ -55,7 +62,7 @@ def p7_ids(spark, d):
 
 @query("p8_uses")
 def p8_uses(spark, d):
-    return mixing.plan(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))[0]
+    return mixing.plan(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))[0].select("doc_id", "source", "n_tokens", "uses")
 
 
 @query("p8_shares")
@@ -63,6 +70,30 @@ def p8_shares(spark, d):
     return mixing.plan(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))[1]
 
 
+def _raked(spark, d):
+    """The mix with languages and topics at the square roots of their shares. A language is its first two letters, a topic the word that
+    begins a document's file name; other forms are 'other'."""
+    x = _t(spark, d, "documents")
+    lang = F.regexp_extract(F.lower("lang"), "^([a-z]{2})(?:-|$)", 1)
+    topic = F.regexp_extract("rel", r"([a-z]+)-[0-9]+\.[a-z]+$", 1)
+    x = x.withColumn("language", F.coalesce(F.nullif(lang, F.lit("")), F.lit("other"))).withColumn("topic", F.coalesce(F.nullif(topic, F.lit("")), F.lit("other")))
+    docs = mixing.sized(x, "language", "topic")
+    goals = {m: mixing.tempered_shares(docs, m) for m in ("language", "topic")}
+    uses, shares = mixing.plan(x, _t(spark, d, "mix_targets"), margins=("language", "topic"), margin_shares=goals, docs=docs)
+    return uses, shares, goals
+
+
+@query("p8_raked")
+def p8_raked(spark, d):
+    return _raked(spark, d)[0]
+
+
+@query("p8_raked_shares")
+def p8_raked_shares(spark, d):
+    uses, shares, goals = _raked(spark, d)
+    return mixing.margin_report(uses, goals).unionByName(shares.select(F.lit("source").alias("margin"), F.col("source").alias("value"), "target_share", "actual_share"))
+
+
 @query("p1_found")
 def p1_found(spark, d):
     return secrets.found(_t(spark, d, "files"), _t(spark, d, "sources"))
