@@ -29,3 +29,9 @@ def test_contract(spark, sf):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert os.path.isdir(sf) and e.entry(spark).count() == 1
+
+
+@pytest.mark.parametrize("name", sorted(SLOW))
+def test_models_run(spark, sf, name):
+    rows = registry.QUERIES[name](spark, sf).collect()
+    assert rows and all(v is None or v == v for r in rows for v in r)
