@@ -47,13 +47,13 @@ def role_of(col):
     return F.when(r.isin(*USER), "user").when(r.isin(*ASSISTANT), "assistant").when(r.isin("system", "tool"), "other")
 
 
-#: Characters without a visible form: white space of all scripts, controls, format characters, joiners, fillers and variation selectors.
-BLANK = r"[\s\p{Z}\p{C}\x{115F}\x{1160}\x{3164}\x{FFA0}\x{2800}\x{FE00}-\x{FE0F}\x{034F}]"
+#: A character that is none of those without a visible form: white space of all scripts, controls, format characters, joiners, fillers and variation selectors.
+VISIBLE = r"[^\s\p{Z}\p{C}\x{115F}\x{1160}\x{3164}\x{FFA0}\x{2800}\x{FE00}-\x{FE0F}\x{034F}]"
 
 
 def visible(col):
     """True where the text has a visible character; false for null."""
-    return F.coalesce(F.length(F.regexp_replace(col, BLANK, "")) > 0, F.lit(False))
+    return F.coalesce(col.rlike(VISIBLE), F.lit(False))
 
 
 def number(col):

@@ -139,3 +139,37 @@ def test_found_pairs(spark):
         (6, "a", "assistant", "late", None, None, 5.0), (7, "b", "user", Q, None, None, 1.0), (8, "b", "model", "The value is computed in one", None, '{"finish": "length"}', 2.0), (9, "b", "assistant", None, None, None, None),
         (10, None, "assistant", "", None, None, 1.0), (8, "b", "model", "The value is computed in one", None, '{"finish": "length"}', 2.0)], M)
     assert {tuple(r) for r in pairs.found(m).collect()} == {(5, "empty"), (8, "truncated")}
+
+
+def test_every_triggered_defect():
+    assert pairs.defects("Where is audit_pct computed and (if so) why, by which", "Where is audit_pct computed and (if so) why, by which") == ["copy", "truncated"]
+    assert pairs.defects(Q, "Es tut mir leid, das kann ich Ihnen") == ["refusal", "truncated", "language"]
+
+
+@pytest.mark.parametrize("n", [1, 10, 11, 12, 13, 60, 500])
+def test_length_is_no_limit_of_emptiness(n):
+    for t in ("&nbsp;" * n, "<br/>\n" * n, "<p></p>" * n, "​" * n, "- " * n):
+        assert pairs.defects(Q, t) == ["empty"], t
+
+
+@pytest.mark.parametrize("n", [0, 20, 30, 60, 2000])
+def test_distance_is_no_limit_of_refusals(n):
+    w = "wirklich " * n
+    assert pairs.is_refusal(f"Ich kann {w}diese Frage nicht beantworten.") and pairs.is_refusal(f"Je {w}dois refuser.") and pairs.is_refusal(f"К сожалению, {w}не могу.")
+
+
+@pytest.mark.parametrize(("answer", "want"), [
+    ("Υπολογίζεται κάθε νύχτα από το πρόγραμμα.", "language"), ("この値は毎晩計算されます。", "language"), ("Il valore è calcolato ogni notte dal programma, non di giorno.", "language"), ("De waarde wordt elke nacht door het programma berekend.", "language"), ("该值每晚由程序计算。", "language"),
+    ("يتم حسابه كل ليلة بواسطة البرنامج.", "language"), ("申し訳ありませんが、お答えできません。", "refusal"), ("Mi dispiace, ma non posso rispondere.", "refusal"), ("抱歉，我无法回答。", "refusal")])
+def test_scripts_and_languages(answer, want):
+    assert want in pairs.defects(Q, answer)
+    assert "language" not in pairs.defects("Please answer in Greek, Japanese, Italian, Dutch, Chinese or Arabic: where is audit_pct computed?", answer)
+
+
+def test_long_answers_are_judged_in_time():
+    import time
+
+    began = time.time()
+    for t in ("ich " * 200_000, "je ne sais " * 100_000, "не " * 200_000, "i will " * 100_000, "a" * 1_000_000, "&nbsp;" * 100_000, "“" * 200_000, "[" * 100_000):
+        pairs.defects(Q, t)
+    assert time.time() - began < 20
