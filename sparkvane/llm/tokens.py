@@ -3,6 +3,7 @@ import base64
 import functools
 
 import pandas as pd
+import regex
 from pyspark.sql import functions as F
 
 from .common import spread
@@ -24,20 +25,20 @@ def encoder(path=VOCABULARY):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def pieces(text, size=CHUNK):
-    """Cuts of a long text whose encodings, put together, are the encoding of the whole.
+#: Places at which the split pattern always begins a new piece: after a letter or digit, before one of the other kind, a sign, or a single
+#: blank and another letter or digit. No piece holds a letter or digit and anything after it, and the pattern looks ahead over blanks only.
+_SAFE = regex.compile(r"(?<=\p{L})(?=\p{N}|[^\s\p{L}\p{N}])|(?<=\p{N})(?=\p{L}|[^\s\p{L}\p{N}])|(?<=[\p{L}\p{N}])(?= [\p{L}\p{N}])")
+
 
-    A safe place lies before a single blank that follows a letter or digit and precedes one: the split pattern always starts
-    a new piece there. A run without such a place stays whole."""
+def pieces(text, size=CHUNK):
+    """Cuts of a long text whose encodings, put together, are the encoding of the whole. A run without a safe place stays whole."""
     at, n = 0, len(text)
     while n - at > size:
-        cut = at + size
-        while cut < n - 1 and not (text[cut] == " " and text[cut - 1].isalnum() and text[cut + 1].isalnum()):
-            cut += 1
-        if cut >= n - 1:
+        m = _SAFE.search(text, at + size)
+        if not m or m.start() >= n - 1:
             break
-        yield text[at:cut]
-        at = cut
+        yield text[at : m.start()]
+        at = m.start()
     yield text[at:]
 
 
