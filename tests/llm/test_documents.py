@@ -118,3 +118,55 @@ def test_agrees_with_sql(spark, sf, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
 def test_runs(spark, sf, name):
     queries.QUERIES[name](spark, sf).collect()
+
+
+def test_margins_are_chosen_on_held_out_records():
+    good = [(True, False, 0.4, 3.0, False)] * 99 + [(False, False, 3.0, 40.0, True)] * 99
+    assert mojibake.choose(good)[:2] == (mojibake.MARGIN, mojibake.TOTAL) == mojibake.choose([])[:2]
+    m, t, r = mojibake.choose([(True, False, 1.8, 9.0, False)] * 50 + [(False, False, 2.2, 11.0, True)] * 50)
+    assert r["changed"] == 0 and r["found"] == 1 and (m > 1.8 or t > 9.0)
+    m, t, r = mojibake.choose([(True, False, 0.3, 1.0, False)] * 50 + [(False, False, 0.9, 5.0, True)] * 50)
+    assert m <= 0.9 and t <= 5.0 and r["found"] == 1 and r["changed"] == 0
+
+
+def test_trials_of_a_record(model):
+    rows = [r for h in range(20) for r in mojibake.trials(h, CLEAN[0], model, {})]
+    assert {r[:2] for r in rows} == {(True, False), (False, True), (False, False)}
+    assert all(r[4] for r in rows if r[1]) and all(r[3] < mojibake.TOTAL for r in rows if r[0])
+    assert mojibake.trials(0, "plain", model, {}) == [] == mojibake.trials(0, None, model, {})
+    assert mojibake.garble("é", "utf-8", "cp1252") == "Ã©" and mojibake.garble("я", "cp1252", "latin-1") is None and mojibake.garble("a", "utf-8", "cp1252") is None
+
+
+def test_validated_restoration(spark):
+    d = spark.createDataFrame([(k, f"{CLEAN[k % len(CLEAN)]} Nr. {k}") for k in range(160)] + [(900, CLEAN[0].encode().decode("cp1252", "replace"))], "doc_id bigint, text string")
+    texts = mojibake.sample(d, rows=120)
+    assert texts.count() in (119, 120)  # the garbled one is left out where its hash is among them
+    m, t, r = mojibake.validate(texts, mojibake.train(d), 20)
+    assert r["clean"] > 0 and r["changed"] == 0 and r["utf8 restored"] > 0.9
+    assert [x[0] for x in mojibake.restored(d, rows=120, held_out=20).select("doc_id").collect()] == [900]
+
+
+def test_three_margins_are_raked(spark):
+    rows = [(k, ("a", "b")[k % 2], "word " * (5 + k % 7), ("en", "de", "fr")[k % 3], ("x", "y", None)[k % 5 % 3]) for k in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id bigint, source string, text string, language string, topic string")
+    docs = mixing.sized(d, "language", "topic")
+    goals = {"language": mixing.tempered_shares(docs, "language", 0.0), "topic": {"x": 0.6, "y": 0.4}}
+    assert goals["language"] == pytest.approx({"de": 1 / 3, "en": 1 / 3, "fr": 1 / 3})
+    t = spark.createDataFrame([("a", 0.7, 3), ("b", 0.3, 3), ("gone", 1.0, 1)], "source string, weight double, max_repeats int")
+    uses, shares = mixing.plan(d, t, margins=("language", "topic"), margin_shares=goals, docs=docs)
+    assert uses.count() == 3000 and uses.where("topic is null").agg({"uses": "max"}).first()[0] == 0 and uses.agg({"uses": "max"}).first()[0] <= 3
+    for r in mixing.margin_report(uses, goals).collect():
+        assert abs(r["target_share"] - r["actual_share"]) < 0.01, r
+    got = {r["source"]: r["actual_share"] for r in shares.collect()}
+    assert abs(got["a"] - 0.7) < 0.01 and abs(got["b"] - 0.3) < 0.01 and got["gone"] == 0
+
+
+def test_cuts_of_texts_without_blanks():
+    rng = random.Random(7)
+    enc = tokens.encoder()
+    for alphabet in ("漢字，。かな", "0123456789abcdef", "it's we'll 12 don't  \n", "Ünï'code 'S 'll", "a1 b2\t\t c-d--e", "абв гд, 12"):
+        for _ in range(40):
+            t = "".join(rng.choice(alphabet) for _ in range(400))
+            p = list(tokens.pieces(t, 20))
+            assert "".join(p) == t and [i for x in p for i in enc.encode_ordinary(x)] == enc.encode_ordinary(t), t
+    assert max(map(len, tokens.pieces("漢字，かな。" * 1000, 50))) < 60
