@@ -5,6 +5,8 @@ A corpus is a DataFrame (source, rel, text). Rows repeated whole should be dropp
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint, spread
+
 # Window and stride in lines, BM25 parameters, boosts, caps of the reports.
 WINDOW, STRIDE = 40, 30
 K1, B = 1.4, 0.75
@@ -37,6 +39,22 @@ def tokens(text):
     return F.filter(every, lambda x: (F.length(x) > 1) & ~F.array_contains(stop, x))
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A stop word or a single character as a whole word, in lower case; and a word that has one part only.
+_STOPPED = r"(?<![a-z0-9_])(?:[a-z0-9_]|" + "|".join(STOP) + r")(?![a-z0-9_])"
+_ONE_PART = r"(?<![A-Za-z0-9_])_*+(?:[A-Z]?[a-z]++|[A-Z]++|\d++)_*+(?![A-Za-z0-9_])"
+
+
+def terms(text):
+    """The terms of `tokens` in another order: all whole words, then the parts of the words that have several.
+
+    Each step is one pass of a pattern over the text, where `tokens` works on word by word; only parts are filtered one by one."""
+    stop = F.array(*(F.lit(w) for w in STOP))
+    whole = F.regexp_extract_all(F.regexp_replace(F.translate(text, _UPPER, _LOWER), _STOPPED, " "), F.lit("([a-z0-9_]+)"), F.lit(1))
+    parts = F.regexp_extract_all(F.regexp_replace(text, _ONE_PART, " "), F.lit(f"({_PART})"), F.lit(1))
+    return F.concat(whole, F.filter(F.transform(parts, F.lower), lambda x: (F.length(x) > 1) & ~F.array_contains(stop, x)))
+
+
 def split_lines(text):
     """Lines of a text column as Python's splitlines gives them: all line breaks count, and a final one opens no empty line."""
     brk = r"\r\n|[\n\r\x0B\f\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
@@ -66,7 +84,7 @@ def postings(corpus):
 
 def document_frequency(corpus):
     """(source, token, df, n, idf) over the windows of each source. Each window also counts under a null token, which gives n in the same pass."""
-    ts = F.array_append(F.array_distinct(tokens(F.col("body"))), F.lit(None).cast("string"))
+    ts = F.array_append(F.array_distinct(terms(F.col("body"))), F.lit(None).cast("string"))
     d = windows(corpus).select("source", F.explode(ts).alias("token")).groupBy("source", "token").agg(F.count("*").alias("df"))
     n = d.where("token is null").select("source", F.col("df").alias("n"))
     return d.where("token is not null").join(n, "source").withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
@@ -84,12 +102,15 @@ def _boost(q):
     return path + DEFINITION_BOOST * definition_score(names, q)
 
 
-def _scored(corpus, q):
-    """(source, rel, start, end, hits, bm25, boost) of every window. What depends on a text is computed where it is scanned: only lengths,
-    term counts and boosts move. Files repeated as rows count once; they meet on (source, rel, start), and their texts stay where they are."""
-    w = windows(corpus).withColumn("boost", _boost(q)).select("source", "rel", "start", "end", "boost", tokens(F.col("body")).alias("ts"))
-    tf = [F.size(F.filter("ts", F.lit(t).__eq__)).alias(f"tf{k}") for k, t in enumerate(q)]
+def _scored(corpus, q, boosted):
+    """(source, rel, start, end, hits, bm25, boost) of every window that scores. What depends on a text is computed where it is scanned: only
+    lengths, term counts and boosts move. Files repeated as rows count once; they meet on (source, rel, start), and their texts stay where
+    they are. The slim rows are written, as both the sums of a source and the scores read them."""
+    boost = _boost(q) if boosted else F.lit(0.0)
+    w = windows(spread(corpus, "source", "rel")).select("source", "rel", "start", "end", boost.alias("boost"), terms(F.col("body")).alias("ts"))
+    tf = [(F.size("ts") - F.size(F.array_remove("ts", t))).alias(f"tf{k}") for k, t in enumerate(q)]
     w = w.select("source", "rel", "start", "end", "boost", F.greatest(F.size("ts"), F.lit(1)).alias("dl"), *tf).dropDuplicates(["source", "rel", "start"])
+    w = checkpoint(w)
     stats = w.groupBy("source").agg(F.count("*").alias("n"), F.avg("dl").alias("avg"), *(F.count(F.when(F.col(f"tf{k}") > 0, 1)).alias(f"df{k}") for k in range(len(q))))
     score = F.lit(0.0)
     for k in range(len(q)):
@@ -104,7 +125,7 @@ def _scored(corpus, q):
 def bm25(corpus, query):
     """(source, rel, start, end, score) of windows that hold a query term."""
     q = query_tokens(corpus.sparkSession, query)
-    return _scored(corpus, q).where("hits > 0").select("source", "rel", "start", "end", F.col("bm25").alias("score"))
+    return _scored(corpus, q, False).where("hits > 0").select("source", "rel", "start", "end", F.col("bm25").alias("score"))
 
 
 def definition_score(names, terms):
@@ -131,7 +152,7 @@ def search(corpus, query, top=TOP):
     q = query_tokens(spark, query)
     if not q:
         return spark.createDataFrame([], "source string, rel string, start int, end int, score double")
-    s = _scored(corpus, q).select("source", "rel", "start", "end", (F.col("bm25") + F.col("boost")).alias("score")).where("score > 0")
+    s = _scored(corpus, q, True).select("source", "rel", "start", "end", (F.col("bm25") + F.col("boost")).alias("score")).where("score > 0")
     order = [F.desc("score"), F.desc(F.lower("rel")), F.desc("rel"), F.desc("start")]
     # per source the best 2·top are found in two rounds, so that a large source is not ranked in one task
     s = s.withColumn("_b", F.pmod(F.xxhash64("rel", "start"), F.lit(64)))

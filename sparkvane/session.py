@@ -28,6 +28,13 @@ def workers(spark):
         env["PYTHONPATH"] = f"{root}:{have}" if have else root
 
 
+def spread(df, *keys):
+    """Hash-spread rows by `keys` where a scan has fewer partitions than the cluster has cores, as costly expressions over few large splits
+    would leave cores idle; with enough splits nothing is shuffled."""
+    want = max(df.sparkSession.sparkContext.defaultParallelism, 1)
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want, *keys)
+
+
 def table(spark, sf_dir, name):
     """The parquet table `name` of a data folder."""
     workers(spark)
