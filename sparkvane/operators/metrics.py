@@ -289,9 +289,23 @@ def calinski_harabasz(df, vector, label):
         F.try_divide(F.col("between") / F.try_subtract("k", F.lit(1)), F.try_divide(F.col("within"), F.col("n") - F.col("k"))).alias("calinski_harabasz"), F.col("within").alias("label_wcss"))
 
 
+def centroid_silhouette(df, vector, label):
+    """Mean silhouette with distances to cluster centres in place of mean distances to their rows: linear in rows times labels, where the
+    exact form is quadratic in rows. Centres travel in one array, so rows are not multiplied; labels are few by the nature of clusters."""
+    c = centroids(df, vector, label)
+    every = c.agg(F.collect_list(F.struct("label", "centre")).alias("centres"))  # one row
+    x = df.select(F.col(label).cast("string").alias("label"), F.transform(vector, lambda v: v.cast("double")).alias("v")).crossJoin(F.broadcast(every))
+    far = F.transform("centres", lambda k: F.struct(k["label"].alias("label"), F.sqrt(_sq(F.col("v"), k["centre"])).alias("d")))
+    x = x.select("label", far.alias("far"))
+    a = F.filter("far", lambda k: k["label"] == F.col("label"))[0]["d"]
+    b = F.array_min(F.transform(F.filter("far", lambda k: k["label"] != F.col("label")), lambda k: k["d"]))
+    return x.select(a.alias("a"), b.alias("b")).agg(F.avg(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("silhouette"))
+
+
 def silhouette(df, vector, label, block=2048):
     """Mean Euclidean silhouette over labels. Exact, so quadratic: rows are cut into blocks by hash, and every pair of blocks is one task
-    that returns sums of distances per row and label; nothing but a block pair is ever in one place. Singletons count 0."""
+    that returns sums of distances per row and label; nothing but a block pair is ever in one place. Singletons count 0. For tables that are too
+    large for this there is `centroid_silhouette`."""
     import pandas as pd
 
     x = df.select(F.monotonically_increasing_id().alias("i"), F.col(label).cast("string").alias("label"), F.transform(vector, lambda v: v.cast("double")).alias("v"))

@@ -237,3 +237,10 @@ def calinski_harabasz(s, d):
 r AS (SELECT i, max(m) FILTER (WHERE la = lb) AS a, min(m) FILTER (WHERE la <> lb) AS b FROM d GROUP BY i) SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM r""")
 def silhouette(s, d):
     return metrics.silhouette(t(s, d, "embeddings"), "embedding", "label").select(F.round("silhouette", 6).alias("silhouette"))
+
+
+@query("silhouette_centroid", """WITH e AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), m AS (SELECT label, i, avg(v) AS c FROM e GROUP BY 1, 2),
+d AS (SELECT e.vec_id, e.label AS la, m.label AS lb, sqrt(sum((e.v - m.c) * (e.v - m.c))) AS d FROM e JOIN m USING (i) GROUP BY 1, 2, 3), r AS (SELECT vec_id, max(d) FILTER (WHERE la = lb) AS a, min(d) FILTER (WHERE la <> lb) AS b FROM d GROUP BY vec_id)
+SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM r""")
+def silhouette_centroid(s, d):
+    return metrics.centroid_silhouette(t(s, d, "embeddings"), "embedding", "label").select(F.round("silhouette", 6).alias("silhouette"))

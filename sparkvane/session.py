@@ -50,6 +50,8 @@ def shared_folder(spark):
         if not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+    if where.startswith("file:/") and "://" not in where:
+        where = "file://" + where.removeprefix("file:")
     return where.rstrip("/")
 
 
