@@ -150,14 +150,19 @@ def _numbered(batches):
         yield b.assign(slice=part, pos=pos)
 
 
+#: Parts into which the rows of a chat are spread where they meet its state.
+SALTS = 32
+
+
 def conversations(messages, chats):
     """Ordered turns of the intact chats: chat_id, turn_no (from 1), role, content, created, id.
 
-    Positions are counted within slices; the length of the earlier slices of a chat is added by a join on (chat, slice)."""
-    keep = chat_states(messages, chats).where("kept").select("chat_id")
+    Rows meet the list of intact chats on (chat, salt), so that a large chat is spread. Positions are counted within slices; the length
+    of the earlier slices of a chat is added by a join on (chat, slice)."""
+    keep = chat_states(messages, chats).where("kept").select("chat_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s"))
     m = messages.where(F.col("chat_id").isNotNull() & visible(F.col("content")))
     m = distinct_rows(m).withColumn("role", role_of(F.col("role"))).where("role in ('user', 'assistant')")
-    t = m.join(keep, "chat_id", "left_semi").select("chat_id", "created", "id", "role", "content")
+    t = m.withColumn("_s", F.pmod(F.xxhash64("id", "created"), F.lit(SALTS)).cast("int")).join(keep, ["chat_id", "_s"], "left_semi").select("chat_id", "created", "id", "role", "content")
     t = t.withColumn("id", F.coalesce("id", F.lit(-1)))
     t = t.repartitionByRange("chat_id", "created", "id").sortWithinPartitions("chat_id", "created", "id")
     t = checkpoint(t.mapInPandas(_numbered, "chat_id string, created double, id bigint, role string, content string, slice int, pos bigint"))
