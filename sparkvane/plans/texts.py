@@ -160,11 +160,12 @@ def cmp_file_to_corpus(s, d):
     return compare.file_to_corpus(one["text"], c, own=(one["source"], one["rel"])).select("source", "rel", *(F.round(x, 9).alias(x) for x in ("vocabulary", "coverage", "lines", "score")))
 
 
-@query("cmp_text_diff")
+@query("cmp_text_diff", rf"""WITH {_FILES}, {_LINES} SELECT concat_ws('/', source, rel) AS rel, round(2.0 * len(ls) / (2 * len(ls) + 1), 9)::DOUBLE AS ratio, 'insert' AS tag, 1::INT AS a1, 0::INT AS a2, 1::INT AS b1, 1::INT AS b2, ['+ added line'] AS lines
+FROM f JOIN l USING (source, rel) WHERE length(text) % 10 = 5""")
 def cmp_text_diff(s, d):
     a, b = edited(s, d)
     p = a.withColumnRenamed("text", "text_a").join(b.withColumnRenamed("text", "text_b"), "rel").where("text_a <> text_b")
-    return compare.text_diff(p, ["rel"])
+    return compare.text_diff(p, ["rel"]).withColumn("ratio", F.round("ratio", 9))
 
 
 # ---- retrieval ------------------------------------------------------------------------------------------------------------------
