@@ -52,6 +52,8 @@ def following(df, key, columns, ascending=False, splits=None):
     return j.select(*df.columns, *(F.col(f"_n.{c}").alias(f"next_{c}") for c in columns))
 
 
+#: Cuts up to which their search is compiled into the scan.
+COMPILED_CUTS = 500
 #: Relative error in rank of the approximate quantiles that a bracket is built around, and the cuts within a bracket.
 RANK_ERROR, CUTS = 1 / 5000, 4
 
@@ -95,7 +97,7 @@ def quantiles(df, columns, probs):
 
 def _within(x, brackets, probs):
     """{(column number, prob number): value} of the quantiles whose ranks lie in their brackets, lists of (value, closed) cuts by column."""
-    cells, wanted = [], []
+    cells, wanted, every = [], [], {}
     for k, by_prob in brackets.items():
         cuts = sorted({c for b in by_prob for c in b}, key=lambda c: (c[0], not c[1]))
         at = {c: i for i, c in enumerate(cuts)}
@@ -104,12 +106,21 @@ def _within(x, brackets, probs):
             lo, hi = (at[b[0]] + 1, at[b[-1]]) if b else (0, 0)
             inside |= set(range(lo, hi + 1))
             wanted.append((k, j, probs[j], lo, hi))
-        v = F.col(f"c{k}")
-        s = _segment(v, cuts, 0, len(cuts))
-        runs = sorted(inside)
-        keep = F.lit(True) if len(runs) == len(cuts) + 1 else s.isin(runs)
-        cells.append(F.when(v.isNotNull(), F.struct(F.lit(k).alias("k"), s.alias("s"), F.when(keep, v).alias("v"))))
-    g = x.select(F.explode(F.array(*cells)).alias("x")).where("x is not null").select("x.*").groupBy("k", "s", "v").agg(F.count("*").alias("n"))
+        every[k] = (cuts, sorted(inside))
+    if sum(len(c) for c, _ in every.values()) <= COMPILED_CUTS:
+        for k, (cuts, runs) in every.items():
+            v = F.col(f"c{k}")
+            s = _segment(v, cuts, 0, len(cuts))
+            keep = F.lit(True) if len(runs) == len(cuts) + 1 else s.isin(runs)
+            cells.append(F.when(v.isNotNull(), F.struct(F.lit(k).alias("k"), s.alias("s"), F.when(keep, v).alias("v"))))
+        long = x.select(F.explode(F.array(*cells)).alias("x")).where("x is not null").select("x.*")
+    else:  # the cuts of a wide table come as a small table, as code for all of them would be too long to compile
+        table = x.sparkSession.createDataFrame([(k, c, r) for k, (c, r) in every.items()], "k int, cuts array<struct<at:double,closed:boolean>>, runs array<int>")
+        long = x.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"c{k}").alias("v")) for k in every))).alias("x")).select("x.*").where("v is not null")
+        long = long.join(F.broadcast(table), "k")  # one row for a column
+        s = F.size(F.filter("cuts", lambda c: (F.col("v") > c["at"]) | (c["closed"] & (F.col("v") == c["at"]))))
+        long = long.select("k", s.alias("s"), "v", "runs").select("k", "s", F.when(F.array_contains("runs", F.col("s")), F.col("v")).alias("v"))
+    g = long.groupBy("k", "s", "v").agg(F.count("*").alias("n"))
     sums = g.groupBy("k", "s").agg(F.sum("n").alias("m"))  # a few rows for a column and probability
     w = Window.partitionBy("k")
     sums = sums.select("k", "s", (F.sum("m").over(w.orderBy("s")) - F.col("m")).alias("before"), F.sum("m").over(w).alias("t"))
