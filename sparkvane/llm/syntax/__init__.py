@@ -1 +1 @@
-"""Parsers of bundled grammars: a chart parser over token streams, its grammars, and readers of line-structured formats."""
+"""Parsers of bundled grammars: a chart parser over token streams, its grammars, and scanners."""

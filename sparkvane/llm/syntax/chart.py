@@ -7,6 +7,7 @@ keeps its own stack, so nesting is bounded by memory alone, and each rule's resu
 linear in the tokens however alternatives overlap. The furthest position at which a token did not fit is the place of the first
 unrecoverable error."""
 import re
+from functools import partial
 from typing import NamedTuple
 
 
@@ -17,6 +18,10 @@ class Token(NamedTuple):
     fresh: bool  # first on its line
 
 
+#: A token of (kind, text, line, fresh), made without the checks of a call.
+token = partial(tuple.__new__, Token)
+
+
 class SyntaxIssue(ValueError):
     """The text is not valid: message and line (from 1)."""
 
@@ -206,14 +211,15 @@ class Grammar:
 
     def classify(self, tokens):
         """The class of each token: its kind, and its text where the grammar names it."""
-        out, words, classes = [], self.words, self.classes
-        for t in tokens:
-            key = t.text.lower() if self.fold else t.text
-            key = (t.kind, key if key in words else None)
+        out, words, classes, fold = [], self.words, self.classes, self.fold
+        for kind, text, _, _ in tokens:
+            if fold:
+                text = text.lower()
+            key = (kind, text) if text in words else kind
             c = classes.get(key)
             if c is None:
                 c = classes[key] = len(classes)
-                self.samples.append(Token(t.kind, key[1] or "\0", 0, False))
+                self.samples.append(Token(kind, text if text in words else "\0", 0, False))
             out.append(c)
         return out
 

@@ -1,7 +1,7 @@
 """Grammar of JavaScript modules."""
 import re
 
-from .chart import Grammar, SyntaxIssue, Token
+from .chart import Grammar, SyntaxIssue, Token, token
 
 _RESERVED = frozenset(
     "break case catch class const continue debugger default delete do else enum export extends false finally for function if import in instanceof new null return super switch this throw true try "
@@ -28,7 +28,7 @@ def tokens(text):
 
     def add(kind, s):
         nonlocal fresh
-        out.append(Token(kind, s, line, fresh))
+        out.append(token((kind, s, line, fresh)))
         fresh = False
 
     def template(i, head):
@@ -62,7 +62,7 @@ def tokens(text):
         m = _COMMON.match(text, i)
         if m:
             s = m[0]
-            out.append(Token(m.lastgroup, s, line, fresh))
+            out.append(token((m.lastgroup, s, line, fresh)))
             fresh = False
             if m.lastgroup == "STRING" and "\n" in s:
                 line += s.count("\n")

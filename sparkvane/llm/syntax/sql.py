@@ -1,7 +1,7 @@
 """Grammar of SQL statements, wide enough for the common dialects."""
 import re
 
-from .chart import Grammar, SyntaxIssue, Token
+from .chart import Grammar, SyntaxIssue, Token, token
 
 _TOKEN = re.compile(
     r"""(?sx)(?P<ws>[\s﻿]+|--[^\n]*|\#(?!>)[^\n]*(?=\n|$)|/\*.*?\*/)|(?P<STRING>(?:[NnEeBbXxRr]|[Uu]&)?'(?:[^'\\]|''|\\.)*')|(?P<dollar>\$(?P<tag>\w*)\$.*?\$(?P=tag)\$)
@@ -50,7 +50,7 @@ def tokens(text):
                 raise SyntaxIssue(f"bad number {s!r}", line)
         elif kind in ("dollar", "tag"):
             kind = "STRING"
-        out.append(Token(kind, s, line, False))
+        out.append(token((kind, s, line, False)))
         if kind in ("STRING", "QUOTED", "PARAM"):
             line += s.count("\n")
     out.append(Token("END", "", line, False))

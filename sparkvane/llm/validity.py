@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import of_kind, per_text
 from .secrets import repo_rows
-from .syntax import chart, data, javascript, lines, shell, sql
+from .syntax import chart, data, javascript, shell, sql, yaml
 
 LANGUAGES = {
     ".py": "python", ".js": "javascript", ".json": "json", ".yaml": "yaml", ".yml": "yaml", ".toml": "toml", ".ini": "ini", ".cfg": "ini", ".xml": "xml", ".sql": "sql", ".sh": "shell"}
@@ -67,7 +67,7 @@ def _xml(text):
 
 
 PARSERS = {
-    "python": _python, "javascript": javascript.check, "json": data.json_text, "yaml": lines.yaml, "toml": _toml, "ini": data.ini, "xml": _xml, "sql": sql.check, "shell": shell.check}
+    "python": _python, "javascript": javascript.check, "json": data.json_text, "yaml": yaml.yaml, "toml": _toml, "ini": data.ini, "xml": _xml, "sql": sql.check, "shell": shell.check}
 
 
 def language(rel):

@@ -349,3 +349,27 @@ def test_very_long_lines_of_ticks_and_words():
     for t in ("use " * 100_000 + "`a` with `b`", "`a` " * 100_000, "user `a` with " * 50_000, "key=" * 100_000, "(" * 100_000 + "token =", "a" * 200_000 + "_token:\n'x'"):
         secrets.spans(t, "a.md")
     assert time.time() - began < 20
+
+
+@pytest.mark.parametrize("text", [
+    "", "# c\n", "a: 1\nb: 2\n", "a:\n- x\n- y\nb: 1\n", "a:\n  - x\n  -  y: 1\n     z: 2\n", "a: [1, 2, {b: c}]\n", "a: |\n  text: x\n   more\nb: >-\n  folded\n", "a: \"x\\n y\"\nb: 'it''s'\n", "---\na: 1\n---\nb: 2\n...\n", "%YAML 1.1\n---\na: 1\n", "? a\n: b\n",
+    "a: &b\n  c: 1\nd: *b\n", "- - a\n  - b\n- c\n", "a: !!str 1\nb: !t {x: 1}\n", "a: [\n  1,\n  2\n]\n", "key with spaces: v\n", "[a, b]: c\n", "a: 'multi\n  line'\n", "a: |2\n   x\n", "a: {b, c: d, }\n", "a: [b: c]\n", "a: #c\n  1\n", "a: 1\n  - b\n", "a: x#y\n", "a: http://x.y/z\n"])
+def test_valid_yaml(text):
+    assert validity.first_error(text, "yaml") is None
+
+
+@pytest.mark.parametrize(("text", "line"), [
+    ("a: b: c\n", 1), ("a: 1\n b: 2\n", 2), ("a:\n\t- b\n", 2), ("- a\nb: 1\n", 2), ("a: [1, 2\n", 2), ("a: 'x\n", 1), ("a: ]\n", 1), ("a: @x\n", 1), ("a: *\n", 1), ("a: 1\n- b\n", 2), ("a: |x\n  y\n", 1), ("  a: 1\nb: 2\n", 2), ("a: [1 2]]\n", 1), ("a: {a: b c: d}\n", 1),
+    ("a: \"\\q\"\n", 1), ("a\nb: 1\n", 1), ("a: 'x' y\n", 1), ("<<<<<<< HEAD\na: 1\n=======\na: 2\n", 1), ("key: value\n  other: v\n", 2), ("a: [1,,2]\n", 1), ("a:\n  b: 1\n c: 2\n", 3), ("x: y\nz\n", 2), ("a: [b]c\n", 1), ("a: \"x\" \"y\"\n", 1)])
+def test_invalid_yaml(text, line):
+    e = validity.first_error(text, "yaml")
+    assert e is not None and e[0] in (line, line + 1)
+
+
+def test_long_yaml_is_scanned_in_time():
+    import time
+
+    began = time.time()
+    for t in ("[" * 50_000 + "]" * 50_000, 'a: "' + "x\n  " * 100_000 + '"', "a: " + "x\n  " * 100_000, "a: [\n" + "\t\n" * 50_000 + "]", "x" * 1_000_000, "a: |\n" + "  x\n" * 100_000):
+        assert validity.first_error(t, "yaml") is None
+    assert time.time() - began < 20
