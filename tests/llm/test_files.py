@@ -373,3 +373,21 @@ def test_long_yaml_is_scanned_in_time():
     for t in ("[" * 50_000 + "]" * 50_000, 'a: "' + "x\n  " * 100_000 + '"', "a: " + "x\n  " * 100_000, "a: [\n" + "\t\n" * 50_000 + "]", "x" * 1_000_000, "a: |\n" + "  x\n" * 100_000):
         assert validity.first_error(t, "yaml") is None
     assert time.time() - began < 20
+
+
+@pytest.mark.parametrize(("lang", "text", "ok"), [
+    ("toml", "a = 1\n[b]\nc.d = 'x'\n\"e f\" = [1, 2, # c\n 3,]\ng = {h = 1, i = {j = true}}\n[[k]]\n", True), ("toml", "1979-05 = 2024-01-02T03:04:05Z\nx = -1_000.5e-3\ny = \"\"\"a\n\\\"b\"\"\"\nz = '''\n'''\n", True), ("toml", "a = \n", False), ("toml", "a = 1 b = 2\n", False),
+    ("toml", "[a\nb = 1\n", False), ("toml", "a = [1, 2\n", False), ("toml", "a = 01\n", False), ("toml", "a = \"x\n", False), ("toml", "a = 1\na = 2\n", False), ("toml", "a b = 1\n", False), ("toml", "= 1\n", False), ("toml", "", True), ("toml", "a = {b = 1,\n c = 2}\n", False), ("toml", "<<<<<<< HEAD\n", False),
+    ("xml", "<?xml version=\"1.0\"?>\n<!-- c -->\n<a x='1' y=\"&lt;\"><b/>t &amp; &#65;<![CDATA[<]]></a>\n", True), ("xml", "<!DOCTYPE a [<!ENTITY e \"v\">]>\n<a>&e;</a>", True), ("xml", "<a><b></a></b>", False), ("xml", "<a>", False), ("xml", "<a/><b/>", False), ("xml", "<a x=1/>", False),
+    ("xml", "<a>&</a>", False), ("xml", "text", False), ("xml", "", False), ("xml", "<a>]]></a>", False), ("xml", "<a x='1' x='2'/>", False), ("xml", "<a><!-- -- --></a>", False), ("xml", "<é.b:c/>", True)])
+def test_toml_and_xml_grammars(lang, text, ok):
+    assert (validity.first_error(text, lang) is None) == ok
+
+
+def test_grammars_alone_agree_with_the_readers():
+    from sparkvane.llm.syntax import data
+
+    for lang, f, texts in (("toml", data.toml, ["a = 1\n", "a.b = [[1], {c = 2}]\n", "[a.b]\n", "[[a]]\n", "a = [\n]\n", "a = ''\n"]), ("xml", data.xml, ["<a/>", "<a>x<b c='d'/></a>", "<?xml version='1.0'?><a/>"])):
+        for t in texts:
+            f(t)
+            assert validity.first_error(t, lang) is None
