@@ -173,3 +173,11 @@ def test_long_answers_are_judged_in_time():
     for t in ("ich " * 200_000, "je ne sais " * 100_000, "не " * 200_000, "i will " * 100_000, "a" * 1_000_000, "&nbsp;" * 100_000, "“" * 200_000, "[" * 100_000):
         pairs.defects(Q, t)
     assert time.time() - began < 20
+
+
+def test_pairs_of_odd_rows(spark):
+    m = rows(spark, [(1, "a", "user", Q, 1.0), (2, "a", "assistant", None, 2.0), (None, "a", "user", Q, 3.0), (None, "a", "assistant", "", 4.0), (5, None, "assistant", "", 5.0), (6, "a", "user", Q, 6.0), (7, "a", "assistant", Q, 7.0), (7, "a", "assistant", Q, 7.0), (8, "b", "assistant", "", 1.0), (9, "c", "user", Q, None)])
+    m = m.withColumn("edge", F.lit(5)).withColumn("defects", F.lit("x")).withColumn("finish", F.lit(1)).withColumn("question", F.lit(0))
+    assert sorted(tuple(r) for r in pairs.found(m).collect()) == [(2, "empty"), (7, "copy")]
+    assert sorted(tuple(r) for r in pairs.judged(m).collect()) == [(2, 0, "empty"), (7, 0, "copy")]
+    assert pairs.pairs(m).count() == 3 and pairs.judged(m.where("false")).count() == 0

@@ -170,3 +170,17 @@ def test_cuts_of_texts_without_blanks():
             p = list(tokens.pieces(t, 20))
             assert "".join(p) == t and [i for x in p for i in enc.encode_ordinary(x)] == enc.encode_ordinary(t), t
     assert max(map(len, tokens.pieces("漢字，かな。" * 1000, 50))) < 60
+
+
+def test_mixing_of_nothing_and_of_odd_rows(spark):
+    d = spark.createDataFrame([(1, "a", None, None, "x"), (2, None, "word", "en", None), (3, "a", "", "en", "x"), (4, "b", "one two", None, None)], "doc_id bigint, source string, text string, language string, topic string").withColumn("rate", F.lit("clash")).withColumn("_s", F.lit(1)).withColumn("n_tokens", F.lit(7))
+    t = spark.createDataFrame([("a", 1.0, 2), ("b", None, None), (None, 1.0, 1)], "source string, weight double, max_repeats int")
+    for x in (d, d.where("false")):
+        docs = mixing.sized(x, "language", "topic")
+        goals = {m: mixing.tempered_shares(docs, m) for m in ("language", "topic")}
+        uses, shares = mixing.plan(x, t, margins=("language", "topic"), margin_shares=goals, docs=docs)
+        assert uses.count() == x.count() and uses.where("uses > 0").count() == 0
+        assert {r["source"] for r in shares.collect()} >= {"a", "b", None}
+        mixing.margin_report(uses, goals).collect()
+    uses, _ = mixing.plan(d, t)
+    assert {r["doc_id"]: r["uses"] for r in uses.collect()} == {1: 0, 2: 1, 3: 0, 4: 0}
