@@ -271,9 +271,9 @@ def davies_bouldin(df, vector, label):
     """Mean over labels of the worst (S_i + S_j) / d_ij, S the mean distance to the centre."""
     x, c = _with_centre(df, vector, label)
     s = x.groupBy("label").agg(F.avg(F.sqrt(_sq("v", "centre"))).alias("s")).join(c, "label")
-    a, b = s.select(F.col("label").alias("la"), F.col("s").alias("sa"), F.col("centre").alias("ca")), s.select(F.col("label").alias("lb"), F.col("s").alias("sb"), F.col("centre").alias("cb"))
-    r = a.join(b, F.col("la") != F.col("lb")).select("la", F.try_divide(F.col("sa") + F.col("sb"), F.sqrt(_sq("ca", "cb"))).alias("r"))  # labels squared, not rows
-    return r.groupBy("la").agg(F.max("r").alias("r")).agg(F.avg("r").alias("davies_bouldin"))
+    every = s.agg(F.collect_list(F.struct("label", "s", "centre")).alias("all"))  # one row; labels are few by the nature of clusters
+    worst = F.array_max(F.transform(F.filter("all", lambda k: k["label"] != F.col("label")), lambda k: F.try_divide(F.col("s") + k["s"], F.sqrt(_sq(F.col("centre"), k["centre"])))))
+    return s.crossJoin(F.broadcast(every)).select(worst.alias("r")).agg(F.avg("r").alias("davies_bouldin"))
 
 
 def calinski_harabasz(df, vector, label):
