@@ -93,21 +93,37 @@ def resample(df, ts, unit, aggs):
 def ewm(df, group, order, column, alpha):
     """Exponentially weighted mean with adjusted weights per group in the given order; nulls are passed over but still age the weights.
 
-    Rows are sorted within hash partitions and the two running sums are carried from row to row, so a group is never held in memory."""
+    Rows are cut into ranges of (group, order), so that a large group is worked on by many tasks. Two running sums are carried from row to row
+    within a range; what earlier ranges of a group leave, aged by the rows since, is added afterwards, from one row for a range."""
+    from ..session import checkpoint
+
     cols = list(dict.fromkeys([group, *order, column]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*cols).schema) + ", ewm double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*cols).schema) + ", _p int, _k bigint, _num double, _den double"
 
     def run(batches):
-        now, num, den = object(), 0.0, 0.0
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        now, k, num, den = object(), 0, 0.0, 0.0
         for b in batches:
             out = []
             for g, x in zip(b[group].tolist(), b[column].tolist(), strict=True):
                 if g != now:
-                    now, num, den = g, 0.0, 0.0
-                num, den = num * (1 - alpha), den * (1 - alpha)
+                    now, k, num, den = g, 0, 0.0, 0.0
+                k, num, den = k + 1, num * (1 - alpha), den * (1 - alpha)
                 if x is not None and x == x:
                     num, den = num + x, den + 1.0
-                out.append(num / den if den else None)
-            yield b.assign(ewm=out)
-
-    return df.select(*cols).repartition(group).sortWithinPartitions(group, *order).mapInPandas(run, schema)
+                out.append((part, k, num, den))
+            yield b.assign(**{n: [r[i] for r in out] for i, n in enumerate(("_p", "_k", "_num", "_den"))})
+
+    t = df.select(*cols).repartitionByRange(group, *order).sortWithinPartitions(group, *order).mapInPandas(run, schema)
+    t = checkpoint(t)  # the ranges are sampled, so they are fixed before they are read twice
+    ends = t.groupBy(group, "_p").agg(F.max_by(F.struct("_k", "_num", "_den"), "_k").alias("_e"))
+    before = F.collect_list("_e").over(Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))  # one row for a range
+    fade = lambda k: F.pow(F.lit(1.0 - alpha), k.cast("double"))
+    zero = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"))
+    left = F.aggregate("_b", zero, lambda s, e: F.struct((s["num"] * fade(e["_k"]) + e["_num"]).alias("num"), (s["den"] * fade(e["_k"]) + e["_den"]).alias("den")))
+    carried = ends.withColumn("_b", before).where(F.size("_b") > 0).select(F.col(group).alias("_g"), F.col("_p").alias("_q"), left.alias("_c"))
+    j = t.join(F.broadcast(carried), F.col(group).eqNullSafe(F.col("_g")) & (F.col("_p") == F.col("_q")), "left")  # fewer rows than ranges
+    num, den = (F.col(f"_{n}") + F.coalesce(F.col(f"_c.{n}"), F.lit(0.0)) * fade(F.col("_k")) for n in ("num", "den"))
+    return j.select(*cols, F.when(den > 0, num / den).alias("ewm"))

@@ -393,3 +393,15 @@ def test_asof_without_groups(spark, direction):
     want = pd.merge_asof(a.sort_values("t"), b, on="t", direction=direction)
     got = temporal.asof_join(spark.createDataFrame(a), spark.createDataFrame(b), "t", direction=direction).collect()
     assert {r["i"]: r["v"] for r in got} == {int(i): None if v != v else int(v) for i, v in zip(want.i, want.v, strict=True)}
+
+
+def test_weighted_means_of_a_large_group(spark):
+    rng = np.random.default_rng(11)
+    v = [None if k % 17 == 3 else float(x) for k, x in enumerate(rng.normal(size=3000))]
+    df = spark.createDataFrame([("hot", k, x) for k, x in enumerate(v)] + [("cold", k, float(k)) for k in range(5)] + [(None, 0, 2.5)], "g string, k int, v double")
+    got = {(r["g"], r["k"]): r["ewm"] for r in temporal.ewm(df.repartition(6), "g", ["k"], "v", 0.05).collect()}
+    want = pd.Series(v, dtype="float64").ewm(alpha=0.05, ignore_na=False).mean()
+    assert len(got) == 3006 and got[None, 0] == 2.5
+    for k, w in enumerate(want):
+        assert got["hot", k] is None if w != w else abs(got["hot", k] - w) < 1e-9
+    assert abs(got["cold", 4] - pd.Series([0.0, 1, 2, 3, 4]).ewm(alpha=0.05).mean()[4]) < 1e-9
