@@ -146,6 +146,26 @@ def test_validated_restoration(spark):
     assert [x[0] for x in mojibake.restored(d, rows=120, held_out=20).select("doc_id").collect()] == [900]
 
 
+def test_every_record_counts_in_model_and_margins(spark):
+    texts = [f"{CLEAN[k % len(CLEAN)]} Nr. {chr(97 + k // 676)}{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}" for k in range(6500)]
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    counts = mojibake.train(d.unionByName(d.limit(50)))
+    assert counts == mojibake.grams(texts)
+    _, _, r = mojibake.validate(mojibake.sample(d), counts)
+    assert r["clean"] + r["left out"] == r["garbled"] == r["utf8"] == 6500
+
+
+def test_texts_garbled_without_a_sign_are_not_trained_on(spark, model):
+    rows = [(k, f"{CLEAN[k % len(CLEAN)]} {'abcdefghij'[k // 80]}{'abcdefghij'[k // 8 % 10]}") for k in range(800)]
+    bad = [(1000 + k, f"{CLEAN[5]} {'abcdefgh'[k]}".encode("cp1251").decode("cp1252")) for k in range(8)]
+    d = spark.createDataFrame(rows + bad, "doc_id bigint, text string")
+    assert mojibake.train(d) == mojibake.grams([t for _, t in rows + bad])
+    assert mojibake._sum(mojibake.cleaned(mojibake.sample(d), mojibake._counts(mojibake.sample(d)))) == mojibake.grams([t for _, t in rows])
+    assert sorted(r[0] for r in mojibake.found(d).collect()) == [k for k, _ in bad]
+    assert mojibake._unlearned(bad[0][1], model, {})
+    assert not any(mojibake._unlearned(t, model, {}) for t in ("Příliš žluťoučký kůň úpěl ďábelské ódy, a proto řekl víc, než měl říci.", "plain", *CLEAN))
+
+
 def test_three_margins_are_raked(spark):
     rows = [(k, ("a", "b")[k % 2], "word " * (5 + k % 7), ("en", "de", "fr")[k % 3], ("x", "y", None)[k % 5 % 3]) for k in range(3000)]
     d = spark.createDataFrame(rows, "doc_id bigint, source string, text string, language string, topic string")
