@@ -21,6 +21,7 @@ CHAINS = [
     *(("cp1250", w) for w in ("cp1252", "latin-1")), *(("iso8859_2", w) for w in ("cp1252", "latin-1", "cp1250")), ("cp1252", "cp1250"), ("cp852", "cp1250"), ("cp852", "cp1252"), ("cp852", "latin-1"),
 ]
 _SINGLE = [c for c in CHAINS if c[0] != "utf-8"]
+_SINGLES = {k for k, c in enumerate(CHAINS) if c[0] != "utf-8"}
 #: Mean gain in log-likelihood for a changed character that a single-byte chain needs, and its least total over a text: the pair that is
 #: tried first, and the grid that is searched where it does not hold on held-out records.
 MARGIN, TOTAL = 1.5, 8.0
@@ -31,8 +32,8 @@ FALSE_AT_MOST, FOUND_AT_LEAST = 0.005, 0.9
 SURE, STRONG = 1.0, 2.0
 #: Mean log-likelihood of a character that restored words reach in a language that a model knows. A language it does not know stays far below.
 KNOWN = -2.5
-#: Parts of the clean records by hash; the margins are validated on all records, each by a model of the other parts.
-FOLDS = 4
+#: Parts of the clean records by hash; the margins are validated on all records, each by a model of the other part.
+FOLDS = 2
 
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _WORD = re.compile(r"[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*")
@@ -85,7 +86,7 @@ class Model:
         for g, k in self.n[1].items():
             self.ctx[0][g[0]] = self.ctx[0].get(g[0], 0) + k
         self.total = sum(self.n[0].values()) or 1
-        self.cache, self.logs = {}, {}
+        self.cache, self.singles, self.logs = {}, {}, _Logs(self)
 
     def _p(self, c, a, b):
         p = (self.n[0].get(c, 0) + 0.02) / (self.total + 2000)
@@ -94,15 +95,6 @@ class Model:
         k = self.ctx[1].get(a + b, 0)
         return (self.n[2].get(a + b + c, 0) + 4 * p) / (k + 4)
 
-    def _log(self, g):
-        """Log-likelihood of the last character of three after the other two."""
-        got = self.logs.get(g)
-        if got is None:
-            got = math.log(self._p(g[2], g[0], g[1]))
-            if len(self.logs) < 200_000:
-                self.logs[g] = got
-        return got
-
     def score(self, word):
         """Log-likelihood of a word between blanks."""
         s = self.cache.get(word)
@@ -115,12 +107,30 @@ class Model:
 
     def _score(self, t):
         t = " " + t
-        return sum(self._log(t[i : i + 3]) for i in range(len(t) - 2))
+        return sum(map(self.logs.__getitem__, [t[i : i + 3] for i in range(len(t) - 2)]))
+
+
+class _Logs(dict):
+    """Log-likelihood of the last of three characters after the other two, by a model."""
+
+    def __init__(self, model):
+        self.p = model._p
+
+    def __missing__(self, g):
+        got = math.log(self.p(g[2], g[0], g[1]))
+        if len(self) < 200_000:
+            self[g] = got
+        return got
 
 
 def is_clean(text):
     """No sign of a wrong decoding: no lone controls, replacement characters, box drawings or byte pairs of misread UTF-8."""
-    return not _WEST.search(text)
+    return text.isascii() or not _WEST.search(" ".join(_odd_words(text)))  # no sign holds a blank
+
+
+def _odd_words(text):
+    """The words of a text with characters beyond ASCII, as _WORD finds them."""
+    return [w for w in text.replace("\t", " ").replace("\r", " ").replace("\n", " ").split(" ") if not w.isascii()]
 
 
 def grams(texts):
@@ -152,19 +162,18 @@ _SIGNS = (
 
 
 def _records(documents):
-    """(h, text) of the documents whose text has no sign of a wrong decoding; copies share a hash."""
-    return documents.where(F.col("text").isNotNull() & ~F.col("text").rlike(_SIGNS)).select(F.xxhash64("text").alias("h"), "text")
+    """(h, text) of the documents with a text; copies share a hash."""
+    return documents.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("h"), "text")
 
 
 def sample(documents, rows=None):
-    """(h, text): the distinct texts without signs of a wrong decoding. `rows` bounds them to the ones among the `rows` texts with the smallest
-    hashes; no query sets it."""
+    """(h, text): the distinct texts. `rows` bounds them to the clean ones of the `rows` texts with the smallest hashes; no query sets it."""
     if rows is None:
         return _records(documents.select("text").distinct())
-    hashed = documents.where(F.col("text").isNotNull()).select("text", F.xxhash64("text").alias("h"))
+    hashed = _records(documents)
     least = hashed.select("h").distinct().orderBy("h").limit(rows)
     few = hashed.join(F.broadcast(least), "h", "left_semi").groupBy("h").agg(F.min("text").alias("text"))  # at most `rows` hashes
-    return _records(checkpoint(few))
+    return checkpoint(few).where(~F.col("text").rlike(_SIGNS))
 
 
 def train(documents, rows=None):
@@ -206,18 +215,23 @@ def _counts(texts):
     return out
 
 
+@functools.lru_cache(maxsize=None)
+def _misread(was, read_as):
+    """{code of a character: what it is misread as} of a chain of single bytes."""
+    back = _tables(read_as)[1]
+    return {ord(c): back[b] for c, b in _tables(was)[0].items()}
+
+
 def garble(text, was, read_as):
     """A text whose bytes in one encoding are read in another; None where a character has no byte in it or nothing changes."""
     if was == "utf-8":
-        raw = text.encode("utf-8")
+        back = _tables(read_as)[1]
+        new = "".join(back[b] for b in text.encode("utf-8"))
     else:
-        to, _ = _tables(was)
-        try:
-            raw = bytes([to[c] for c in text])
-        except KeyError:
+        as_read = _misread(was, read_as)
+        if not as_read.keys() >= set(map(ord, set(text))):
             return None
-    back = _tables(read_as)[1]
-    new = "".join(back[b] for b in raw)
+        new = text.translate(as_read)
     return None if new == text else new
 
 
@@ -225,33 +239,47 @@ def trials(h, text, model, cache, utf8=True):
     """[(clean, misread UTF-8, mean gain, total gain, restored)] of a held-out record and of garbled copies of it, by chains that its hash picks:
     one by single bytes, whose gains are compared with margins, and, with `utf8`, one of misread UTF-8, which has none and is restored or not."""
     out = []
-    if not text or not is_clean(text) or not _RUN.search(text):
+    if not text or text.isascii() or not is_clean(text):
         return out
-    out.append((True, False, *_best_chain(text, model, cache), False))
+    words = _odd_words(text)
+    codes = set(map(ord, set("".join(words))))
+    out.append((True, False, *_best_chain(words, model), False))
     for part in ([c for c in CHAINS if c[0] == "utf-8"] * utf8, _SINGLE):
         for k in range(len(part)):
             was, read_as = part[(h + k) % len(part)]
-            bad = garble(text, was, read_as)
-            if bad and was == "utf-8":
+            if was == "utf-8":
+                bad = garble(text, was, read_as)
                 out.append((False, True, 0.0, 0.0, examine(bad, model, cache, 0.0, 0.0)[1] == text))
                 break
-            if bad:
-                out.append((False, False, *_best_chain(bad, model, cache), False))
+            as_read = _misread(was, read_as)
+            bad = [w.translate(as_read) for w in words] if as_read.keys() >= codes else words
+            if bad != words:
+                out.append((False, False, *_best_chain(bad, model), False))
                 break
     return out
 
 
-def _best_chain(text, model, cache):
-    """(mean gain for a changed character, total gain) of the single-byte chain with the largest total over a text's words."""
-    gains = {}
-    for w in _WORD.findall(text):
-        for gain, utf, chain, _ in _chains_of(w, model, cache):
-            if not utf:
-                e = gains.setdefault(chain, [0.0, 0])
-                e[0] += gain
-                e[1] += sum(ord(c) > 127 for c in w)
-    best = max(gains.values(), default=(0.0, 1))
-    return best[0] / best[1], best[0]
+def _best_chain(words, model):
+    """(mean gain for a changed character, total gain) of the single-byte chain with the largest total over words."""
+    gains, chars = [0.0] * len(CHAINS), [0] * len(CHAINS)
+    for w in words:
+        n, chains, gain = _singles(w, model)
+        for k, g in zip(chains, gain):
+            gains[k] += g
+            chars[k] += n
+    total, n = max(zip(gains, chars))
+    return total / max(1, n), total
+
+
+def _singles(word, model):
+    """(characters beyond ASCII, single-byte chains that make a word likelier, their gains)."""
+    got = model.singles.get(word)
+    if got is None:
+        found = _word_chains(word, model, _SINGLES)
+        got = sum(c > "\x7f" for c in word), tuple(_ORDER[f[2]] for f in found), tuple(f[0] for f in found)
+        if len(model.singles) < 200_000:
+            model.singles[word] = got
+    return got
 
 
 def choose(rows):
@@ -286,25 +314,20 @@ def _step(x, grid):
 
 def _tried(texts, counts, fn, schema):
     """Rows that `fn(h, text, model, cache)` yields for each text. `counts` are those of a model, or a list of the counts of each fold: then a
-    text meets the model of the other folds. A task holds one model at a time."""
+    text meets the model of the other folds."""
     shared = texts.sparkSession.sparkContext.broadcast(counts)
     names = [f.strip().split(" ")[0] for f in schema.split(",")]
 
     def run(batches):
-        fold = None
+        own = shared.value
+        rest = [_sum(own[:f] + own[f + 1 :]) for f in range(len(own))] if isinstance(own, list) else [own]
+        models = [(Model(c), {}) for c in rest]
         for b in batches:
-            out = []
-            for f, h, t in zip(b["fold"].tolist(), b["h"].tolist(), b["text"], strict=True):
-                if f != fold:
-                    own = shared.value
-                    model, cache, fold = Model(_sum(own[:f] + own[f + 1 :]) if isinstance(own, list) else own), {}, f
-                out += fn(h, t, model, cache)
-            yield pd.DataFrame(out, columns=names)
+            rows = zip(b["h"].tolist(), b["text"], strict=True)
+            yield pd.DataFrame([x for h, t in rows for x in fn(h, t, *models[h % len(models)])], columns=names)
 
     other = F.octet_length("text") != F.length("text")  # characters beyond ASCII
-    fold = F.pmod("h", F.lit(FOLDS)).cast("int") if isinstance(counts, list) else F.lit(0)
-    rows = spread(texts.where(other).select("h", "text"), "h").withColumn("fold", fold)
-    return rows.sortWithinPartitions("fold").mapInPandas(run, schema)
+    return spread(texts.where(other).select("h", "text"), "h").mapInPandas(run, schema)
 
 
 def _unlearned(text, model, cache):
@@ -320,7 +343,7 @@ def cleaned(texts, folds):
     pass for clean ones, the more of them the better."""
 
     def judge(h, text, model, cache):
-        return [(h, text)] if _unlearned(text, model, cache) else []
+        return [(h, text)] if is_clean(text) and _unlearned(text, model, cache) else []
 
     own = _counts(_tried(texts, folds, judge, "h bigint, text string").distinct())
     return [{g: k - out.get(g, 0) for g, k in counts.items() if k > out.get(g, 0)} for counts, out in zip(folds, own, strict=True)]
@@ -378,12 +401,15 @@ _AGAIN = CHAINS.index(("utf-8", "cp1252"))
 _DIGIT, _BLANK, _CONTROL = re.compile(r"\d"), re.compile(r"[ \t\r\n]"), re.compile(r"[\x00-\x1f\x7f]")
 
 
-def _word_chains(word, model):
-    """[(gain, sure, chain, restored)] of the chains that make a word likelier; `sure` where valid UTF-8 of several bytes comes out."""
+def _word_chains(word, model, chains=None):
+    """[(gain, sure, chain, restored)] of the chains, or of those with the numbers `chains`, that make a word likelier; `sure` where valid UTF-8 of
+    several bytes comes out."""
     parts = _SPLIT.split(word)
     if _CONTROL.search(word):
         return []
     fit = set.intersection(*(set(_undoings(p)) for p in parts[1::2]))
+    if chains is not None:
+        fit &= chains
     if not fit:
         return []
     base = model.score(_DIGIT.sub("0", word))
@@ -466,13 +492,26 @@ def _quoted(sentence, words):
 _SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?](?!\s|$)[^.!?\n]*)*[.!?]?[ \t]*\n?")
 
 
+def _plain(text, model, cache, total):
+    """True where nothing is lost, no word is misread UTF-8 and no chain reaches `total`, even with the words that are only shown."""
+    if "�" in text:
+        return False
+    gains = {}
+    for w in _odd_words(text):
+        for gain, utf, chain, _ in _chains_of(w, model, cache):
+            if utf and gain > SURE:
+                return False
+            gains[chain] = gains.get(chain, 0.0) + gain
+    return max(gains.values(), default=0.0) < total
+
+
 def examine(text, model, cache, margin=MARGIN, total=TOTAL):
     """(garbled, restored, chain, lossy) of a text. Null, blank and plain ASCII texts are never garbled.
 
     Words with other characters are judged one by one: misread UTF-8 counts where the undone word is likelier by SURE; a chain between
     single-byte encodings counts where its gain over all words it fits reaches `margin` a character and `total` in all. Replacement
     characters are lossy. Words that a sentence only shows as examples do not count."""
-    if not text or not _RUN.search(text):
+    if not text or text.isascii() or _plain(text, model, cache, total):
         return False, text, None, False
     found, lossy, single = [], False, {}
     for m in _SENTENCE.finditer(text):
