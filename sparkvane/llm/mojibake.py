@@ -21,7 +21,6 @@ CHAINS = [
     *(("cp1250", w) for w in ("cp1252", "latin-1")), *(("iso8859_2", w) for w in ("cp1252", "latin-1", "cp1250")), ("cp1252", "cp1250"), ("cp852", "cp1250"), ("cp852", "cp1252"), ("cp852", "latin-1"),
 ]
 _SINGLE = [c for c in CHAINS if c[0] != "utf-8"]
-_SINGLES = {k for k, c in enumerate(CHAINS) if c[0] != "utf-8"}
 #: Mean gain in log-likelihood for a changed character that a single-byte chain needs, and its least total over a text: the pair that is
 #: tried first, and the grid that is searched where it does not hold on held-out records.
 MARGIN, TOTAL = 1.5, 8.0
@@ -271,12 +270,30 @@ def _best_chain(words, model):
     return total / max(1, n), total
 
 
+@functools.lru_cache(maxsize=None)
+def _restoring():
+    """[(chain number, {code of a character beyond ASCII: what it was})] of the single-byte chains, but for what can't be printed."""
+    out = []
+    for k, (was, read_as) in enumerate(CHAINS):
+        if was != "utf-8":
+            back = _tables(was)[1]
+            out.append((k, {ord(c): back[b] for c, b in _tables(read_as)[0].items() if c > "\x7f" and not _unprintable(back[b])}))
+    return out
+
+
 def _singles(word, model):
     """(characters beyond ASCII, single-byte chains that make a word likelier, their gains)."""
     got = model.singles.get(word)
     if got is None:
-        found = _word_chains(word, model, _SINGLES)
-        got = sum(c > "\x7f" for c in word), tuple(_ORDER[f[2]] for f in found), tuple(f[0] for f in found)
+        codes, base, gains, found = {ord(c) for c in word if c > "\x7f"}, model.score(_DIGIT.sub("0", word)), {word: 0.0}, []
+        for k, table in [] if _CONTROL.search(word) else _restoring():
+            if table.keys() >= codes:
+                new = word.translate(table)
+                if new not in gains:  # chains agree in many words
+                    gains[new] = model.score(_DIGIT.sub("0", new)) - base
+                if gains[new] > 0:
+                    found.append((k, gains[new]))
+        got = sum(c > "\x7f" for c in word), tuple(k for k, _ in found), tuple(g for _, g in found)
         if len(model.singles) < 200_000:
             model.singles[word] = got
     return got
@@ -372,17 +389,19 @@ def _unprintable(text):
 
 
 def _undoings(run):
-    """{chain number: characters} of the chains that can take back a run of other characters; kept, as runs are few. A chain of single bytes
-    that gives controls or unassigned characters is none; misread UTF-8 may give controls that a second round takes back."""
+    """{chain number: characters} of the chains of misread UTF-8 that can take back a run of other characters; kept, as runs are few. They may
+    give controls that a second round takes back."""
     got = _undone.get(run)
     if got is None:
         got = {}
         for k, (was, read_as) in enumerate(CHAINS):
+            if was != "utf-8":
+                continue
             new = undo(run, was, read_as)
-            if new is None and was == "utf-8":
+            if new is None:
                 new, n = _partly(run, read_as)
                 new = new if n else None
-            if new is not None and (was == "utf-8" or not _unprintable(new)):
+            if new is not None:
                 got[k] = new
         if len(_undone) < 200_000:
             _undone[run] = got
@@ -401,38 +420,34 @@ _AGAIN = CHAINS.index(("utf-8", "cp1252"))
 _DIGIT, _BLANK, _CONTROL = re.compile(r"\d"), re.compile(r"[ \t\r\n]"), re.compile(r"[\x00-\x1f\x7f]")
 
 
-def _word_chains(word, model, chains=None):
-    """[(gain, sure, chain, restored)] of the chains, or of those with the numbers `chains`, that make a word likelier; `sure` where valid UTF-8 of
-    several bytes comes out."""
+def _word_chains(word, model):
+    """[(gain, sure, chain, restored)] of the chains that make a word likelier; `sure` where valid UTF-8 of several bytes comes out."""
     parts = _SPLIT.split(word)
     if _CONTROL.search(word):
         return []
-    fit = set.intersection(*(set(_undoings(p)) for p in parts[1::2]))
-    if chains is not None:
-        fit &= chains
-    if not fit:
-        return []
+    out, tables = [], dict(_restoring())
+    for k, gain in zip(*_singles(word, model)[1:]):
+        was, read_as = CHAINS[k]
+        out.append((k, (gain, False, f"{was}<{read_as}", word.translate(tables[k]))))
     base = model.score(_DIGIT.sub("0", word))
-    out = []
-    for k in sorted(fit):
+    for k in set.intersection(*(set(_undoings(p)) for p in parts[1::2])):
         new = _apply(parts, k)
         if new is None:
             continue
         was, read_as = CHAINS[k]
         chain = f"{was}<{read_as}"
-        if was == "utf-8":  # it may have happened more than once
-            for _ in range(3):
-                more = _SPLIT.split(new)
-                again = len(more) > 1 and (_apply(more, k) or _apply(more, _AGAIN))
-                if not again or model.score(_DIGIT.sub("0", again)) <= model.score(_DIGIT.sub("0", new)):
-                    break
-                new, chain = again, chain + "+utf-8"
-        if was == "utf-8" and _unprintable(new):
+        for _ in range(3):  # it may have happened more than once
+            more = _SPLIT.split(new)
+            again = len(more) > 1 and (_apply(more, k) or _apply(more, _AGAIN))
+            if not again or model.score(_DIGIT.sub("0", again)) <= model.score(_DIGIT.sub("0", new)):
+                break
+            new, chain = again, chain + "+utf-8"
+        if _unprintable(new):
             continue
         gain = model.score(_DIGIT.sub("0", new)) - base
         if gain > 0:
-            out.append((gain, was == "utf-8", chain, new))
-    return sorted(out, key=lambda g: -g[0])  # stable: ties stay in the order of CHAINS
+            out.append((k, (gain, True, chain, new)))
+    return [g for _, g in sorted(out, key=lambda x: (-x[1][0], x[0]))]  # ties stay in the order of CHAINS
 
 
 def _chains_of(word, model, cache):
