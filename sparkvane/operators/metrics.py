@@ -136,50 +136,41 @@ def smote_counts(df, y, neighbours=5):
     return g.where(F.col("_least").isNull() | (F.col("_least") > neighbours)).select("class", "original", "post")
 
 
-def smote_rows(df, y, features, key, neighbours=5, block=2048):
+#: Rows of a slice of hashes.
+SLICE = 8192
+
+
+def smote_rows(df, y, features, key, neighbours=5, block=32768):
     """(class, number, features): the rows that oversampling adds to the classes smaller than the largest. No rows where smote_counts gives none.
 
     Each new row lies between a row of its class and one of that row's nearest neighbours; which, and where, follows from hashes of the
-    keys, so the result is repeatable. Missing features are 0. A class is cut into blocks by hash; each pair of blocks is one task that
-    keeps the nearest rows only, so the work is quadratic in the smaller classes, but no class is in one place."""
-    import pandas as pd
+    keys, so the result is repeatable. Missing features are 0; rows with infinite ones or NaN are left out. Only rows that a new one starts
+    from look for neighbours, in ranges of about `block` rows, so no class is in one place."""
+    from .neighbours import nearest_rows
 
-    counts = [r for r in smote_counts(df, y, neighbours).collect()]  # one row per class
-    short = {r["class"]: (r["original"], r["post"] - r["original"]) for r in counts if r["post"] > r["original"]}
-    kind = dict(df.dtypes)[y]
-    schema = f"class {kind}, number bigint, features array<double>"
+    spark, kind = df.sparkSession, dict(df.dtypes)[y]
+    short = [r for r in smote_counts(df, y, neighbours).collect() if r["post"] > r["original"]]  # one row per class
     if not short:
-        return df.sparkSession.createDataFrame([], schema)
-    parts = max(-(-n // block) for n, _ in short.values())
-    x = df.where(F.col(y).isin(list(short))).select(F.col(y).alias("class"), F.col(key).cast("string").alias("k"), F.array(*(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features)).alias("v"))
-    x = x.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(parts)).cast("int"))
-    ids = F.sequence(F.lit(0), F.lit(parts - 1))
-    u = x.withColumn("o", F.explode(ids)).withColumn("side", F.lit(0)).unionByName(x.withColumn("o", F.col("b")).withColumn("b", F.explode(ids)).withColumn("side", F.lit(1)))
-
-    def near(pdf):
-        a, b = (pdf[pdf.side == s].sort_values("k") for s in (0, 1))
-        out = []
-        if len(a) and len(b):
-            va, vb, kb = np.stack(a.v.to_list()), np.stack(b.v.to_list()), b.k.to_numpy()
-            d = ((va[:, None, :] - vb[None, :, :]) ** 2).sum(2)
-            d[a.k.to_numpy()[:, None] == kb[None, :]] = np.inf
-            for i, k in enumerate(a.k):
-                best = np.argsort(d[i], kind="stable")[:neighbours]
-                out += [(a["class"].iloc[i], k, float(d[i, j]), kb[j], vb[j]) for j in best if np.isfinite(d[i, j])]
-        return pd.DataFrame(out, columns=["class", "k", "d", "other", "w"])
-
-    pairs = u.groupBy("class", "b", "o").applyInPandas(near, f"class {kind}, k string, d double, other string, w array<double>")
-    best = pairs.groupBy("class", "k").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "other", "w"))), 1, neighbours).alias("near"))  # at most `neighbours` rows a block
-    base = best.join(x.select("class", "k", "v"), ["class", "k"])
-    # row number i of a class starts from its row number i modulo the class size, in the order of hashed keys
-    at = base.withColumn("_h", F.xxhash64("k"))
-    from .ordered import places
-
-    at = places(at, ["class", "_h", "k"], "_p")
-    first = at.groupBy("class").agg(F.min("_p").alias("_f"), F.count("*").alias("_n"))
-    more = df.sparkSession.createDataFrame([(c, extra) for c, (_, extra) in short.items()], f"class {kind}, extra bigint")
-    at = at.join(F.broadcast(first.join(more, "class")), "class").withColumn("_p", F.col("_p") - F.col("_f")).where("_p < extra")  # one row per class
-    at = at.withColumn("number", F.explode(F.sequence("_p", F.col("extra") - 1, F.col("_n"))))
+        return spark.createDataFrame([], f"class {kind}, number bigint, features array<double>")
+    p = len(features)
+    more = spark.createDataFrame([(r["class"], i, r["post"] - r["original"]) for i, r in enumerate(short)], f"class {kind}, g int, extra bigint")
+    x = df.where(F.col(y).isNotNull()).select(F.col(y).alias("class"), F.col(key).cast("string").alias("key"), *(F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f"f{i}") for i, f in enumerate(features)))
+    x = x.where(" and ".join(["true"] + [f"abs(f{i}) < double('infinity')" for i in range(p)])).join(F.broadcast(more), "class").withColumn("h", F.xxhash64("key"))
+    # row number i of a class starts from its row number i modulo the class size, in the order of hashed keys; leading bits of the hash make slices of about one size
+    bits = max(0, min((max(r["original"] for r in short) // SLICE).bit_length(), 16 - len(short).bit_length()))
+    x = x.withColumn("s", F.shiftright("h", 64 - bits) if bits else F.lit(0).cast("bigint"))
+    w = Window.partitionBy("g")
+    slices = x.groupBy("g", "s").agg(F.count("*").alias("n"))
+    slices = slices.select("g", "s", (F.sum("n").over(w.orderBy("s")) - F.col("n")).alias("start"), F.sum("n").over(w).alias("n"))
+    x = x.join(F.broadcast(slices), ["g", "s"])  # at most 2 ** 16 rows, or one per class
+    at = (F.col("start") + F.row_number().over(Window.partitionBy("g", "s").orderBy("h", "key")) - 1).cast("bigint")
+    first = x.where("start < extra").withColumn("at", at).withColumn("number", F.when(F.col("at") < F.col("extra"), F.col("at")))
+    rest = x.where("start >= extra").withColumn("number", F.lit(None).cast("bigint"))
+    columns = ["g", "key", "number", *(f"f{i}" for i in range(p))]
+    near = nearest_rows(first.select(*columns).unionByName(rest.select(*columns)), sum(r["original"] for r in short), p, neighbours, block)
+    sizes = slices.groupBy("g").agg(F.first("n").alias("n"))
+    at = near.where("size(near) > 0").join(F.broadcast(more.join(sizes, "g")), "g")  # one row per class
+    at = at.withColumn("number", F.explode(F.sequence("number", F.col("extra") - 1, F.col("n")))).withColumnRenamed("key", "k")
     r = F.pmod(F.xxhash64("k", "number"), F.lit(1_000_003))
     pick = F.element_at("near", (F.pmod(r, F.size("near")) + 1).cast("int"))["w"]
     gap = F.pmod(F.xxhash64("number", "k"), F.lit(1_000_003)) / 1_000_003

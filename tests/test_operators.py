@@ -364,6 +364,37 @@ def test_oversampled_rows(spark):
     assert metrics.smote_rows(df, "y", ["a"], "k", neighbours=8).count() == 0
 
 
+def test_nearest_rows_over_many_ranges(spark):
+    import numpy as np
+
+    from sparkvane.operators.neighbours import nearest_rows
+
+    rng = np.random.default_rng(5)
+    for p, v in ((1, rng.normal(size=(900, 1))), (3, rng.integers(0, 5, (900, 3)).astype(float)), (2, np.r_[np.zeros((600, 2)), rng.normal(size=(300, 2))])):
+        g, asks, keys = np.arange(900) % 2, rng.random(900) < 0.4, [f"k{k}" for k in rng.permutation(900)]
+        rows = [(int(g[i]), keys[i], i if asks[i] else None, *map(float, v[i])) for i in range(900)]
+        df = spark.createDataFrame(rows, "g int, key string, number bigint, " + ", ".join(f"f{i} double" for i in range(p)))
+        got = {r["number"]: (r["g"], r["key"], [(n["d"], n["other"]) for n in r["near"]]) for r in nearest_rows(df, 900, p, 4, 60).collect()}
+        assert set(got) == set(np.flatnonzero(asks))
+        for i, found in got.items():
+            d = ((v[i] - v) ** 2).sum(1)
+            assert found == (g[i], keys[i], sorted((d[j], keys[j]) for j in range(900) if g[j] == g[i] and j != i)[:4])
+
+
+def test_oversampling_of_large_classes_ends(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from sparkvane.operators import metrics
+
+    df = spark.range(240_000).select((F.col("id") >= 120_100).cast("int").alias("y"), "id", F.sin("id").alias("a"))
+    began = time.time()
+    out = metrics.smote_rows(df, "y", ["a"], "id").collect()
+    assert sorted((r["class"], r["number"]) for r in out) == [(1, k) for k in range(200)]
+    assert time.time() - began < 60  # all pairs of the smaller class take minutes
+
+
 def test_a_file_is_not_its_own_match(spark):
     from sparkvane.operators import compare
 
